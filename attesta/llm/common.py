@@ -94,20 +94,3 @@ def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], rows: int, o
         .withColumn(out, (F.col("__base") + F.col("__rn") - 1).cast("long"))
         .drop("__sub", "__base", "__rn")
     )
-
-
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, per_task: int = 20_000) -> DataFrame:
-    """Left join on ``key`` where single keys may hold a third of ``left``; ``right`` has each key once.
-
-    Keys over ``per_task`` rows on the left are dealt into numbered parts; the
-    right row is repeated once per part, so no task takes a whole hot key.
-    """
-    hot = (
-        left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-        .select(F.col(key), F.ceil(F.col("__n") / per_task).cast("int").alias("__parts"))
-    )
-    wide = right.join(hot, key).select(right["*"], F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt"), "__parts")
-    dealt = left.join(hot.where("__parts > 1"), key, "left").withColumn(
-        "__salt", F.when(F.col("__parts") > 1, F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).otherwise(F.lit(0)).cast("int")
-    ).drop("__parts")
-    return dealt.join(wide.drop("__parts"), [key, "__salt"], "left").drop("__salt")

@@ -6,11 +6,35 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import huffman, packing
+from attesta.llm import huffman, line_rules, packing, sharding, url_cascade, warc
 from attesta.llm.common import Scratch, read_table
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op1")
+    warc.write_captures(read_table(spark, sf_dir, "pages"), scratch.path("archives"))
+    found = scratch.keep(warc.read_records(spark, scratch.path("archives"), with_payload=False), "records")
+    scratch.drop("archives")
+    captures = scratch.keep(warc.assemble(found), "captures")
+    rows = warc.resolve_revisits(captures)
+    full = F.coalesce("original.response", "response")
+    return scratch.owned_by(
+        rows.select(
+            warc.page_of("metadata").alias("page_id"),
+            full["payload_bytes"].alias("payload_bytes"),
+            full["payload_digest"].alias("payload_digest"),
+            F.col("response.record_type").alias("record_type"),
+            warc.page_of("original.metadata").alias("refers_to"),
+        )
+    )
+
+
+def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -22,8 +46,17 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.owned_by(huffman.read_digests(spark, folder))
 
 
+def op6_vector_bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"))
+
+
+def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in url_cascade.LISTED_HOSTS], "key string")
+    return url_cascade.judge(read_table(spark, sf_dir, "pages"), listed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_token_id_files)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
