@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import huffman, line_rules, packing, sharding, url_cascade, warc
+from attesta.llm import huffman, line_rules, packing, sharding, toxicity, url_cascade, warc
 from attesta.llm.common import Scratch, read_table
 
 
@@ -35,6 +35,14 @@ def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select(F.col("doc_id").cast("long"), "text"), model, ["doc_id"])
+    predicted = F.when(F.col("__score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("__score").alias("score"), predicted.alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +64,7 @@ def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
