@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import huffman, line_rules, packing, sharding, toxicity, url_cascade, warc
+from attesta.llm import huffman, line_rules, minhash, packing, sharding, toxicity, url_cascade, warc
 from attesta.llm.common import Scratch, read_table
 
 
@@ -63,8 +63,12 @@ def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(read_table(spark, sf_dir, "pages"), listed)
 
 
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade, op8_minhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
