@@ -49,8 +49,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = encoder.encode(text.as_py()) + end
+                texts = (t.as_py() for t in part.column(1))
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.batches(texts), strict=True):
+                    ids += end
                     rows += [
                         (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
                         for k, (start, length) in enumerate(cut(len(ids) // 4, capacity))
@@ -220,10 +221,10 @@ def place(pieces: DataFrame, plan: list[Pattern], rows: int) -> DataFrame:
     return ranked.mapInArrow(run, PLACED)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int = 4_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int = 4_000, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     pieces = scratch.keep(token_pieces(docs, vocabulary, capacity, end_id), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = bin_completion(counts, capacity, nodes)
-    return scratch.owned_by(place(pieces, plan, sum(counts.values())))
+    return place(pieces, plan, sum(counts.values()))

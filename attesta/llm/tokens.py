@@ -9,51 +9,103 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Iterable, Iterator
 
 #: White space beyond ASCII, which the byte-level splitter may join with a neighbouring run.
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: A run of ASCII white space with the text after it.
-_SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+#: White space with the letters after it, up to an ASCII letter that a letter or apostrophe doesn't follow; else with all up to the next white space.
+_SPACED = re.compile(rb"[\x20\x09-\x0d]*[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff'])|[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+_BARE = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff'])|[^\x20\x09-\x0d]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+class _Known(dict):
+    """piece -> packed ids; asks for a piece that it doesn't have."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.learn(piece)
+        if len(piece) <= 64:  # long pieces aren't worth keeping
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
-    """``encode(text)``: ids as little-endian unsigned ints of ``width`` bytes.
+    """``encode_all(texts)``: ids of each as little-endian unsigned ints of ``width`` bytes.
 
     keeps_space: pieces carry their leading white space (byte-level
-    vocabularies); otherwise white space separates and is dropped.
+    vocabularies); otherwise white space separates and is dropped, and the
+    vocabulary is of lower case.
+
+    A piece that is a run of Latin letters, with one space before it at most,
+    is one unit of the merge model, so it goes to the library's model directly;
+    every other piece goes through the library's whole chain.
     """
 
-    def __init__(self, path: str, width: int, keeps_space: bool, cache: int = 400_000):
+    def __init__(self, path: str, width: int, keeps_space: bool, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width, self.keeps_space, self.limit = width, keeps_space, cache
-        self.known: dict[bytes, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        width = self.width
-        return b"".join([i.to_bytes(width, "little") for i in ids])
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.keeps_space and _WIDE_SPACE.search(text):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        raw = text.encode()
-        pieces = _SPACED.findall(raw) if self.keeps_space else raw.split()
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(pieces))
-            fresh = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            ours = dict(zip(new, (self._pack(e.ids) for e in fresh), strict=True))
-            found = [ours[p] if p in ours else known[p] for p in pieces]
-            known.update((p, ids) for p, ids in ours.items() if len(p) <= 64)
-        return b"".join(found)
+        self.pattern = _SPACED if keeps_space else _BARE
+        self.known = _Known(self._learn)
+        self.pack = [struct.Struct(f"<{n}{'HI'[width == 4]}").pack for n in range(65)]
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.alphabet = [b if b in shown else next(hidden) for b in range(256)]
+        self.space = chr(self.alphabet[32])
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _learn(self, piece: bytes) -> bytes:
+        spaced = self.keeps_space and piece[:1] == b" "
+        word = piece[1:] if spaced else piece
+        if len(piece) > 64:
+            return self._whole(piece.decode())
+        if word.isalpha():  # of ASCII
+            unit = word.decode() if self.keeps_space else word.lower().decode()
+        else:
+            text = word.decode()
+            unit = text if self.keeps_space else text.lower()
+            # Letters below U+0250 are composed already, and of one case each but for the dotted I, which isn't all letters then.
+            if not text or not unit.isalpha() or max(text) >= "\u0250":
+                return self._whole(piece.decode())
+            unit = unit.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(self.space + unit if spaced else unit)]
+        return self.pack[len(ids)](*ids)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        split, get = self.pattern.findall, self.known.__getitem__
+        out = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.keeps_space and not t.isascii() and _WIDE_SPACE.search(t) or self.keeps_space and t.isascii() and _CONTROL.search(t):
+                out.append(self._whole(t))
+            else:
+                out.append(b"".join(map(get, split(t.encode()))))
+        return out
+
+    def batches(self, texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[bytes]:
+        """As ``encode_all``, over about ``most`` characters at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= most or len(held) >= 1000:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        yield from self.encode_all(held)
 
 
 def byte_bpe(path: str) -> PieceEncoder:
