@@ -39,8 +39,9 @@ class Scratch:
     """Written tables that cut lineage; they survive the loss of executors.
 
     ``keep(df, name)`` writes a table and reads it back, ``drop(name)`` removes
-    it early, and ``owned_by(result)`` removes the rest when the returned
-    DataFrame is garbage.
+    it early, and ``owned_by(result)`` removes the rest when that very DataFrame
+    is garbage (not one derived from it, so only the outermost caller may use
+    it). Without that they stay in the checkpoint folder, as checkpoints do.
     """
 
     def __init__(self, spark: SparkSession, label: str):

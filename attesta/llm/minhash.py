@@ -208,10 +208,10 @@ def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, thresho
     return blocks.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     sketches = scratch.keep(sketch(own, k), "sketches")
     classes = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("s"))
     reps = classes.select(F.col("class_id").alias("doc_id"), "s.*")
@@ -232,4 +232,4 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     placed = sketches.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = placed.select("doc_id", "n_shingles", component.alias("component_id"))
-    return scratch.owned_by(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import huffman, line_rules, minhash, packing, sharding, toxicity, url_cascade, warc
+from attesta.llm import huffman, line_rules, minhash, packing, sharding, spaced_seeds, suffix_array, toxicity, url_cascade, warc
 from attesta.llm.common import Scratch, read_table
 
 
@@ -44,18 +44,20 @@ def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    scratch = Scratch(spark, "op4")
+    return scratch.owned_by(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch))
 
 
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     folder = scratch.path("ids")
-    huffman.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return scratch.owned_by(huffman.read_digests(spark, folder))
+    huffman.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), scratch=scratch)
+    return scratch.owned_by(huffman.read_digests(spark, folder, scratch))
 
 
 def op6_vector_bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(read_table(spark, sf_dir, "documents"))
+    scratch = Scratch(spark, "op6")
+    return scratch.owned_by(sharding.assign(read_table(spark, sf_dir, "documents"), scratch=scratch))
 
 
 def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +66,23 @@ def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4)
+    scratch = Scratch(spark, "op8")
+    return scratch.owned_by(minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, scratch=scratch))
+
+
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    names = {"__n_bytes": "n_bytes", "__n_removed": "n_removed", "__n_spans": "n_spans", "__sha256": "kept_sha256"}
+    scratch = Scratch(spark, "op10")
+    return scratch.owned_by(suffix_array.deduplicate(docs, ["doc_id"], with_text=False, scratch=scratch).withColumnsRenamed(names))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade, op8_minhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade, op8_minhash_near_duplicates, op9_spaced_seed_decontamination, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

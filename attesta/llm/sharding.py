@@ -45,10 +45,10 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, lots: int = LOTS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, lots: int = LOTS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "sharding")
+    scratch = scratch or Scratch(spark, "sharding")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = scratch.keep(
         docs.select(
@@ -64,7 +64,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, lots: int =
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     whole = rows.agg(*sums).first()
     if not whole.n:
-        return scratch.owned_by(rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
+        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     groups = scratch.keep(rows.groupBy("key").agg(*sums), "groups")
     large = (F.col("size") > whole.size / (shards * fine))
     singles = groups.where(large).orderBy("key").collect()  # at most shards * fine groups
@@ -92,4 +92,4 @@ def assign(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, lots: int =
     in_lot = F.element_at(F.array(*[F.lit(s) for s in by_lot]) if len(by_lot) <= 64 else F.from_json(F.lit(str(by_lot)), "array<int>"), (lot + 1).cast("int"))
     placed = placed.withColumn("shard", F.coalesce(F.when(F.col("__parts").isNotNull(), inside), in_lot).cast("int"))
     ranked = dense_rank_in(placed.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "size", "text_crc32"], whole.n, "slot")
-    return scratch.owned_by(ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
