@@ -19,7 +19,7 @@ Pages = Callable[[bytes], list[str]]
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """source_id (the file name), text of a file, or of the .md and .markdown files right in a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{md,markdown}").option("recursiveFileLookup", False).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown}", recursiveFileLookup=False)
     return files.select(F.col("_metadata.file_name").alias("source_id"), F.col("value").alias("text")).orderBy("source_id")
 
 
