@@ -11,9 +11,10 @@
 4. What is left are buckets whose members lie in different components: there
    every member outside the bucket's largest component is held against the
    members of other components, in blocks; the signature estimate discards what
-   can't reach the threshold, the rest is again confirmed on full sets. Pairs
-   within one component can't change the result and are skipped; no pair that
-   could is.
+   can't reach the threshold, the rest is again confirmed on full sets: first
+   each one's likeliest partners, then, where those didn't join it, all others.
+   Pairs within one component can't change the result and are skipped; no pair
+   that could is.
 5. Components by alternating large-star and small-star on the links.
 
 Equality of shingles is equality of 64-bit hashes; links are decided on whole
@@ -37,14 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.bloom import having
 from attesta.llm.common import Scratch
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, BANDS = 6, 48
 HASHES = ROWS * BANDS
-#: Estimates below this share of equal signature bytes can't belong to a pair at the threshold: nine standard deviations.
-SURELY_BELOW = 0.58
-BLOCK = 512
+#: Estimates below this share of equal signature bytes can't belong to a pair at the threshold: five standard deviations.
+SURELY_BELOW = 0.68
+BLOCK, LIKELIEST = 512, 3
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -118,13 +120,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch:
     """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union.
 
     A document that is in many pairs is dealt into parts with few pairs each.
+    The texts that pairs need are picked out by a Bloom filter, so the corpus is
+    not shuffled; joins are merges at every size.
     """
     hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__parts"))
-    dealt = pairs.join(hot, "a").withColumn("__salt", F.pmod(F.xxhash64("b"), F.col("__parts")).cast("int"))
+    dealt = pairs.hint("merge").join(hot, "a").withColumn("__salt", F.pmod(F.xxhash64("b"), F.col("__parts")).cast("int"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.keep(docs.join(needed, "doc_id", "left_semi"), f"texts-{name}")
-    left = texts.join(hot, texts["doc_id"] == hot["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt"), F.col("text").alias("text_a"))
-    right = dealt.join(texts, dealt["b"] == texts["doc_id"]).select("a", "__salt", "b", F.col("text").alias("text_b"))
+    texts = scratch.keep(having(docs, "doc_id", scratch.keep(needed, f"needed-{name}")), f"texts-{name}")
+    left = texts.join(hot.hint("merge"), texts["doc_id"] == hot["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt"), F.col("text").alias("text_a"))
+    right = dealt.hint("merge").join(texts, dealt["b"] == texts["doc_id"]).select("a", "__salt", "b", F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
@@ -139,7 +143,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    links = scratch.keep(right.join(left, ["a", "__salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), name)
+    links = scratch.keep(right.hint("merge").join(left, ["a", "__salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), name)
     scratch.drop(f"texts-{name}")
     return links
 
@@ -174,8 +178,12 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(hub, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): pairs of one bucket and different components that the signatures don't rule out."""
+def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, threshold: int, best: int | None) -> DataFrame:
+    """(a, b): pairs of one bucket and different components that the signatures don't rule out.
+
+    best: of each member outside the largest component only the so many likeliest
+    partners in each other component and block; None: all.
+    """
     placed = members.join(roots.withColumnRenamed("member", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sides = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sides.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("k > 1 AND n > 2")
@@ -200,7 +208,13 @@ def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, thresho
             near = np.flatnonzero((root != x.root) & (100 * np.minimum(size, x.n_shingles) >= threshold * np.maximum(size, x.n_shingles)))
             if len(near):
                 equal = (signature[near] == np.frombuffer(x.signature, np.uint8)).mean(1)
-                for y in ids[near[equal >= SURELY_BELOW]]:
+                likely = equal >= SURELY_BELOW
+                near, equal = near[likely], equal[likely]
+                if best is not None and len(near) > best:
+                    order = np.argsort(-equal, kind="stable")
+                    nth = pd.Series(root[near[order]]).groupby(root[near[order]]).cumcount().to_numpy()
+                    near = near[order[nth < best]]
+                for y in ids[near]:
                     a.append(min(x.doc_id, y))
                     b.append(max(x.doc_id, y))
         return pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
@@ -221,12 +235,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     stars = scratch.keep(_stars(members), "stars")
     links = confirm(stars, own, k, threshold, scratch, "links")
     roots = scratch.keep(components(links, scratch, "star"), "star-roots")
-    more = _leftover(members, roots, sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), threshold)
+    own_sketches = sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "leftover")
-    if not more.isEmpty():
-        links = links.unionByName(confirm(more, own, k, threshold, scratch, "more-links"))
-        roots = scratch.keep(components(links, scratch, "all"), "roots")
+    # The likeliest partners first: what they join needs no further pairs.
+    for step, best in enumerate((LIKELIEST, None)):
+        more = _leftover(members, roots, own_sketches, threshold, best).join(tested, ["a", "b"], "left_anti")
+        more = scratch.keep(more, f"leftover-{step}")
+        tested = tested.unionByName(more)
+        if not more.isEmpty():
+            links = links.unionByName(confirm(more, own, k, threshold, scratch, f"links-{step}"))
+            roots = scratch.keep(components(links, scratch, f"roots-{step}"), f"all-roots-{step}")
     # Classes take the root of their representative; copies of one doc_id with different sets share a node.
     found = classes.select("set_id", "class_id").join(roots.withColumnRenamed("member", "class_id"), "class_id", "left").select("set_id", F.coalesce("root", "class_id").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")

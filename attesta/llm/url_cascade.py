@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.bloom import FALSE_RATE, Filter, fill, unsigned
 from attesta.llm.common import shared_dir
 
 # The rules (verdict, host and path), and the hosts that are blocked where no rule fits.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("cheap-pills", "casino-win", "spam-farm") for top in ("com", "net", "org"))
-FALSE_RATE, MOST_BYTES, MOST_LEVELS = 0.01, 32 << 20, 64
+MOST_BYTES, MOST_LEVELS = 32 << 20, 64
 
 
 def host_of(url: str = "url") -> Column:
@@ -67,27 +68,6 @@ def _hash(key: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2) | 1
 
 
-@dataclass
-class Filter:
-    bits: int
-    probes: int
-    level: int
-    words: np.ndarray
-
-    def positions(self, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
-        with np.errstate(over="ignore"):
-            for k in range(self.probes):
-                x = h1 + np.uint64(self.level * 64 + k + 1) * h2
-                x ^= x >> np.uint64(29)
-                yield x * np.uint64(0xBF58476D1CE4E5B9) % np.uint64(self.bits)
-
-    def passes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h1), bool)
-        for p in self.positions(h1, h2):
-            out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 @dataclass
 class Cascade:
     """Slices of levels of filters."""
@@ -121,33 +101,10 @@ def hashed(keys: DataFrame, slices: int) -> DataFrame:
     return keys.mapInArrow(run, "h1 long, h2 long, slice int")
 
 
-def _unsigned(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("h1").to_numpy().astype(np.uint64), batch.column("h2").to_numpy().astype(np.uint64)
-
-
-def _fill(keys: DataFrame, n: int, level: int) -> Filter:
-    bits = max(64, math.ceil(n * -math.log(FALSE_RATE) / math.log(2) ** 2 / 64) * 64)
-    made = Filter(bits, max(1, round(bits / n * math.log(2))), level, np.zeros(bits // 64, np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(bits // 64, np.uint64)  # bounded by MOST_BYTES
-        for batch in batches:
-            for p in made.positions(*_unsigned(batch)):
-                np.bitwise_or.at(words, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
-        used = np.flatnonzero(words)
-        for at in range(0, len(used), 100_000):
-            k = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(words[k].astype(np.int64))], names=["k", "word"])
-
-    for row in keys.select("h1", "h2").mapInArrow(run, "k long, word long").groupBy("k").agg(F.bit_or("word").alias("word")).toLocalIterator():
-        made.words[row.k] = row.word & 0xFFFFFFFFFFFFFFFF
-    return made
-
-
 def _passing(keys: DataFrame, level: Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(level.passes(*_unsigned(batch))))
+            yield batch.filter(pa.array(level.passes(*unsigned(batch))))
 
     return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
 
@@ -172,7 +129,7 @@ def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES)
         while left:
             if len(levels) == MOST_LEVELS:
                 raise ValueError("listed and unlisted keys with equal hashes")
-            levels.append(_fill(inside, left, len(levels)))
+            levels.append(fill(inside, left, len(levels)))
             inside, outside = _passing(outside, levels[-1]), inside  # what passes is what the next level encodes
             left = inside.count()
         made.slices.append(levels)
