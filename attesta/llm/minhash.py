@@ -10,8 +10,9 @@
    if their full sets are similar enough. Components of these links are found.
 4. What is left are buckets whose members lie in different components: there
    every member outside the bucket's largest component is held against the
-   members of other components, in blocks; the signature estimate discards what
-   can't reach the threshold, the rest is again confirmed on full sets: first
+   members of other components, in blocks; their exact distances to the hub (by
+   the triangle inequality) and the signature estimate discard what can't reach
+   the threshold, the rest is again confirmed on full sets: first
    each one's likeliest partners, then, where those didn't join it, all others.
    Pairs within one component can't change the result and are skipped; no pair
    that could is.
@@ -117,7 +118,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union.
+    """a, b, common, whole (the sizes of intersection and union of the full sets), linked: 100 * common >= threshold * whole.
 
     A document that is in many pairs is dealt into parts with few pairs each.
     The texts that pairs need are picked out by a Bloom filter, so the corpus is
@@ -133,24 +134,30 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for i, (a, ta, tb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)):
+            sizes = []
+            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
                 if a != last:
                     last, own = a, shingles(ta.as_py(), k)
                 other = shingles(tb.as_py(), k)
                 common = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * common >= threshold * (len(own) + len(other) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                sizes.append((common, len(own) + len(other) - common))
+            columns = [pa.array([c for c, _ in sizes], pa.int64()), pa.array([w for _, w in sizes], pa.int64()), pa.array([100 * c >= threshold * w for c, w in sizes], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "common", "whole", "linked"])
 
-    links = scratch.keep(right.hint("merge").join(left, ["a", "__salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), name)
+    tested = scratch.keep(right.hint("merge").join(left, ["a", "__salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, common long, whole long, linked boolean").distinct(), name)
     scratch.drop(f"texts-{name}")
-    return links
+    return tested
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges: their number and two sums of hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """member, root: the smallest id reachable, for every id of ``links`` (a, b), by alternating large-star and small-star."""
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    seen = _digest(edges)
     for step in range(1, 200):
         # Large-star: larger neighbours of a node are tied to its smallest neighbour (or itself).
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,7 +168,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         tied = large.join(least, "u")
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.keep(small, f"{name}-{step}")
-        ends = after.exceptAll(edges).isEmpty() and after.count() == edges.count()
+        now = _digest(after)
+        ends, seen = now == seen, now
         scratch.drop(f"{name}-{step - 1}")
         edges = after
         if ends:
@@ -169,18 +177,21 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("member"), F.col("v").alias("root")).distinct())
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(a, b): b shares a bucket with its hub a, the member that meets most others over all its buckets (then the smallest id)."""
+def _hubs(members: DataFrame) -> DataFrame:
+    """bucket, a: the hub of each bucket, the member that meets most others over all its buckets (then the smallest id)."""
     size = members.groupBy("bucket").agg(F.count("*").alias("n"))
     met = members.join(size, "bucket").groupBy("doc_id").agg(F.sum("n").alias("met"))
     ranked = members.join(met, "doc_id")
-    hub = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("h")).select("bucket", (-F.col("h.least")).alias("a"))
-    return members.join(hub, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    return ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("h")).select("bucket", (-F.col("h.least")).alias("a"))
 
 
 def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, threshold: int, best: int | None) -> DataFrame:
-    """(a, b): pairs of one bucket and different components that the signatures don't rule out.
+    """(a, b): pairs of one bucket and different components that nothing rules out.
 
+    ``members`` has each one's exact distance (1 - Jaccard) to the bucket's hub.
+    Distances obey the triangle inequality, so two members whose distances to
+    the hub differ by more than the threshold allows can't be linked; signatures
+    rule out more.
     best: of each member outside the largest component only the so many likeliest
     partners in each other component and block; None: all.
     """
@@ -193,8 +204,8 @@ def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, thresho
     own = F.pmod(F.xxhash64("doc_id"), odd_blocks).cast("int"), F.pmod(F.xxhash64("doc_id"), all_blocks).cast("int")
     signs = sketches.select("doc_id", "n_shingles", "signature")
     # Odd members meet every block of the bucket, every member meets every block of odd members.
-    first = rows.where("__odd").select("bucket", "doc_id", "root", own[0].alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("odd"))
-    second = rows.select("bucket", "doc_id", "root", F.explode(F.sequence(F.lit(0), odd_blocks - 1)).alias("i"), own[1].alias("j"), F.lit(False).alias("odd"))
+    first = rows.where("__odd").select("bucket", "doc_id", "root", "away", own[0].alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("odd"))
+    second = rows.select("bucket", "doc_id", "root", "away", F.explode(F.sequence(F.lit(0), odd_blocks - 1)).alias("i"), own[1].alias("j"), F.lit(False).alias("odd"))
     blocks = first.unionByName(second).join(signs, "doc_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -202,10 +213,11 @@ def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, thresho
         if odd.empty or rest.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         signature = np.frombuffer(b"".join(rest.signature), np.uint8).reshape(len(rest), HASHES)
-        size, root, ids = rest.n_shingles.to_numpy(), rest.root.to_numpy(), rest.doc_id.to_numpy()
+        size, root, ids, away = rest.n_shingles.to_numpy(), rest.root.to_numpy(), rest.doc_id.to_numpy(), rest.away.to_numpy()
+        reach = 1 - threshold / 100 + 1e-9
         a, b = [], []
         for x in odd.itertuples():
-            near = np.flatnonzero((root != x.root) & (100 * np.minimum(size, x.n_shingles) >= threshold * np.maximum(size, x.n_shingles)))
+            near = np.flatnonzero((root != x.root) & (np.abs(away - x.away) <= reach) & (100 * np.minimum(size, x.n_shingles) >= threshold * np.maximum(size, x.n_shingles)))
             if len(near):
                 equal = (signature[near] == np.frombuffer(x.signature, np.uint8)).mean(1)
                 likely = equal >= SURELY_BELOW
@@ -232,18 +244,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = scratch.keep(buckets.join(shared, "bucket").distinct(), "members")
-    stars = scratch.keep(_stars(members), "stars")
-    links = confirm(stars, own, k, threshold, scratch, "links")
+    hubs = scratch.keep(_hubs(members), "hubs")
+    at_hub = members.join(hubs, "bucket")
+    stars = confirm(at_hub.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), own, k, threshold, scratch, "stars")
+    distance = stars.select("a", F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("whole")).alias("away"))
+    placed = at_hub.join(distance, ["a", "doc_id"], "left").select("bucket", "doc_id", F.coalesce("away", F.lit(0.0)).alias("away"))
+    placed = scratch.keep(placed, "placed")  # the hub itself is at distance 0
+    links = stars.where("linked").select("a", "b")
     roots = scratch.keep(components(links, scratch, "star"), "star-roots")
     own_sketches = sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # The likeliest partners first: what they join needs no further pairs.
     for step, best in enumerate((LIKELIEST, None)):
-        more = _leftover(members, roots, own_sketches, threshold, best).join(tested, ["a", "b"], "left_anti")
+        more = _leftover(placed, roots, own_sketches, threshold, best).join(tested, ["a", "b"], "left_anti")
         more = scratch.keep(more, f"leftover-{step}")
         tested = tested.unionByName(more)
         if not more.isEmpty():
-            links = links.unionByName(confirm(more, own, k, threshold, scratch, f"links-{step}"))
+            links = links.unionByName(confirm(more, own, k, threshold, scratch, f"links-{step}").where("linked").select("a", "b"))
             roots = scratch.keep(components(links, scratch, f"roots-{step}"), f"all-roots-{step}")
     # Classes take the root of their representative; copies of one doc_id with different sets share a node.
     found = classes.select("set_id", "class_id").join(roots.withColumnRenamed("member", "class_id"), "class_id", "left").select("set_id", F.coalesce("root", "class_id").alias("root"))
