@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores until no column has that name (case apart)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class Scratch:
     """Written tables that cut lineage; they survive the loss of executors.
 

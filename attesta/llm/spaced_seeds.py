@@ -9,6 +9,7 @@ training position), and along it the stretch with the best score (a match
 counts 1, a substitution costs PENALTY) is verified word by word. A document
 is contaminated by an item if such a stretch has at least LEAST_WORDS words
 (or the item's length, if shorter) and a share of LEAST_SHARE of them agrees.
+An overlap whose substitutions leave no mask whole anywhere is not found.
 
 The corpus is read in one map without a shuffle. What travels to the executors
 is a slice of the test items of at most SLICE_CHARS characters; a larger test
@@ -104,12 +105,14 @@ class Seeds:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the stretch with the best score: matches 1, substitutions -PENALTY."""
+    """[start, end) of the stretch with the best score (matches 1, substitutions -PENALTY), the longest and first on ties."""
     total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -PENALTY))])
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end
+    gain = total - low
+    first_low = np.maximum.accumulate(np.where(np.concatenate([[True], low[1:] < low[:-1]]), np.arange(len(low)), 0))
+    ends = np.flatnonzero(gain == gain.max())
+    end = int(ends[np.argmax(ends - first_low[ends])])
+    return int(first_low[end]), end
 
 
 def overlaps(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int, int]]:

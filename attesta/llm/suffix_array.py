@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch
+from attesta.llm.common import Scratch, free_name
 
 LENGTH, GRAM = 400, 64
 HOT, BLOCK_BYTES = 4096, 4 << 20
@@ -286,22 +286,23 @@ def remaining(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[byt
     return b"".join(keep), spans
 
 
-def text_ids(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``__text`` and ``__text_id``, equal for equal texts."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("__text_id", F.unhex(F.md5(F.encode(text, "utf-8"))))
+def text_ids(docs: DataFrame, text: str, text_id: str) -> DataFrame:
+    """All columns of ``docs`` with its text (null: empty) and an identifier, equal for equal texts, under the given names."""
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn(text_id, F.unhex(F.md5(F.encode(own, "utf-8")))).withColumn(text, own)
 
 
 def deduplicate(docs: DataFrame, keep: list[str], length: int = LENGTH, with_text: bool = True, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
     """Columns ``keep`` of every row with __n_bytes, __n_removed, __n_spans, __sha256 and, if asked for, __kept (binary)."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix-array")
-    own = text_ids(docs.select(*dict.fromkeys([*keep, "text"])))
-    texts = own.select(F.col("__text_id").alias("text_id"), F.col("__text").alias("text"))
+    t, k, r = (free_name(docs.columns, name) for name in ("__text", "__text_id", "__runs"))
+    own = text_ids(docs.select(*dict.fromkeys([*keep, "text"])), t, k)
+    texts = own.select(F.col(k).alias("text_id"), F.col(t).alias("text"))
     found = repeated_windows(texts, scratch, length, min(GRAM, max(1, length // 4)), hot)
-    per_text = scratch.keep(found.groupBy("text_id").agg(F.collect_list(F.struct("first", "after")).alias("__runs")), "runs")
+    per_text = scratch.keep(found.groupBy("text_id").agg(F.collect_list(F.struct("first", "after")).alias(r)), "runs")
     for name in ("again", "by-bytes", "cuts"):
         scratch.drop(name)
-    rows = own.select(*keep, "__text", "__text_id").join(per_text.withColumnRenamed("text_id", "__text_id"), "__text_id", "left").select(*keep, "__text", "__runs")
+    rows = own.select(*keep, t, k).join(per_text.withColumnRenamed("text_id", k), k, "left").select(*keep, t, r)
     extra = "__n_bytes long, __n_removed long, __n_spans long, __sha256 string" + (", __kept binary" if with_text else "")
     schema = docs.select(*keep).schema
     for part in extra.split(", "):
@@ -310,9 +311,9 @@ def deduplicate(docs: DataFrame, keep: list[str], length: int = LENGTH, with_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column("__text"), batch.column("__runs"), strict=True):
+            for text, runs in zip(batch.column(t), batch.column(r), strict=True):
                 raw = text.as_py().encode()
-                left, spans = remaining(raw, [(r["first"], r["after"]) for r in runs.as_py()], length) if runs.is_valid else (raw, 0)
+                left, spans = remaining(raw, [(x["first"], x["after"]) for x in runs.as_py()], length) if runs.is_valid else (raw, 0)
                 out.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)] if out else [pa.array([], t) for t in types]

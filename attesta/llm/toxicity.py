@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch
+from attesta.llm.common import Scratch, free_name
 
 # Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_GROUPS = (
@@ -203,14 +203,15 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """Columns ``keep`` of every row (all by default) and ``__score`` of its whole text."""
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema.add("__score", "double")
+    own = free_name(keep, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            scores = [of(text.as_py()) for text in batch.column("__text")]
+            scores = [of(text.as_py()) for text in batch.column(own)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "__score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(own)).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
