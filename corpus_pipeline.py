@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import minhash, packing, spaced_seeds, suffix_array, toxicity
-from attesta.llm.common import Scratch, read_table
+from attesta.llm.common import Scratch, free_name, read_table
 
 #: Passages of about fifty words are cut where they repeat: the shortest such passage in bytes.
 REPEAT_BYTES = 240
@@ -20,10 +20,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Rows without a doc_id stay."""
+    """One row of each group: that with the smallest doc_id, one of those on ties; rows without a doc_id come last.
+
+    Rows are told apart by a number of their own, so repeated rows and copies
+    without a doc_id are reduced too, and rows that only share a doc_id with a copy stay.
+    """
     scratch = Scratch(spark, "stage-minhash")
-    losers = scratch.keep(minhash.near_duplicates(docs, scratch=scratch).where("NOT kept").select("doc_id").distinct(), "losers")
-    return scratch.owned_by(docs.join(losers, "doc_id", "left_anti").select(*docs.columns))
+    key = free_name(docs.columns, "__row")
+    rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # written once, so numbers stay
+    groups = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), scratch=scratch).select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group"))
+    several = groups.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").select("__group")
+    grouped = scratch.keep(groups.join(several, "__group"), "grouped")
+    ids = rows.select(F.col(key).alias("__member"), F.col("doc_id").cast("long").alias("__id")).join(grouped, "__member")
+    first = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__member"))["__member"].alias("__member"))
+    losers = scratch.keep(grouped.select("__member").join(first.select("__member"), "__member", "left_anti"), "losers")
+    return scratch.owned_by(rows.join(losers, rows[key] == losers["__member"], "left_anti").select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,21 @@ def test_each_stage_takes_out_its_cases_and_nothing_else(spark, small):
     assert {r.doc_id for r in seen["best_fit_packing"]} == ids["benchmark_decontamination"]
 
 
+def test_repeated_rows_and_copies_without_ids_are_reduced_to_one_whole_text(spark):
+    r = [prose(700 + i, 120) for i in range(6)]
+    near = r[2].replace("alpha", "omega", 1)
+    texts = [r[0], r[0], r[1], r[1], r[2], near, near, r[3], r[3], r[4], r[5], None, None, ""]
+    ids = [5, 5, 7, None, 9, None, 3, None, None, 11, 3, 5, None, 7]
+    docs = frame(spark, texts, ids)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).cache()
+    assert kept.columns == docs.columns
+    key = lambda rows: sorted(rows, key=repr)
+    want = key([(5, r[0]), (7, r[1]), (3, near), (None, r[3]), (11, r[4]), (3, r[5]), (5, None), (None, None), (7, "")])
+    assert key((x.doc_id, x.text) for x in kept.collect()) == want
+    cut = corpus_pipeline.cut_repeats(spark, kept, SF)
+    assert key((x.doc_id, x.text) for x in cut.collect()) == want
+
+
 def test_run_gives_the_rows_of_the_last_stage(spark, small):
     sf, *_ = small
     rows = corpus_pipeline.run(spark, sf).collect()
