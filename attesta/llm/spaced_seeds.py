@@ -5,11 +5,13 @@ punctuation counts as white space). Fixed masks choose some positions of a
 window and ignore the others, so a window still hashes alike after
 substitutions at ignored positions. Training windows are probed against the
 hashes of the test items; every hit fixes a diagonal (test position against
-training position), and along it the stretch with the best score (a match
-counts 1, a substitution costs PENALTY) is verified word by word. A document
-is contaminated by an item if such a stretch has at least LEAST_WORDS words
-(or the item's length, if shorter) and a share of LEAST_SHARE of them agrees.
-An overlap whose substitutions leave no mask whole anywhere is not found.
+training position), and its words are compared one by one. A document is
+contaminated by an item if any stretch of such a diagonal has at least
+LEAST_WORDS words (or the item's length, if shorter) and a share of LEAST_SHARE
+of them agrees. Of these, the stretch with the best score of the diagonal (a
+match counts 1, a substitution costs PENALTY) is reported if it is one of them,
+else the longest. An overlap whose substitutions leave no mask whole anywhere
+is not found.
 
 The corpus is read in one map without a shuffle. What travels to the executors
 is a slice of the test items of at most SLICE_CHARS characters; a larger test
@@ -115,8 +117,27 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(first_low[end]), end
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """[start, end) of the longest stretch with a share of LEAST_SHARE of matches, the first on ties; (0, 0) if there is none."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - LEAST_SHARE, -LEAST_SHARE))])
+    later = np.maximum.accumulate(total[::-1])[::-1]  # the highest total from here on never rises
+    ends = np.searchsorted(-later, -total, "right") - 1
+    start = int(np.argmax(ends - np.arange(len(total))))
+    return (start, int(ends[start])) if ends[start] > start else (0, 0)
+
+
+def verified(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The stretch that counts as an overlap, or None where no stretch of ``least`` words has a share of LEAST_SHARE of matches."""
+    if equal.sum() < LEAST_SHARE * least:
+        return None
+    a, b = best_stretch(equal)
+    if b - a < least or equal[a:b].sum() < LEAST_SHARE * (b - a):
+        a, b = longest_stretch(equal)
+    return (a, b) if b - a >= least else None
+
+
 def overlaps(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, start in the text, start in the item, words, equal words): the best stretch of each contaminated pair."""
+    """(text, item, start in the text, start in the item, words, equal words): the verified stretch of each contaminated pair with most equal words."""
     at, item, own = seeds.hits(ids)
     if not len(at):
         return []
@@ -129,10 +150,10 @@ def overlaps(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: Seeds
         if hi <= lo:
             continue
         equal = words[lo:hi] == ids[lo + d : hi + d]
-        a, b = best_stretch(equal)
-        n, same = b - a, int(equal[a:b].sum())
-        if n >= min(LEAST_WORDS, len(words)) and same >= LEAST_SHARE * n:
-            row = (t, k, int(lo + a + d - starts[t]), int(lo + a), n, same)
+        if stretch := verified(equal, min(LEAST_WORDS, len(words))):
+            a, b = stretch
+            same = int(equal[a:b].sum())
+            row = (t, k, int(lo + a + d - starts[t]), int(lo + a), b - a, same)
             if (t, k) not in best or (same, -row[2]) > (best[t, k][5], -best[t, k][2]):
                 best[t, k] = row
     return sorted(best.values())

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from helpers import frame, odd_texts, prose
 
 from attesta.llm import spaced_seeds as S
@@ -68,3 +69,25 @@ def test_best_stretch():
 
     assert S.best_stretch(np.array([1, 1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)) == (0, 7)
     assert S.best_stretch(np.array([0, 0, 1], bool)) == (2, 3)
+
+
+def test_any_stretch_of_a_diagonal_counts(spark):
+    words = prose(7, 20).split()
+    changed = [w if i not in (6, 8, 10, 12, 14) else "changed" for i, w in enumerate(words)]  # 15 of 20 agree, the best score ends after 6
+    assert S.best_stretch(np.array([w != "changed" for w in changed])) == (0, 6)
+    docs = frame(spark, [f"{prose(8, 12)} {' '.join(changed)} {prose(9, 12)}"])
+    rows = S.contaminated(docs, items(spark, [" ".join(words)])).collect()
+    assert [(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_words, r.n_equal) for r in rows] == [(0, 0, 12, 0, 20, 15)]
+
+
+def test_verified_stretches_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(400):
+        equal = np.array([r.random() < 0.7 for _ in range(r.randrange(1, 30))])
+        least = min(S.LEAST_WORDS, len(equal))
+        fit = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].sum() >= S.LEAST_SHARE * (b - a)]
+        a, b = S.longest_stretch(equal)
+        assert b - a == max(fit, default=0)
+        found = S.verified(equal, least)
+        assert (found is not None) == any(n >= least for n in fit)
+        assert found is None or found[1] - found[0] >= least and equal[found[0] : found[1]].sum() >= S.LEAST_SHARE * (found[1] - found[0])
