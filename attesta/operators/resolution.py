@@ -8,6 +8,7 @@ A group is bounded by one ingest session's mentions of one type.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import best_ratio, cosine, fuzzy_ratio, name_tokens
+from attesta.functions.scalars import best_ratio, cosine, fuzzy_ratio, name_tokens, normalize_name
 
 FUZZY, SEMANTIC, MARGIN, CORROBORATIONS = 0.90, 0.85, 0.05, 2
 RESULT = "session string, type string, seq long, mention string, outcome string, canonical string, layer string, new_alias string, matches array<struct<score:double,name:string,layer:string>>"
@@ -132,7 +133,7 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """RESULT for every mention (session, type, seq, mention, embedding) against ``entities`` (name, type, aliases, embedding, corroborations).
 
     Of the stored entities only those that some layer could pick for a mention
-    of the group travel to it: those that share a token, or score SEMANTIC.
+    of the group travel to it: those that share a token, or score FUZZY or SEMANTIC.
     """
     entities = entities if "corroborations" in entities.columns else entities.withColumn("corroborations", F.lit(0))
     entities = entities.toDF(*entities.columns)  # both sides may come from one table
@@ -147,14 +148,16 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """session and the entities of the mention's type that share a token, a three-letter start or the vector's neighbourhood."""
-    blocks = lambda name: F.array_distinct(F.concat(name_tokens(name), F.transform(name_tokens(name), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 3)))))
-    m = mentions.select("session", "type", F.explode(blocks("mention")).alias("__block")).distinct()
-    pooled = F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), blocks))
+    """session and the entities of the mention's type that share a token or a normalized name, are similar by name, or are the vector's neighbours."""
+    m = mentions.select("session", "type", F.explode(name_tokens("mention")).alias("__block")).distinct()
+    pooled = F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), name_tokens))
     e = entities.select("name", "type", F.explode(F.array_distinct(pooled)).alias("__block"))
     by_name = m.join(e, ["type", "__block"]).select("session", "type", "name")
+    named = mentions.select("session", "type", F.col("mention").alias("a_name")).distinct()
+    pairs = fuzzy_pairs(named.select("type", F.col("a_name").alias("name")).distinct(), entities)
+    by_ratio = named.join(pairs, ["type", "a_name"]).select("session", "type", F.col("b_name").alias("name"))
     by_vector = semantic_pairs(mentions.select("session", "type", "embedding"), entities).select("session", "type", "name")
-    keys = by_name.unionByName(by_vector).distinct()
+    keys = by_name.unionByName(by_ratio).unionByName(by_vector).distinct()
     return keys.join(entities.select("name", "type", "aliases", F.col("embedding").cast("array<double>").alias("embedding"), F.col("corroborations").cast("int").alias("corroborations")), ["type", "name"]).select("session", "type", "name", "aliases", "embedding", "corroborations")
 
 
@@ -179,13 +182,69 @@ def containment_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.where((inside | around) & ~(inside & around)).select("type", "a_name", "b_name")
 
 
+def _budget(n: int, m: int, threshold: float) -> int:
+    """The most characters outside common blocks that names of these lengths may have at the threshold."""
+    most = int((1 - threshold) * (n + m) + 1e-9)
+    return most - (most - n - m) % 2  # what is outside has the parity of n + m
+
+
+def fuzzy_keys(name: str, threshold: float, stored: bool) -> list[str]:
+    """Keys of a normalized name; a mention and a stored name with a ratio of at least ``threshold`` (above 0) share one.
+
+    A ratio of r leaves at most (1 - r) of both lengths outside the common
+    blocks. Cut into one segment more than that, a stored name has a segment
+    which the other holds unbroken, shifted by no more than what was inserted or
+    left out. So its segments meet the substrings of mentions at those shifts,
+    for every length that can reach the threshold. Where a segment would be
+    empty, the two lengths alone are the key.
+    """
+    n = len(name)
+    low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+    out = set()
+    for m in range(low, high + 1):
+        mine, other = (n, m) if stored else (m, n)  # lengths of the stored name and of the mention
+        d = _budget(n, m, threshold)
+        if d < 0:
+            continue
+        if d >= mine:
+            out.add(f"{mine}/{other}")
+            continue
+        left_out, inserted = (d - (other - mine)) // 2, (d + (other - mine)) // 2
+        for i in range(d + 1):
+            a, b = i * mine // (d + 1), (i + 1) * mine // (d + 1)
+            for at in (a,) if stored else range(max(0, a - left_out), min(other - (b - a), a + inserted) + 1):
+                out.add(f"{mine}/{other}/{i}/{name[at : at + b - a]}")
+    return sorted(out)
+
+
+def _fuzzy_keys(name, threshold: float, stored: bool):
+    @F.pandas_udf("array<string>")
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: fuzzy_keys(x, threshold, stored))
+
+    return run(name)
+
+
+def _names(entities: DataFrame):
+    """The name and the aliases, normalized."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
+    return F.array_compact(F.array_distinct(F.transform(F.concat(F.array("name"), aliases), normalize_name)))
+
+
 def fuzzy_pairs(a: DataFrame, b: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """(type, a_name, b_name, ratio): blocked on the type and a shared start of a token, scored by Ratcliff-Obershelp."""
-    key = lambda c: F.array_distinct(F.transform(name_tokens(c), lambda t: F.substring(t, 1, 3)))
-    left = a.select("type", F.col("name").alias("a_name"), F.explode(key("name")).alias("k"))
-    right = b.select("type", F.col("name").alias("b_name"), F.explode(key("name")).alias("k"))
-    pairs = left.join(right, ["type", "k"]).drop("k").distinct()
-    return pairs.withColumn("ratio", fuzzy_ratio(F.array_join(name_tokens("a_name"), " "), F.array_join(name_tokens("b_name"), " "))).where(F.col("ratio") >= threshold)
+    """(type, a_name, b_name, ratio): all pairs of one type, the best ratio of a's name to b's name and aliases.
+
+    Distinct normalized names are blocked without loss by ``fuzzy_keys`` and
+    scored whole by Ratcliff-Obershelp. The threshold is above 0.
+    """
+    left = a.where("name IS NOT NULL").select("type", F.col("name").alias("a_name"), normalize_name("name").alias("x"))
+    right = b.select("type", F.col("name").alias("b_name"), F.explode(_names(b)).alias("y"))
+    key = F.xxhash64("k")
+    x = left.select("type", "x").distinct().select("type", "x", F.explode(_fuzzy_keys(F.col("x"), threshold, False)).alias("k")).select("type", "x", key.alias("k"))
+    y = right.select("type", "y").distinct().select("type", "y", F.explode(_fuzzy_keys(F.col("y"), threshold, True)).alias("k")).select("type", "y", key.alias("k"))
+    near = F.levenshtein("x", "y") <= (1 - threshold) * (F.length("x") + F.length("y")) + 1e-9  # never more than what common blocks leave
+    scored = x.join(y, ["type", "k"]).select("type", "x", "y").distinct().where(near).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= threshold)
+    return scored.join(left, ["type", "x"]).join(right, ["type", "y"]).groupBy("type", "a_name", "b_name").agg(F.max("ratio").alias("ratio"))
 
 
 def alias_deltas(resolutions: DataFrame) -> DataFrame:

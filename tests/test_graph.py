@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,30 @@ def test_resolution_layers(spark):
     assert resolve(spark, [("Federal Reserve System", [1.0, 0.0])], bare) == [("resolve", "Federal Reserve", "store_containment")]
 
 
+def test_fuzzy_pairs_miss_none(spark):
+    r = random.Random(5)
+    base = ["Johannesburg", "MacDonalds", "New York", "abcdefghij", "Federal Reserve Bank of Saint Louis", "aaaaaaaaaaaa", "xy", "!?", "Bank  Bank", "European Organization for Nuclear Research in the Canton of Geneva"]
+    names = [*base, "Kohannesburg", "McDonalds", "New York New York"]
+    for n in base * 12:
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(n) + 1)
+            n = r.choice([n[:at] + r.choice("abkx ") + n[at:], n[:at] + n[at + 1 :], n[:at] + r.choice("abkx") + n[at + 1 :]])
+        names.append(n)
+    stored = [(n, "t", [names[-1 - i]] if i % 3 == 0 else None) for i, n in enumerate(sorted(set(names)))]
+    a = spark.createDataFrame([(n, "t") for n in sorted(set(names))] + [("Johannesburg", "other")], "name string, type string")
+    for threshold in (0.90, 0.75):
+        rows = resolution.fuzzy_pairs(a, spark.createDataFrame(stored, "name string, type string, aliases array<string>"), threshold).collect()
+        best = {(m, n): resolution.best_ratio(resolution.norm(m), [resolution.norm(x) for x in (n, *(al or []))]) for m in set(names) for n, _, al in stored}
+        assert {(x.a_name, x.b_name): x.ratio for x in rows} == {k: v for k, v in best.items() if v >= threshold} and len(rows) == len({(x.a_name, x.b_name) for x in rows})
+    found = {(x.a_name, x.b_name) for x in resolution.fuzzy_pairs(a, a).collect()}  # without aliases
+    assert {("Kohannesburg", "Johannesburg"), ("McDonalds", "MacDonalds")} <= found and ("New York New York", "New York") not in found
+
+
+def test_mentions_with_other_first_letters_are_resolved(spark):
+    store = [("Johannesburg", [], None, 0), ("Golden Arches", ["MacDonalds"], None, 0)]
+    assert resolve(spark, [("Kohannesburg", None), ("McDonalds", None)], store) == [("resolve", "Johannesburg", "store_fuzzy"), ("resolve", "Golden Arches", "store_fuzzy")]
+
+
 DDL = "subject string, subject_type string, relation string, object string, object_type string, confidence double, evidence string, scope_conditions string, source_ref string, domain string"
 
 
