@@ -142,6 +142,8 @@ class Delta:
     aliases: DataFrame
     ambiguous: DataFrame
     stats: dict[str, int] = field(default_factory=dict)
+    embed: resolution.Embedder | None = None
+    work: str = ""
 
 
 def _candidates_with_names(triples: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -194,15 +196,24 @@ def propose(spark: SparkSession, chunks: DataFrame, tables: dict[str, DataFrame]
     ).select("session", "m.seq", "m.mention", "m.type")
     typed = with_canonical(ends, registry, "entity_type", "type")
     vector = resolution.embedding_udf(models.embed)("mention") if models.embed else F.lit(None).cast("array<double>")
-    resolved = once(resolution.resolve(typed.withColumn("embedding", vector).select("session", "type", "seq", "mention", "embedding"), tables["entities"]), "resolutions")
+    mentions = once(typed.withColumn("embedding", vector).select("session", "type", "seq", "mention", "embedding"), "mentions")
+    resolved = once(resolution.resolve(mentions, tables["entities"]), "resolutions")
 
     named = canonicalize_triples(_candidates_with_names(triples, resolved), registry)
     domains = with_canonical(named.withColumn("domain", F.coalesce("domain", F.lit(""))), registry, "domain", "domain")
     candidates = once(domains.drop("domain_known", "relation_known", "flipped"), "candidates")
     edges = candidates.withColumn("evidence", F.array("evidence"))
     new, changed = ledger.assemble_delta(edges, tables["arrows"])
-    entities = resolved.where("outcome <> 'resolve'").select(F.coalesce("canonical", "mention").alias("name"), "type").distinct().withColumns({"aliases": F.array().cast("array<string>"), "embedding": F.lit(None).cast("array<double>")})
-    return Delta(new, changed, entities, candidates, measured, rejected, resolution.alias_deltas(resolved), resolution.ambiguities(resolved))
+    return Delta(new, changed, created_entities(resolved, mentions), candidates, measured, rejected, resolution.alias_deltas(resolved), resolution.ambiguities(resolved), embed=models.embed, work=work)
+
+
+def created_entities(resolved: DataFrame, mentions: DataFrame) -> DataFrame:
+    """name, type, no aliases and the vector of the first mention that created it; queued mentions stand for themselves, without one."""
+    own = mentions.select("session", "seq", F.col("embedding").cast("array<double>").alias("__own"))
+    rows = resolved.where("outcome <> 'resolve'").join(own, ["session", "seq"], "left").withColumn("__vector", F.when(F.col("outcome") == "create", F.col("__own")))
+    first = F.min_by("__vector", F.struct(F.col("__vector").isNull(), "session", "seq"))
+    found = rows.groupBy(F.coalesce("canonical", "mention").alias("name"), "type").agg(first.alias("embedding"))
+    return found.select("name", "type", F.array().cast("array<string>").alias("aliases"), "embedding")
 
 
 def edit_confidence(delta: Delta, triple: tuple[str, str, str], confidence: float) -> Delta:
@@ -226,19 +237,29 @@ def rejection_records(delta: Delta, reason: str = "rejected in review") -> DataF
     return delta.candidates.select(body.alias("candidate"), "source_ref", "evidence", "scope_conditions", F.lit("rejected").alias("decision"), F.lit(reason).alias("reason"), null.alias("verdict"), null.alias("guard_class"), F.lit("review").alias("step"))
 
 
+def _with_vectors(delta: Delta, rows: DataFrame, wanted: Column, name: str) -> DataFrame:
+    """``rows`` with evidence_embedding where there is evidence and the row is wanted (null if the embedder fails); written before it is used twice."""
+    if delta.embed is None:
+        return rows
+    text = F.when(wanted & (F.coalesce("evidence", F.lit("")) != ""), F.col("evidence"))
+    out = rows.withColumn("evidence_embedding", resolution.embedding_udf(delta.embed)(text))
+    out.write.mode("overwrite").parquet(f"{delta.work}/{name}")
+    return rows.sparkSession.read.schema(out.schema).parquet(f"{delta.work}/{name}")
+
+
 def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: str = "keep-first") -> dict[str, int]:
     """One snapshot of everything the delta touches; returns counts of what it did."""
     stored = store.table("ledger")
     top = stored.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     order = Window.orderBy("source_id", "seq")  # one ingest's candidates
     rows = delta.candidates.withColumn("seq", F.lit(top) + F.row_number().over(order))
-    plan = ledger.plan_writes(stored, rows, mode)
+    plan = _with_vectors(delta, ledger.plan_writes(stored, rows, mode), F.col("action") != "skip", "planned-rows")
     after = ledger.apply_plan(stored, plan, now)
     arrows = ledger.merge_arrows(store.table("arrows"), ledger.planned_arrows(stored, plan), now)
     measured = store.table("state_events")
     top_state = measured.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     numbered = delta.states.withColumn("seq", F.lit(top_state) + F.row_number().over(Window.orderBy("source_id", "seq")))
-    states_after, _ = states.upsert_states(measured, numbered, registry, now)
+    states_after, _ = states.upsert_states(measured, _with_vectors(delta, numbered, F.lit(True), "measured-rows"), registry, now)
     people = with_canonical(delta.states.select(F.col("entity").alias("name"), F.col("entity_type").alias("type")), registry, "entity_type", "type").select("name", "type").distinct()
     people = people.withColumns({"aliases": F.array().cast("array<string>"), "embedding": F.lit(None).cast("array<double>")})
     aliases = delta.aliases.withColumn("embedding", F.lit(None).cast("array<double>"))

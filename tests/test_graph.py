@@ -228,6 +228,37 @@ def test_ingest_end_to_end_over_the_command_line(spark, tmp_path, monkeypatch, c
     assert run("fact-check", "--domain", "finance", "--source", "x") == 2 and run("reset") == 2 and run("reset", "--yes") == 0
 
 
+def test_ingest_stores_vectors_of_entities_and_evidence(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("ATTESTA_HOME", str(tmp_path / "home"))
+    first, second = tmp_path / "first.md", tmp_path / "second.md"
+    first.write_text("# Top\nThe Fed funds Banks.\n# More\nApproval is 42.")
+    second.write_text("# Top\nEccles House funds Banks.")
+
+    def extract(chunk):
+        base = {"confidence": 0.8, "evidence": "seen", "scope_conditions": "always", "source_ref": chunk["source_ref"]}
+        if "42" in chunk["text"]:
+            return [("propose_state", base | {"entity": "Leader", "entity_type": "politician", "state_key": "popularity", "value": "42", "unit": "%", "as_of": "2024"})]
+        who = "The Fed" if "Fed" in chunk["text"] else "Eccles House"
+        return [("propose_triple", base | {"subject": who, "subject_type": "central_bank", "relation": "finances", "object": "Banks", "object_type": "organization", "evidence": "seen" if who == "The Fed" else "broken", "domain": "finance"})]
+
+    def embed(text):
+        if text == "broken":
+            raise OSError("no model")
+        return {"seen": [0.5, 0.5], "Banks": [0.0, 1.0]}.get(text, [1.0, 0.0])
+
+    run = lambda *a: cli.main(list(a), cli.Seams(extract=extract, embed=embed), spark)
+    assert run("init") == 0 and run("ingest", str(first), "--yes") == 0
+    store = Store(spark, str(tmp_path / "home" / "store"))
+    vectors = lambda: {r.name: r.embedding for r in store.table("entities").where("name <> 'Leader'").collect()}
+    assert vectors() == {"The Fed": [1.0, 0.0], "Banks": [0.0, 1.0]}
+    for table in ("ledger", "state_events"):
+        assert [r.evidence_embedding for r in store.table(table).collect()] == [[0.5, 0.5]]
+    assert run("ingest", str(second), "--yes") == 0  # a paraphrase finds the stored vector; a failing embedder leaves null
+    assert vectors() == {"The Fed": [1.0, 0.0], "Banks": [0.0, 1.0]}
+    rows = store.table("ledger").orderBy("seq").collect()
+    assert [(r.subject, r.evidence_embedding) for r in rows] == [("The Fed", [0.5, 0.5]), ("The Fed", None)]
+
+
 def test_scan(spark):
     chunks = chunking.chunk_markdown(spark.createDataFrame([("d.md", "# A\nx\n# B\ny\n# C\nz")], "source_id string, text string"))
     found = ingest.scan(chunks, lambda text: {"verbs": ["Leads To", "orbits", "HEDGES"], "entities": [{"name": "Fed", "type": "central_bank"}]}, 2)
