@@ -7,10 +7,11 @@ names never reach a join.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests in local mode) a folder of
-    our own is used.
+    A local session that names none (unit tests, the bench) gets a folder of its
+    own, which goes when the program ends. On a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="attesta-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
@@ -47,9 +53,9 @@ class Scratch:
     """Written tables that cut lineage; they survive the loss of executors.
 
     ``keep(df, name)`` writes a table and reads it back, ``drop(name)`` removes
-    it early, and ``owned_by(result)`` removes the rest when that very DataFrame
-    is garbage (not one derived from it, so only the outermost caller may use
-    it). Without that they stay in the checkpoint folder, as checkpoints do.
+    it once nothing reads it any more. What a result reads stays in the
+    checkpoint folder, as checkpoints do, until ``close()`` or until that folder
+    is cleaned: results may be derived from, cached and read again at any time.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -63,17 +69,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, self.path(name))
 
-    def owned_by(self, result: DataFrame) -> DataFrame:
-        weakref.finalize(result, _delete, self.spark, self.base)
-        return result
+    def close(self) -> None:
+        """Remove all tables; results that read them can't be used after."""
+        _delete(self.spark, self.base)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session ended first
-        return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -103,3 +108,19 @@ def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], rows: int, o
         .withColumn(out, (F.col("__base") + F.col("__rn") - 1).cast("long"))
         .drop("__sub", "__base", "__rn")
     )
+
+
+#: A key is hot if it has more than this share of all rows; so fewer than 1 / HOT_SHARE keys are.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (distinct ``on``, and ``n``, how many rows each key has of ``total``), inner.
+
+    The rows of hot keys are joined where they lie, with a table of fewer than
+    ``1 / HOT_SHARE`` rows, whatever the data; the others are shuffled by key.
+    """
+    most = max(1, total * HOT_SHARE)
+    hot = F.broadcast(keys.where(F.col(n) > most))  # fewer than 1 / HOT_SHARE keys can have so many rows
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(n) <= most), on)
+    return rows.join(hot, on).unionByName(cold)

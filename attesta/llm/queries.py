@@ -20,14 +20,12 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = scratch.keep(warc.assemble(found), "captures")
     rows = warc.resolve_revisits(captures)
     full = F.coalesce("original.response", "response")
-    return scratch.owned_by(
-        rows.select(
-            warc.page_of("metadata").alias("page_id"),
-            full["payload_bytes"].alias("payload_bytes"),
-            full["payload_digest"].alias("payload_digest"),
-            F.col("response.record_type").alias("record_type"),
-            warc.page_of("original.metadata").alias("refers_to"),
-        )
+    return rows.select(
+        warc.page_of("metadata").alias("page_id"),
+        full["payload_bytes"].alias("payload_bytes"),
+        full["payload_digest"].alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        warc.page_of("original.metadata").alias("refers_to"),
     )
 
 
@@ -45,19 +43,19 @@ def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op4")
-    return scratch.owned_by(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch))
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch)
 
 
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     folder = scratch.path("ids")
     huffman.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), scratch=scratch)
-    return scratch.owned_by(huffman.read_digests(spark, folder, scratch))
+    return huffman.read_digests(spark, folder, scratch)
 
 
 def op6_vector_bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op6")
-    return scratch.owned_by(sharding.assign(read_table(spark, sf_dir, "documents"), scratch=scratch))
+    return sharding.assign(read_table(spark, sf_dir, "documents"), scratch=scratch)
 
 
 def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +65,7 @@ def op7_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
-    return scratch.owned_by(minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, scratch=scratch))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, scratch=scratch)
 
 
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +76,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     names = {"__n_bytes": "n_bytes", "__n_removed": "n_removed", "__n_spans": "n_spans", "__sha256": "kept_sha256"}
     scratch = Scratch(spark, "op10")
-    return scratch.owned_by(suffix_array.deduplicate(docs, ["doc_id"], with_text=False, scratch=scratch).withColumnsRenamed(names))
+    return suffix_array.deduplicate(docs, ["doc_id"], with_text=False, scratch=scratch).withColumnsRenamed(names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
