@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = rows.select(F.col(key).alias("__member"), F.col("doc_id").cast("long").alias("__id")).join(grouped, "__member")
     first = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__member"))["__member"].alias("__member"))
     losers = scratch.keep(grouped.select("__member").join(first.select("__member"), "__member", "left_anti"), "losers")
-    return scratch.owned_by(rows.join(losers, rows[key] == losers["__member"], "left_anti").select(*docs.columns))
+    return rows.join(losers, rows[key] == losers["__member"], "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +50,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(changed, decoded(F.when(changed, F.col("__kept")).otherwise(F.lit(b"")))).otherwise(F.col("text"))
     out = found.withColumn("__new", text)
     columns = [F.col("__new").alias(c) if c == "text" else F.when(changed, F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return scratch.owned_by(out.select(*columns))
+    return out.select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark. Rows without a doc_id stay."""
     scratch = Scratch(spark, "stage-spaced-seeds")
     leaks = scratch.keep(spaced_seeds.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return scratch.owned_by(docs.join(leaks, "doc_id", "left_anti").select(*docs.columns))
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
     scratch = Scratch(spark, "stage-packing")
-    return scratch.owned_by(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch)
 
 
 STAGES = [
@@ -86,4 +86,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(STAGES[k - 1][0])
-    return scratch.owned_by(docs)
+    return docs
