@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch, free_name
+from attesta.llm.common import Scratch
 
 # Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_GROUPS = (
@@ -71,22 +71,26 @@ class Model:
     weights: dict[str, float]
     intercept: float
 
-    def scorer(self):
-        """A function from text to score; answers per word are kept."""
-        weights, known = self.weights, {}
+    def scorer(self, most: int = 60_000):
+        """A function from text to score; answers per word are kept, for at most 2 * ``most`` words."""
+        weights, known, older = self.weights, {}, {}
         index = {f: i for i, f in enumerate(weights)}
         value = np.array([*weights.values(), 0.0])
 
         def score(text: str | None) -> float:
+            nonlocal known, older
             found: set[int] = set()
             for raw in set((text or "").lower().split()):
                 ids = known.get(raw)
                 if ids is None:
-                    word = raw.strip(STRIP)
-                    ids = tuple(i for f in features_of(word) if (i := index.get(f)) is not None) if word else ()
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[raw] = ids
+                    ids = older.get(raw)
+                    if ids is None:
+                        word = raw.strip(STRIP)
+                        ids = tuple(i for f in features_of(word) if (i := index.get(f)) is not None) if word else ()
+                    if len(known) >= most:
+                        known, older = {}, known
+                    if len(raw) <= 64:
+                        known[raw] = ids
                 if ids:
                     found.update(ids)
             z = self.intercept + float(value[sorted(found)].sum()) if found else self.intercept
@@ -102,20 +106,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     n = own.count()
     if n > sample:
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, "doc_id")
+    # The sample is bounded by its parameter, so it goes to the texts, not the texts to it.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
 
 
 def select_features(rows: DataFrame, most: int, least: int) -> list[str]:
     """The features whose presence tells the classes apart best, by the G statistic, above what chance gives; identity terms come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}  # one sample's features: bounded by the sample
+        def table(seen: dict[str, list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([t for _, t in seen.values()], pa.int64())], names=["f", "n", "t"])
+
+        seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for f in {f for w in words_of(text.as_py()) for f in features_of(w)}:
                     seen.setdefault(f, [0, 0])[y >= 0.5] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([t for _, t in seen.values()], pa.int64())], names=["f", "n", "t"])
+                if len(seen) >= 100_000:  # partial counts: they are summed below
+                    yield table(seen)
+                    seen = {}
+        yield table(seen)
 
     counts = rows.select("text", "y").mapInArrow(run, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") + F.col("t") >= least)
     whole = rows.agg(F.sum(F.when(F.col("y") < 0.5, 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("y") >= 0.5, 1).otherwise(0)).alias("t")).first()
@@ -200,18 +210,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of every row (all by default) and ``__score`` of its whole text."""
+    """Columns ``keep`` of every row (all by default) and ``__score`` of its whole text; only texts go to Python."""
     keep = docs.columns if keep is None else keep
-    schema = docs.select(*keep).schema.add("__score", "double")
-    own = free_name(keep, "__text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
-        for batch in batches:
-            scores = [of(text.as_py()) for text in batch.column(own)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "__score"])
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = model.scorer()
+        for texts in batches:
+            yield pa.array([one(t.as_py()) for t in texts], pa.float64())
 
-    return docs.select(*keep, F.col("text").cast("string").alias(own)).mapInArrow(run, schema)
+    return docs.select(*keep, of(F.col("text").cast("string")).alias("__score"))
 
 
 def held_out(doc_id: str = "doc_id"):
