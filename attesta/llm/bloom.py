@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FALSE_RATE = 0.01
@@ -59,16 +59,15 @@ def fill(keys: DataFrame, n: int, level: int) -> Filter:
     return made
 
 
-def having(df: DataFrame, column: str, ids: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is among ``ids`` (one column, distinct), and a few others.
+def membership(ids: DataFrame, most_bytes: int = 32 << 20) -> Callable[[str], Column] | None:
+    """A test of a column against ``ids`` (one column, distinct): never false for a member, seldom true for another.
 
-    While the filter for the ids is below ``most_bytes`` nothing is shuffled;
-    beyond it a semi join does the same exactly.
+    None where the filter would pass ``most_bytes``.
     """
     name = ids.columns[0]
     n = ids.count()
     if n * 10 / 8 > most_bytes:
-        return df.join(ids.withColumnRenamed(name, column), column, "left_semi")
+        return None
     hashed = ids.select(F.xxhash64(name).alias("h1"), F.xxhash64(name, F.lit(1)).bitwiseOR(F.lit(1)).alias("h2"))
     held = fill(hashed, max(n, 1), 0)
 
@@ -76,4 +75,14 @@ def having(df: DataFrame, column: str, ids: DataFrame, most_bytes: int = 32 << 2
     def inside(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(held.passes(h1.to_numpy().astype(np.uint64), h2.to_numpy().astype(np.uint64)))
 
-    return df.where(inside(F.xxhash64(column), F.xxhash64(column, F.lit(1)).bitwiseOR(F.lit(1))))
+    return lambda column: inside(F.xxhash64(column), F.xxhash64(column, F.lit(1)).bitwiseOR(F.lit(1)))
+
+
+def having(df: DataFrame, column: str, ids: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids`` (one column, distinct), and a few others.
+
+    While the filter for the ids is below ``most_bytes`` nothing is shuffled;
+    beyond it a semi join does the same exactly.
+    """
+    inside = membership(ids, most_bytes)
+    return df.join(ids.withColumnRenamed(ids.columns[0], column), column, "left_semi") if inside is None else df.where(inside(column))

@@ -114,13 +114,16 @@ def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], rows: int, o
 HOT_SHARE = 1 / 1000
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``keys`` (distinct ``on``, and ``n``, how many rows each key has of ``total``), inner.
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys`` (distinct ``on``, and ``n``, how many rows each key has of ``total``), inner or left.
 
     The rows of hot keys are joined where they lie, with a table of fewer than
     ``1 / HOT_SHARE`` rows, whatever the data; the others are shuffled by key.
+    ``keys`` is read twice, so it should be a written table.
     """
     most = max(1, total * HOT_SHARE)
-    hot = F.broadcast(keys.where(F.col(n) > most))  # fewer than 1 / HOT_SHARE keys can have so many rows
-    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(n) <= most), on)
-    return rows.join(hot, on).unionByName(cold)
+    hot = keys.where(F.col(n) > most)  # fewer than 1 / HOT_SHARE keys can have so many rows
+    if hot.isEmpty():
+        return rows.join(keys, on, how)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(n) <= most), on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)

@@ -10,12 +10,14 @@
    if their full sets are similar enough. Components of these links are found.
 4. What is left are buckets whose members lie in different components: there
    every member outside the bucket's largest component is held against the
-   members of other components, in blocks; their exact distances to the hub (by
-   the triangle inequality) and the signature estimate discard what can't reach
-   the threshold, the rest is again confirmed on full sets: first
-   each one's likeliest partners, then, where those didn't join it, all others.
-   Pairs within one component can't change the result and are skipped; no pair
-   that could is.
+   members of other components, in blocks and in the first bucket that the two
+   share. Their exact distances to the hub (by the triangle inequality), the
+   signature estimate and the smallest ``LOWEST`` hashes of both sets discard
+   what can't reach the threshold where it is met, so no refuted pair becomes a
+   row; for sets of up to ``LOWEST`` shingles the last is an exact bound. The
+   rest is again confirmed on full sets: first each one's likeliest partners,
+   then, where those didn't join it, all others. Pairs within one component
+   can't change the result and are skipped; no pair that could is.
 5. Components by alternating large-star and small-star on the links.
 
 Equality of shingles is equality of 64-bit hashes; links are decided on whole
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.bloom import having
-from attesta.llm.common import Scratch
+from attesta.llm.common import Scratch, join_counted
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, BANDS = 6, 48
@@ -48,6 +50,9 @@ HASHES = ROWS * BANDS
 #: Estimates below this share of equal signature bytes can't belong to a pair at the threshold: five standard deviations.
 SURELY_BELOW = 0.68
 BLOCK, LIKELIEST = 512, 3
+#: How many of a set's smallest hashes tell pairs apart more finely; larger sets are estimated, less five standard deviations.
+LOWEST = 512
+LOWEST_MARGIN = 5 * (0.8 * 0.2 / LOWEST) ** 0.5
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -117,6 +122,35 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
+def lowest(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, set_id, low: the smallest LOWEST hashes (their upper 32 bits) of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = [(xxhash.xxh3_128_digest(s.tobytes()), (s[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()) for s in (shingles(t.as_py(), k) for t in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["doc_id", "set_id", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, low binary")
+
+
+def similar(low: np.ndarray, size: int, lows: list[np.ndarray], sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Of sets given by their smallest hashes: which may be as similar as the threshold, and how similar they look (-1: they can't be)."""
+    out = np.full(len(lows), -1.0)
+    for k, (other, n) in enumerate(zip(lows, sizes.tolist(), strict=True)):
+        if size <= LOWEST and n <= LOWEST:
+            common = int(np.isin(other, low).sum())  # cut hashes can only meet more often
+            if 100 * common >= threshold * (size + n - common):
+                out[k] = common / max(1, size + n - common)
+        else:
+            both = np.union1d(low, other)[:LOWEST]
+            share = float((np.isin(both, low) & np.isin(both, other)).mean())
+            if share >= threshold / 100 - LOWEST_MARGIN:
+                out[k] = share
+    return out
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch: Scratch, name: str) -> DataFrame:
     """a, b, common, whole (the sizes of intersection and union of the full sets), linked: 100 * common >= threshold * whole.
 
@@ -174,6 +208,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges = after
         if ends:
             break
+    else:
+        raise RuntimeError("components did not settle in 199 rounds")
     return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("member"), F.col("v").alias("root")).distinct())
 
 
@@ -185,43 +221,53 @@ def _hubs(members: DataFrame) -> DataFrame:
     return ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("h")).select("bucket", (-F.col("h.least")).alias("a"))
 
 
-def _leftover(members: DataFrame, roots: DataFrame, sketches: DataFrame, threshold: int, best: int | None) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their root, the bucket's size ``n`` and its largest component ``main``."""
+    placed = members.join(roots.withColumnRenamed("member", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    sides = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sides.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("k > 1 AND n > 2")
+    return placed.join(mixed, "bucket")
+
+
+def _leftover(rows: DataFrame, sketches: DataFrame, threshold: int, best: int | None) -> DataFrame:
     """(a, b): pairs of one bucket and different components that nothing rules out.
 
-    ``members`` has each one's exact distance (1 - Jaccard) to the bucket's hub.
-    Distances obey the triangle inequality, so two members whose distances to
-    the hub differ by more than the threshold allows can't be linked; signatures
-    rule out more.
+    ``rows``: of ``_mixed``, with each one's exact distance (1 - Jaccard) to the
+    bucket's hub. Distances obey the triangle inequality, so two members whose
+    distances to the hub differ by more than the threshold allows can't be
+    linked; signatures and lowest hashes rule out more.
     best: of each member outside the largest component only the so many likeliest
     partners in each other component and block; None: all.
     """
-    placed = members.join(roots.withColumnRenamed("member", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    sides = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sides.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("k > 1 AND n > 2")
-    rows = placed.join(mixed, "bucket").withColumn("__odd", F.col("root") != F.col("main.root"))
+    rows = rows.withColumn("__odd", F.col("root") != F.col("main.root"))
     n_odd = F.col("n") - F.col("main.n")
     odd_blocks, all_blocks = F.ceil(n_odd / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), odd_blocks).cast("int"), F.pmod(F.xxhash64("doc_id"), all_blocks).cast("int")
-    signs = sketches.select("doc_id", "n_shingles", "signature")
     # Odd members meet every block of the bucket, every member meets every block of odd members.
     first = rows.where("__odd").select("bucket", "doc_id", "root", "away", own[0].alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("odd"))
     second = rows.select("bucket", "doc_id", "root", "away", F.explode(F.sequence(F.lit(0), odd_blocks - 1)).alias("i"), own[1].alias("j"), F.lit(False).alias("odd"))
-    blocks = first.unionByName(second).join(signs, "doc_id")
+    blocks = first.unionByName(second).join(sketches, "doc_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         odd, rest = group[group.odd], group[~group.odd]
         if odd.empty or rest.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        bucket = int(group.bucket.iloc[0])
         signature = np.frombuffer(b"".join(rest.signature), np.uint8).reshape(len(rest), HASHES)
+        bands = np.stack(rest.bands.to_numpy()).astype(np.int64)
+        low = [np.frombuffer(x, "<u4") for x in rest.low]
         size, root, ids, away = rest.n_shingles.to_numpy(), rest.root.to_numpy(), rest.doc_id.to_numpy(), rest.away.to_numpy()
         reach = 1 - threshold / 100 + 1e-9
         a, b = [], []
         for x in odd.itertuples():
             near = np.flatnonzero((root != x.root) & (np.abs(away - x.away) <= reach) & (100 * np.minimum(size, x.n_shingles) >= threshold * np.maximum(size, x.n_shingles)))
+            near = near[(signature[near] == np.frombuffer(x.signature, np.uint8)).mean(1) >= SURELY_BELOW]
+            if len(near):  # a pair is held together in the first bucket that it shares
+                shared = bands[near] == np.asarray(x.bands, np.int64)
+                near = near[bands[near, shared.argmax(1)] == bucket]
             if len(near):
-                equal = (signature[near] == np.frombuffer(x.signature, np.uint8)).mean(1)
-                likely = equal >= SURELY_BELOW
-                near, equal = near[likely], equal[likely]
+                equal = similar(np.frombuffer(x.low, "<u4"), x.n_shingles, [low[k] for k in near.tolist()], size[near], threshold)
+                near, equal = near[equal >= 0], equal[equal >= 0]
                 if best is not None and len(near) > best:
                     order = np.argsort(-equal, kind="stable")
                     nth = pd.Series(root[near[order]]).groupby(root[near[order]]).cumcount().to_numpy()
@@ -239,8 +285,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     sketches = scratch.keep(sketch(own, k), "sketches")
-    classes = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("s"))
-    reps = classes.select(F.col("class_id").alias("doc_id"), "s.*")
+    classes = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("s"), F.count("*").alias("copies"))
+    reps = classes.select(F.col("class_id").alias("doc_id"), "set_id", "s.*")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = scratch.keep(buckets.join(shared, "bucket").distinct(), "members")
@@ -252,19 +298,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     placed = scratch.keep(placed, "placed")  # the hub itself is at distance 0
     links = stars.where("linked").select("a", "b")
     roots = scratch.keep(components(links, scratch, "star"), "star-roots")
-    own_sketches = sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
+    own_sketches = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # The likeliest partners first: what they join needs no further pairs.
     for step, best in enumerate((LIKELIEST, None)):
-        more = _leftover(placed, roots, own_sketches, threshold, best).join(tested, ["a", "b"], "left_anti")
+        mixed = scratch.keep(_mixed(placed, roots), f"mixed-{step}")
+        asked = scratch.keep(mixed.select("doc_id").distinct(), f"asked-{step}")
+        fine = own_sketches.join(lowest(having(own, "doc_id", asked), k).distinct(), ["doc_id", "set_id"]).drop("set_id")
+        more = _leftover(mixed, fine, threshold, best).join(tested, ["a", "b"], "left_anti")
         more = scratch.keep(more, f"leftover-{step}")
+        scratch.drop(f"mixed-{step}", f"asked-{step}")
         tested = tested.unionByName(more)
         if not more.isEmpty():
             links = links.unionByName(confirm(more, own, k, threshold, scratch, f"links-{step}").where("linked").select("a", "b"))
             roots = scratch.keep(components(links, scratch, f"roots-{step}"), f"all-roots-{step}")
     # Classes take the root of their representative; copies of one doc_id with different sets share a node.
-    found = classes.select("set_id", "class_id").join(roots.withColumnRenamed("member", "class_id"), "class_id", "left").select("set_id", F.coalesce("root", "class_id").alias("root"))
-    placed = sketches.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    out = placed.select("doc_id", "n_shingles", component.alias("component_id"))
+    found = classes.select("set_id", "class_id", "copies").join(roots.withColumnRenamed("member", "class_id"), "class_id", "left").select("set_id", F.coalesce("root", "class_id").alias("root"), "copies")
+    found = scratch.keep(found, "found")
+    own_rows = sketches.select("doc_id", "n_shingles", "set_id")
+    several = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
+    placed = join_counted(own_rows.where(several), found, ["set_id"], "copies", sketches.count()).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    out = placed.unionByName(own_rows.where(~several).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
