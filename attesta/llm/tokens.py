@@ -107,7 +107,7 @@ class PieceEncoder:
     every other piece goes through the library's whole chain.
     """
 
-    def __init__(self, path: str, width: int, keeps_space: bool, cache: int = 1 << 20):
+    def __init__(self, path: str, width: int, keeps_space: bool, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -194,7 +194,7 @@ class PieceEncoder:
         wide = any(c in text for c in (_CONTROL if text.isascii() else _WIDE_SPACE))
         return (self._whole(text) if wide else self._parts(text.encode())) if text else b""
 
-    def batches(self, texts: Iterable[str | None], most: int = 1 << 22) -> Iterator[bytes]:
+    def batches(self, texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[bytes]:
         """As ``encode_all``, over about ``most`` characters at a time."""
         held, size = [], 0
         for t in texts:
