@@ -103,9 +103,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _show(df: DataFrame, as_json: bool = False, most: int = 200) -> None:
-    """Print at most ``most`` rows; listings are for reading."""
-    for r in search.render_hits(df, as_json).limit(most).collect():
+def _show(df: DataFrame, as_json: bool = False) -> None:
+    """Print every row, a partition at a time."""
+    for r in search.render_hits(df, as_json).toLocalIterator():
         print(r.value)
 
 

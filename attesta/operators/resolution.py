@@ -59,8 +59,13 @@ def _margin(scored: list[tuple[float, Known]]) -> Known | None:
     return None
 
 
-def resolve_one(mention: str, vector, session: list[Known], store: list[Known]) -> tuple[str, str | None, str, list[tuple[float, str]]]:
-    """(outcome, canonical, layer, matches): the first decisive layer wins; queue where it is ambiguous."""
+def resolve_one(mention: str, vector, session: list[Known], store: list[Known], recorded: dict[str, Known] | None = None) -> tuple[str, str | None, str, list[tuple[float, str]]]:
+    """(outcome, canonical, layer, matches): the first decisive layer wins; queue where it is ambiguous.
+
+    ``session`` holds the entities that the session created; ``recorded`` the
+    aliases that it has recorded so far (of stored entities too), which only
+    exact lookups see.
+    """
     key = norm(mention)
     own = _tokens([mention])
 
@@ -76,7 +81,7 @@ def resolve_one(mention: str, vector, session: list[Known], store: list[Known])
     def show(scored: list[tuple[float, Known]]) -> list[tuple[float, str]]:
         return sorted(((s, k.name) for s, k in scored), key=lambda x: (-x[0], x[1]))
 
-    if hit := next((k for k in session if key in k.names()), None):
+    if hit := next((k for k in session if key in k.names()), None) or (recorded or {}).get(key):
         return "resolve", hit.name, "session_exact", [(1.0, hit.name)]
     if found := fuzzy(session):
         return ("resolve", found[0][1].name, "session_fuzzy", show(found)) if len(found) == 1 else ("queue", None, "session_fuzzy", show(found))
@@ -105,26 +110,25 @@ def resolve_one(mention: str, vector, session: list[Known], store: list[Known])
     return "create", mention, "create", []
 
 
-#: Layers whose match is recorded as a new alias (exact ones found the name there already).
-_ALIASING = ("session_fuzzy", "session_semantic", "store_fuzzy", "store_containment", "session_containment", "store_semantic")
+#: Layers whose match is recorded as a new alias: exact ones found the name there already, and a vector alone doesn't name a stored entity.
+_ALIASING = ("session_fuzzy", "session_semantic", "store_fuzzy", "store_containment", "session_containment")
 
 
 def resolve_group(mentions: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
     pool = [Known(r.name_, [] if r.aliases is None else list(r.aliases), r.embedding, int(r.corroborations or 0)) for r in store.rename(columns={"name": "name_"}).itertuples()]
     session: list[Known] = []
+    recorded: dict[str, Known] = {}
     out = []
     for m in mentions.sort_values("seq").itertuples():
-        outcome, canonical, layer, matches = resolve_one(m.mention, m.embedding, session, pool)
+        outcome, canonical, layer, matches = resolve_one(m.mention, m.embedding, session, pool, recorded)
         alias = None
         if outcome == "create":
             session.append(Known(m.mention, [], m.embedding))
         elif outcome == "resolve":
             known = next((k for k in session if k.name == canonical), None) or next(k for k in pool if k.name == canonical)
             if layer in _ALIASING and norm(m.mention) not in known.names():
-                known.aliases.append(m.mention)  # exact lookups see it, fuzzy scores don't
+                recorded[norm(m.mention)] = known
                 alias = m.mention
-            if all(k.name != canonical for k in session):
-                session.append(known)
         out.append((m.session, m.type, m.seq, m.mention, outcome, canonical, layer, alias, [{"score": s, "name": n, "layer": layer} for s, n in matches]))
     return pd.DataFrame(out, columns=["session", "type", "seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches"])
 

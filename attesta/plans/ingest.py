@@ -8,6 +8,7 @@ get another answer.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -156,7 +157,8 @@ def _candidates_with_names(triples: DataFrame, resolved: DataFrame) -> DataFrame
 
 
 def propose(spark: SparkSession, chunks: DataFrame, tables: dict[str, DataFrame], registry: DataFrame, models: Models, work: str) -> Delta:
-    """All stages up to review."""
+    """All stages up to review; each run writes to a folder of its own in ``work``."""
+    work = f"{work.rstrip('/')}/{uuid.uuid4().hex}"
 
     def once(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{work}/{name}")

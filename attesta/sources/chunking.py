@@ -19,7 +19,7 @@ Pages = Callable[[bytes], list[str]]
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """source_id (the file name), text of a file, or of the .md and .markdown files right in a folder."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown}", recursiveFileLookup=False)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}", recursiveFileLookup=False)
     return files.select(F.col("_metadata.file_name").alias("source_id"), F.col("value").alias("text")).orderBy("source_id")
 
 
@@ -53,36 +53,31 @@ def _with_refs(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", chunk_id).withColumn("source_ref", F.concat_ws(":", "source_id", "chunk_id")).select("source_id", "ordinal", "chunk_id", "text", "section_path", "pages", "source_ref")
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def chunk_markdown(docs: DataFrame) -> DataFrame:
-    """A chunk per heading (with its body), and one for text before the first; section_path is the stack of headings.
+    """A chunk per heading (with its body), and one for text before the first.
 
-    The fold over a document's lines stays in the document's row: nothing is shuffled.
+    section_path: a heading of level n comes after the first n - 1 entries of
+    the path before it, however deep those were. The work on a document's lines
+    stays in its row and grows with their number: nothing is shuffled.
     """
-    line_type = "struct<path:array<string>,levels:array<int>,lines:array<string>,done:array<struct<path:array<string>,text:string>>>"
-    start = F.from_json(F.lit('{"path":[],"levels":[],"lines":[],"done":[]}'), line_type)
-
-    def flush(acc: Column) -> Column:
-        text = F.trim(F.array_join(acc["lines"], "\n"))
-        bare = F.regexp_replace(F.array_join(acc["lines"], "\n"), r"^\s+|\s+$", "")
-        return F.when(text != "", F.concat(acc["done"], F.array(F.struct(acc["path"].alias("path"), bare.alias("text"))))).otherwise(acc["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        marks = F.regexp_extract(line, HEADING, 1)
-        level = F.length(marks)
-        kept = F.aggregate(acc["levels"], F.lit(0), lambda n, held: n + F.when(held < level, 1).otherwise(0))
-        heading = F.struct(
-            F.concat(F.slice(acc["path"], F.lit(1), kept), F.array(F.regexp_extract(line, HEADING, 2))).alias("path"),
-            F.concat(F.slice(acc["levels"], F.lit(1), kept), F.array(level)).alias("levels"),
-            F.array(line).alias("lines"),
-            flush(acc).alias("done"),
-        )
-        body = F.struct(acc["path"].alias("path"), acc["levels"].alias("levels"), F.concat(acc["lines"], F.array(line)).alias("lines"), acc["done"].alias("done"))
-        return F.when(level > 0, heading).otherwise(body).cast(line_type)
-
-    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")
-    folded = docs.select("source_id", F.aggregate(lines, start, step, flush).alias("c"))
-    rows = folded.select("source_id", F.posexplode("c").alias("pos", "c"))
-    return _with_refs(rows.select("source_id", (F.col("pos") + 1).cast("int").alias("ordinal"), "c.text", F.col("c.path").alias("section_path"), F.array().cast("array<int>").alias("pages")))
+    lines = docs.select("source_id", F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("lines"))
+    marks = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title")))
+    found = lines.withColumn("heads", F.filter(marks, lambda h: h["level"] > 0))
+
+    def path(acc: Column, h: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.concat(F.slice(last, F.lit(1), F.least(h["level"] - 1, F.size(last))), F.array(h["title"]))))
+
+    root = F.from_json(F.lit("[[]]"), "array<array<string>>")
+    starts = found.select("source_id", "lines", F.aggregate("heads", root, path).alias("paths"), F.concat(F.array(F.lit(0)), F.transform("heads", lambda h: h["at"]), F.array(F.size("lines"))).alias("cuts"))
+    rows = starts.select("source_id", "paths", F.transform(F.sequence(F.lit(0), F.size("paths") - 1), lambda k: F.array_join(F.slice("lines", F.col("cuts")[k] + 1, F.col("cuts")[k + 1] - F.col("cuts")[k]), "\n")).alias("texts"))
+    chunks = rows.select("source_id", F.filter(F.transform("texts", lambda x, k: F.struct(_bare(x).alias("text"), F.col("paths")[k].alias("path"))), lambda c: c["text"] != "").alias("c"))
+    each = chunks.select("source_id", F.posexplode("c").alias("pos", "c"))
+    return _with_refs(each.select("source_id", (F.col("pos") + 1).cast("int").alias("ordinal"), "c.text", F.col("c.path").alias("section_path"), F.array().cast("array<int>").alias("pages")))
 
 
 def continues(text: Column, following: Column) -> Column:
@@ -96,23 +91,24 @@ def continues(text: Column, following: Column) -> Column:
 
 def chunk_pages(docs: DataFrame) -> DataFrame:
     """A chunk per paragraph of ``pages`` (array of page texts), joined to the one before where it continues it across a break."""
-    piece = "struct<text:string,pages:array<int>>"
 
     def paragraphs(page: Column, i: Column) -> Column:
-        parts = F.filter(F.transform(F.split(page, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-        return F.transform(parts, lambda p: F.struct(p.alias("text"), F.array((i + 1).cast("int")).alias("pages")))
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        page = p["pages"][0]
-        joins = F.coalesce((F.element_at(last["pages"], -1) == page - 1) & continues(last["text"], p["text"]), F.lit(False))
-        merged = F.struct(F.concat_ws("\n", last["text"], p["text"]).alias("text"), F.concat(last["pages"], p["pages"]).alias("pages"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(p))).cast(f"array<{piece}>")
-
-    flat = F.flatten(F.transform("pages", paragraphs))
-    folded = docs.select("source_id", F.aggregate(flat, F.array().cast(f"array<{piece}>"), step).alias("c"))
-    rows = folded.select("source_id", F.posexplode("c").alias("pos", "c"))
-    return _with_refs(rows.select("source_id", (F.col("pos") + 1).cast("int").alias("ordinal"), "c.text", F.array().cast("array<string>").alias("section_path"), "c.pages"))
+        parts = F.filter(F.transform(F.split(page, r"\n\s*\n"), _bare), lambda p: p != "")
+        return F.transform(parts, lambda p: F.struct(p.alias("text"), (i + 1).cast("int").alias("page")))
+
+    flat = docs.select("source_id", F.flatten(F.transform("pages", paragraphs)).alias("p"))
+
+    def joins(i: Column) -> Column:
+        """Whether a paragraph goes on with the one before depends on these two only."""
+        before, own = F.get("p", i - 1), F.get("p", i)
+        return F.coalesce((before["page"] == own["page"] - 1) & continues(before["text"], own["text"]), F.lit(False))
+
+    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1)).otherwise(F.array().cast("array<int>"))
+    cut = flat.select("source_id", "p", F.filter(places, lambda i: ~joins(i)).alias("starts"))
+    cut = cut.select("source_id", "p", "starts", F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("p"))).alias("ends"))
+    parts = F.transform("starts", lambda a, k: F.slice("p", a + 1, F.col("ends")[k] - a))
+    rows = cut.select("source_id", F.posexplode(parts).alias("pos", "c"))
+    return _with_refs(rows.select("source_id", (F.col("pos") + 1).cast("int").alias("ordinal"), F.array_join("c.text", "\n").alias("text"), F.array().cast("array<string>").alias("section_path"), F.col("c.page").alias("pages")))
 
 
 def number_chunks(rows: DataFrame, order: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Versioned table snapshots on any Hadoop file system: all touched tables are written, then one pointer moves.
+"""Versioned table snapshots on any Hadoop file system: all touched tables are written, then one pointer file appears.
 
-A reader sees the tables of one version or of the next, never a mixture, so a
-commit is atomic where the storage can rename one small file.
+Pointers are numbered and never replaced: a commit renames its own into place
+under the next number, which fails if another writer took that number, so a
+reader sees the tables of one version or of the next, never a mixture or none.
 """
 
 from __future__ import annotations
@@ -31,18 +32,34 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, path: str, text: str) -> None:
-        fresh = self._path(f"{path}.{uuid.uuid4().hex}")
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.base}/versions")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _publish(self, version: int, text: str) -> None:
+        """Make ``text`` the pointer of ``version``; an error if that version exists."""
+        fresh, final = self._path(f"{self.base}/versions/.{uuid.uuid4().hex}"), self._path(f"{self.base}/versions/{version:012d}")
         stream = self._fs.create(fresh, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self._fs.delete(self._path(path), False)
-        if not self._fs.rename(fresh, self._path(path)):
-            raise OSError(f"can't move the pointer {path}")
+        gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(final), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Exception as e:
+            self._fs.delete(fresh, False)
+            raise OSError(f"another writer committed version {version}") from e
 
     def pointer(self) -> dict[str, str]:
-        text = self._read(f"{self.base}/CURRENT")
-        return json.loads(text) if text else {}
+        return self._at()[1]
+
+    def _at(self) -> tuple[int, dict[str, str]]:
+        """The newest version and its tables."""
+        versions = self._versions()
+        return (versions[-1], json.loads(self._read(f"{self.base}/versions/{versions[-1]:012d}"))) if versions else (0, {})
 
     def apply_schema(self) -> list[str]:
         """Create the tables that are missing, empty; returns their names."""
@@ -57,12 +74,13 @@ class Store:
         """Write the next snapshot of every table, then let all of them count at once."""
         if not tables:
             return
+        version, before = self._at()
         moved = {}
         for name, df in tables.items():
             where = f"{name}/{uuid.uuid4().hex}"
             df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(f"{self.base}/{where}")
             moved[name] = where
-        self._write(f"{self.base}/CURRENT", json.dumps(self.pointer() | moved, sort_keys=True))
+        self._publish(version + 1, json.dumps(before | moved, sort_keys=True))
 
     def append(self, name: str, rows: DataFrame) -> None:
         self.commit({name: self.table(name).unionByName(rows.select(*[f.name for f in TABLES[name]]))})

@@ -119,7 +119,7 @@ def resolve(spark, mentions, store):
 def test_resolution_layers(spark):
     store = [("Federal Reserve", ["the Fed"], [1.0, 0.0], 0)]
     got = resolve(spark, [(" THE FED! ", None), ("Federal Reserv", None), ("Brand New", None), ("brand  new", None), ("Brand Neww", None)], store)
-    assert got == [("resolve", "Federal Reserve", "store_exact"), ("resolve", "Federal Reserve", "session_fuzzy"), ("create", "Brand New", "create"), ("resolve", "Brand New", "session_exact"), ("resolve", "Brand New", "session_fuzzy")]
+    assert got == [("resolve", "Federal Reserve", "store_exact"), ("resolve", "Federal Reserve", "store_fuzzy"), ("create", "Brand New", "create"), ("resolve", "Brand New", "session_exact"), ("resolve", "Brand New", "session_fuzzy")]
     close = [("Alpha Bank", [], [0.90, (1 - 0.81) ** 0.5], 0), ("Beta House", [], [0.88, -((1 - 0.7744) ** 0.5)], 0)]
     assert resolve(spark, [("Gamma", [1.0, 0.0])], close)[0][0] == "queue"
     backed = [("Alpha Bank", [], [0.86, (1 - 0.7396) ** 0.5], 2), ("Beta House", [], [0.859, -((1 - 0.859**2) ** 0.5)], 0)]
