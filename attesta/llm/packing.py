@@ -107,45 +107,65 @@ def waste_bound(counts: dict[int, int], capacity: int) -> int:
 
 
 def completions(counts: dict[int, int], largest: int, capacity: int, slack: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest item that waste at most ``slack``, least waste first.
+    """The ``limit`` undominated fillings around the largest item that waste least (at most ``slack``), those with larger items first on ties.
 
     A filling is dominated, and left out, if another item still fits or if one
-    of its items can be exchanged for a larger one that fits.
+    of its items can be exchanged for a larger one that fits. The sums that the
+    items from each size on can make are bit sets, so no branch ends in vain.
     """
-    sizes = sorted((s for s, n in counts.items() if n and s <= capacity - largest), reverse=True)
-    room = capacity - largest
-    found: list[tuple[int, tuple[int, ...]]] = []
     left = dict(counts)
     left[largest] -= 1
-    budget = [200 * limit]
-
-    def grow(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= limit or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        fits = [s for s in sizes[at:] if s <= room and left[s] > 0]
-        if not fits:
-            if room <= slack and not any(left[x] > 0 and c < x <= c + room for c in set(chosen) for x in sizes) and not any(left[x] > 0 and x <= room for x in sizes):
-                found.append((room, chosen))
+    room = capacity - largest
+    sizes = sorted((s for s, n in left.items() if n and s <= room), reverse=True)
+    full = (1 << (room + 1)) - 1
+    reach = [1]  # from the last size on: bit x is set if x can be made
+    for s in reversed(sizes):
+        sums, n, step = reach[-1], min(left[s], room // s), 1
+        while n > 0:
+            take = min(step, n)
+            sums |= (sums << (s * take)) & full
+            n, step = n - take, step * 2
+        reach.append(sums)
+    reach.reverse()
+    found: list[tuple[int, ...]] = []
+
+    def grow(at: int, rest: int, chosen: tuple[int, ...], waste: int) -> None:
+        if not rest:
+            have = {x: chosen.count(x) + (x == largest) for x in {*chosen, largest}}
+            spare = lambda x: counts.get(x, 0) > have.get(x, 0)
+            if not waste or not any(spare(x) and (x <= waste or any(c < x <= c + waste for c in set(chosen))) for x in sizes):
+                found.append(chosen)
             return
-        exact = room in left and left[room] > 0 and room in fits
-        for s in [room] if exact else fits:
-            left[s] -= 1
-            grow(sizes.index(s), room - s, (*chosen, s))
-            left[s] += 1
+        for k in range(at, len(sizes)):
+            s = sizes[k]
+            if s > rest or not reach[k] >> rest & 1:
+                if s <= rest:
+                    return
+                continue
+            for n in range(min(left[s], rest // s), 0, -1):
+                if reach[k + 1] >> (rest - n * s) & 1:
+                    grow(k + 1, rest - n * s, chosen + (s,) * n, waste)
+                    if len(found) >= limit:
+                        return
 
-    grow(0, room, ())
-    return [c for _, c in sorted(found, key=lambda x: (x[0], [-s for s in x[1]]))]
+    for waste in range(min(slack, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            grow(0, room - waste, (), waste)
+            if len(found) >= limit:
+                break
+    return found
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4_000, branch: int = 6) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4_000, branch: int = 4) -> list[Pattern]:
     """Branch-and-bound over completions of the largest item; best-fit solutions are the incumbents.
 
-    Each node takes the largest length left, tries its undominated fillings in
-    order of waste and uses one as often as the counts allow. A branch ends
-    where the waste so far passes what an improvement on the incumbent can
-    afford. The remainder under every node near the root is also packed
-    best-fit, which keeps the incumbent good when ``nodes`` run out.
+    Each node takes the largest length left, tries its ``branch`` least wasteful
+    undominated fillings in order and uses one as often as the counts allow.
+    Paths that always take the first filling come first, then those with one
+    other choice, the earliest such choices first, and so on. A branch ends where
+    the waste so far passes what an improvement on the incumbent can afford. The remainder under some nodes is also packed best-fit,
+    which keeps the incumbent good. The search ends at the waste bound, which
+    proves the optimum, or after ``nodes``.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -159,31 +179,55 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     best_bins = sum(n for n, _ in best)
     least = waste_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
-    while stack and best_bins > least and nodes > 0:
-        left, path, bins, waste = stack.pop()
-        if waste > (best_bins - 1) * capacity - total:
-            continue
-        nodes -= 1
-        if not left:
-            best, best_bins = path, bins
-            continue
-        if nodes % 16 == 0:
-            rest = best_fit(left, capacity)
-            if (n := bins + sum(k for k, _ in rest)) < best_bins:
-                best, best_bins = path + rest, n
-                continue
-        largest = max(left)
-        spare = (best_bins - 1) * capacity - total - waste
-        for filling in reversed(completions(left, largest, capacity, spare, branch)):
-            use = {s: (largest, *filling).count(s) for s in {largest, *filling}}
-            empty = capacity - largest - sum(filling)
-            times = min(left[s] // c for s, c in use.items())
-            if empty:
-                times = max(1, min(times, spare // empty))
-            rest = {s: n - use.get(s, 0) * times for s, n in left.items() if n > use.get(s, 0) * times}
-            pattern = (times, tuple(sorted(use.items(), reverse=True)))
-            stack.append((rest, [*path, pattern], bins + times, waste + times * empty))
+    # A path is a chain of (pattern, the chain before), so that a node costs no copy of it or of the counts.
+    waves: list[list[tuple[tuple | None, int, int]]] = [[(None, 0, 0)]]
+    spent = 0
+
+    def unrolled(path: tuple | None) -> list[Pattern]:
+        out = []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
+
+    while waves and best_bins > least and spent < nodes:
+        this, later = waves.pop(), []
+        for path, bins, waste in this:
+            left = dict(counts)
+            for times, parts in unrolled(path):
+                for size, each in parts:
+                    left[size] -= times * each
+            left = {size: n for size, n in left.items() if n}
+            while best_bins > least and spent < nodes and waste <= (best_bins - 1) * capacity - total:
+                spent += 1
+                if not left:
+                    best, best_bins = unrolled(path), bins
+                    break
+                if spent % 64 == 0:
+                    rest = best_fit(left, capacity)
+                    if (n := bins + sum(k for k, _ in rest)) < best_bins:
+                        best, best_bins = unrolled(path) + rest, n
+                largest = max(left)
+                spare = (best_bins - 1) * capacity - total - waste
+                children = []
+                for filling in completions(left, largest, capacity, spare, branch):
+                    use = {s: (largest, *filling).count(s) for s in {largest, *filling}}
+                    empty = capacity - largest - sum(filling)
+                    times = min(left[s] // c for s, c in use.items())
+                    if empty:
+                        times = max(1, min(times, spare // empty))
+                    children.append(((times, tuple(sorted(use.items(), reverse=True))), times, times * empty))
+                if not children:
+                    break
+                later += [((pattern, path), bins + times, waste + lost) for pattern, times, lost in children[1:]]
+                pattern, times, lost = children[0]
+                for size, each in pattern[1]:
+                    left[size] -= times * each
+                    if not left[size]:
+                        del left[size]
+                path, bins, waste = (pattern, path), bins + times, waste + lost
+        if later:
+            waves.append(later)
     return fixed + best
 
 
