@@ -18,7 +18,7 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scratch.keep(warc.read_records(spark, scratch.path("archives"), with_payload=False), "records")
     scratch.drop("archives")
     captures = scratch.keep(warc.assemble(found), "captures")
-    rows = warc.resolve_revisits(captures)
+    rows = warc.resolve_revisits(captures, scratch)
     full = F.coalesce("original.response", "response")
     return rows.select(
         warc.page_of("metadata").alias("page_id"),
@@ -73,10 +73,11 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digest columns: what is left of the text, and its length as ``documents`` counts it."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    found = suffix_array.deduplicate(docs, ["doc_id"], scratch=Scratch(spark, "op10"))
     names = {"__n_bytes": "n_bytes", "__n_removed": "n_removed", "__n_spans": "n_spans", "__sha256": "kept_sha256"}
-    scratch = Scratch(spark, "op10")
-    return suffix_array.deduplicate(docs, ["doc_id"], with_text=False, scratch=scratch).withColumnsRenamed(names)
+    return found.select("doc_id", *[F.col(c).alias(name) for c, name in names.items()], F.col("__kept_text").alias("text"), F.length("__kept_text").cast("long").alias("n_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -135,10 +136,13 @@ WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
   k AS (SELECT *, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m),
   r AS (SELECT doc_id, span, min(i) AS a, max(e) AS z FROM k GROUP BY ALL),
   keep AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS lo, a AS hi FROM r UNION ALL SELECT doc_id, max(z), 1000000000 FROM r GROUP BY doc_id),
-  parts AS (SELECT doc_id, string_agg(hex(b[lo : hi - 1]), '' ORDER BY lo) AS hexed FROM keep JOIN t USING (doc_id) WHERE lo < hi GROUP BY doc_id),
-  n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
-SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(hexed, '')) END) AS kept_sha256
-FROM t LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id)""",
+  n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+  seg AS (SELECT doc_id, lo, hex(b[lo : hi - 1]) AS h FROM keep JOIN t USING (doc_id) WHERE lo < hi),
+  bare AS (SELECT *, regexp_replace(regexp_replace(h, '^([89AB][0-9A-F]){1,3}', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '') AS clean FROM seg),
+  parts AS (SELECT doc_id, string_agg(h, '' ORDER BY lo) AS hexed, string_agg(decode(unhex(clean)), '' ORDER BY lo) AS kept FROM bare GROUP BY doc_id),
+  x AS (SELECT doc_id, CASE WHEN n_removed IS NULL THEN decode(b) ELSE coalesce(kept, '') END AS text FROM t LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id))
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(hexed, '')) END) AS kept_sha256, text, length(text) AS n_chars
+FROM t JOIN x USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id)""",
 }
 
 
