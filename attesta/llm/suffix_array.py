@@ -6,7 +6,7 @@ else. So the corpus is cut by content first:
 1. Anchors. Every window of LENGTH bytes has a smallest hash among its GRAM-byte
    substrings (the rightmost on ties); that place is the window's anchor. Equal
    windows have equal anchors, so windows are compared within an anchor's hash
-   only. Equal whole texts go on once, as one text that is known to recur.
+   only.
 2. Anchors whose hash occurs once are done: all their windows are unique. For
    the others the stretch of text that their windows span travels to the task
    of the hash; equal stretches of different places settle one another.
@@ -21,7 +21,10 @@ else. So the corpus is cut by content first:
    the hash of a third), so no task takes the whole group.
 
 Repeated windows return to their documents as runs of starts, whose union of
-LENGTH-byte covers is removed.
+LENGTH-byte covers is removed. A text that occurs several times as a whole goes
+whole. Texts in which nothing repeats, and those too short for a window, are
+told by a Bloom filter and never shuffled. Keys that hold more than a thousandth
+of the rows are joined where the rows lie.
 
 Defined results. Null or empty text: nothing to remove, the digest of nothing.
 Null doc_id: takes part, as a place of its own. Repeated rows: copies of one
@@ -38,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch, free_name
+from attesta.llm.bloom import having, membership
+from attesta.llm.common import Scratch, free_name, join_counted
 
 LENGTH, GRAM = 400, 64
 HOT, BLOCK_BYTES = 4096, 4 << 20
@@ -233,15 +237,17 @@ def _hot_repeats(rows: DataFrame, length: int) -> DataFrame:
 def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """text_id, first, after: runs of starts of strings that start elsewhere too. ``texts``: text_id (equal for equal texts), text."""
     found = scratch.keep(stretches(texts, length, gram), "stretches")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    near = scratch.keep(found.join(again, "anchor"), "again")
-    scratch.drop("stretches")
+    again = scratch.keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    near = scratch.keep(join_counted(found, again, ["anchor"], "n", found.count()).drop("n"), "again")
+    scratch.drop("stretches", "anchors")
     by_bytes = near.groupBy("anchor", "stretch").agg(F.count("*").alias("places"), F.min(F.struct("text_id", "first", "after")).alias("one"))
     by_bytes = scratch.keep(by_bytes, "by-bytes")
-    settled = near.join(by_bytes.where("places > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("text_id", "first", "after").distinct()
+    several = by_bytes.where("places > 1").select("anchor", "stretch", "places")
+    settled = join_counted(near, several, ["anchor", "stretch"], "places", near.count()).select("text_id", "first", "after").distinct()
     # A hash with one stretch only is settled altogether; the others are sorted, each distinct stretch once.
-    kinds = by_bytes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = by_bytes.join(kinds, "anchor").select("anchor", "one.*", (F.col("places") > 1).alias("settled"), (F.col("kinds") > hot).alias("hot"))
+    kinds = scratch.keep(by_bytes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    open_ = join_counted(by_bytes, kinds, ["anchor"], "kinds", by_bytes.count()).select("anchor", "one.*", (F.col("places") > 1).alias("settled"), (F.col("kinds") > hot).alias("hot"))
+    open_ = scratch.keep(open_, "open")
     per_text = open_.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "first", "after", "settled", "hot")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +266,8 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, g
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    once = texts.join(per_text, "text_id").dropDuplicates(["text_id"]).select("text_id", "text", "runs")
+    asked = scratch.keep(open_.select("text_id").distinct(), "asked")
+    once = having(texts, "text_id", asked).groupBy("text_id").agg(F.first("text").alias("text")).join(per_text, "text_id").select("text_id", "text", "runs")
     cuts = once.mapInArrow(cut, "anchor long, text_id binary, first long, settled boolean, hot boolean, bytes binary")
     runs = _sorted_repeats(cuts.where("NOT hot"), length, block_bytes)
     if not kinds.where(F.col("kinds") > hot).isEmpty():
@@ -269,21 +276,20 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, g
     return settled.unionByName(runs)
 
 
-def remaining(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
-    """The bytes outside every repeated string, and the number of removed stretches."""
-    keep, at, spans = [], 0, 0
+def remaining(raw: bytes, runs: list[tuple[int, int]], length: int) -> list[bytes]:
+    """The stretches of bytes outside every repeated string, one more than were removed."""
+    keep, at = [], 0
     end = None
     for first, after in sorted(runs):
         if end is None or first > end:
             if end is not None:
                 at = end
             keep.append(raw[at:first])
-            spans += 1
             end = after - 1 + length
         else:
             end = max(end, after - 1 + length)
     keep.append(raw[end or 0 :])
-    return b"".join(keep), spans
+    return keep
 
 
 def text_ids(docs: DataFrame, text: str, text_id: str) -> DataFrame:
@@ -293,17 +299,26 @@ def text_ids(docs: DataFrame, text: str, text_id: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, keep: list[str], length: int = LENGTH, with_text: bool = True, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
-    """Columns ``keep`` of every row with __n_bytes, __n_removed, __n_spans, __sha256 and, if asked for, __kept (binary)."""
+    """Columns ``keep`` of every row with __n_bytes, __n_removed, __n_spans, __sha256 and, if asked for, __kept (binary) and __kept_text.
+
+    The text is that of the kept stretches, each decoded by itself; what a cut
+    leaves of a character goes.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "suffix-array")
-    t, k, r = (free_name(docs.columns, name) for name in ("__text", "__text_id", "__runs"))
-    own = text_ids(docs.select(*dict.fromkeys([*keep, "text"])), t, k)
-    texts = own.select(F.col(k).alias("text_id"), F.col(t).alias("text"))
+    t, k, r, n = (free_name(docs.columns, name) for name in ("__text", "__text_id", "__runs", "__rows"))
+    own = text_ids(docs.select(*dict.fromkeys([*keep, "text"])), t, k).select(*keep, t, k)
+    texts = own.select(F.col(k).alias("text_id"), F.col(t).alias("text")).where(F.octet_length("text") >= length)
     found = repeated_windows(texts, scratch, length, min(GRAM, max(1, length // 4)), hot)
-    per_text = scratch.keep(found.groupBy("text_id").agg(F.collect_list(F.struct("first", "after")).alias(r)), "runs")
-    for name in ("again", "by-bytes", "cuts"):
-        scratch.drop(name)
-    rows = own.select(*keep, t, k).join(per_text.withColumnRenamed("text_id", k), k, "left").select(*keep, t, r)
-    extra = "__n_bytes long, __n_removed long, __n_spans long, __sha256 string" + (", __kept binary" if with_text else "")
+    whole = scratch.keep(texts.groupBy(F.col("text_id").alias(k)).agg(F.count("*").alias(n)).where(F.col(n) > 1), "whole")
+    per_text = found.groupBy(F.col("text_id").alias(k)).agg(F.collect_list(F.struct("first", "after")).alias(r))
+    per_text = per_text.join(whole.select(k), k, "left_anti").select(k, F.lit(1).cast("long").alias(n), r)
+    # A text that occurs again as a whole needs no runs, so a hot key's row is small.
+    marks = scratch.keep(per_text.unionByName(whole.withColumn(r, F.lit(None).cast("array<struct<first:bigint,after:bigint>>"))), "marks")
+    scratch.drop("again", "by-bytes", "kinds", "open", "asked", "cuts", "whole")
+    inside = membership(marks.select(k))
+    maybe = (F.octet_length(t) >= length) & (F.lit(True) if inside is None else inside(k))
+    marked = join_counted(own.where(maybe), marks, [k], n, own.count(), "left")
+    extra = "__n_bytes long, __n_removed long, __n_spans long, __sha256 string" + (", __kept binary, __kept_text string" if with_text else "")
     schema = docs.select(*keep).schema
     for part in extra.split(", "):
         schema = schema.add(*part.split())
@@ -311,12 +326,17 @@ def deduplicate(docs: DataFrame, keep: list[str], length: int = LENGTH, with_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(t), batch.column(r), strict=True):
+            for text, runs, rows in zip(batch.column(t), batch.column(r), batch.column(n), strict=True):
                 raw = text.as_py().encode()
-                left, spans = remaining(raw, [(x["first"], x["after"]) for x in runs.as_py()], length) if runs.is_valid else (raw, 0)
-                out.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
+                whole = rows.is_valid and not runs.is_valid
+                parts = [b"", b""] if whole else remaining(raw, [(x["first"], x["after"]) for x in runs.as_py() or ()], length)
+                left = b"".join(parts)
+                out.append((len(raw), len(raw) - len(left), len(parts) - 1, hashlib.sha256(left).hexdigest(), left, "".join([p.decode("utf-8", "ignore") for p in parts])))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()][: 4 + 2 * with_text]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    size, raw = F.octet_length(t).cast("long"), F.encode(t, "utf-8")
+    columns = [size.alias("__n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("__n_removed", "__n_spans")), F.sha2(raw, 256).alias("__sha256")]
+    as_they_are = own.where(~maybe).select(*keep, *columns, *([raw.alias("__kept"), F.col(t).alias("__kept_text")] if with_text else []))
+    return as_they_are.unionByName(marked.select(*keep, t, r, n).mapInArrow(run, schema))
