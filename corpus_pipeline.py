@@ -41,16 +41,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that passages of REPEAT_BYTES share; a character cut in two goes whole. n_chars follows the text."""
     scratch = Scratch(spark, "stage-suffix-array")
     found = suffix_array.deduplicate(docs, docs.columns, length=REPEAT_BYTES, scratch=scratch)
-
-    @F.udf("string", useArrow=True)
-    def decoded(raw: bytes) -> str:
-        return bytes(raw).decode("utf-8", "ignore")
-
     changed = F.col("__n_removed") > 0
-    text = F.when(changed, decoded(F.when(changed, F.col("__kept")).otherwise(F.lit(b"")))).otherwise(F.col("text"))
-    out = found.withColumn("__new", text)
-    columns = [F.col("__new").alias(c) if c == "text" else F.when(changed, F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    new = {"text": F.col("__kept_text"), "n_chars": F.length("__kept_text")}
+    columns = [F.when(changed, new[c]).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in docs.columns]
+    return found.select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
