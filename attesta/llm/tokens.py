@@ -9,10 +9,11 @@ answers for as long as the Python worker lives.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -206,11 +207,18 @@ class PieceEncoder:
         yield from self.encode_all(held)
 
 
-@functools.lru_cache(maxsize=1)
+def _kept_encoder(path: str, width: int, keeps_space: bool) -> PieceEncoder:
+    """One encoder a vocabulary for the life of a Python worker; functions may reach it by value, so it hangs on a module of its own."""
+    held = sys.modules.setdefault("_attesta_encoders", types.ModuleType("_attesta_encoders")).__dict__
+    key = f"{path}:{width}:{keeps_space}"
+    if key not in held:
+        held[key] = PieceEncoder(path, width, keeps_space)
+    return held[key]
+
+
 def byte_bpe(path: str) -> PieceEncoder:
-    return PieceEncoder(path, 4, keeps_space=True)
+    return _kept_encoder(path, 4, keeps_space=True)
 
 
-@functools.lru_cache(maxsize=1)
 def word_bpe(path: str) -> PieceEncoder:
-    return PieceEncoder(path, 2, keeps_space=False)
+    return _kept_encoder(path, 2, keeps_space=False)
