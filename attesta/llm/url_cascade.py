@@ -13,7 +13,8 @@ decides its own keys, so what is broadcast at once is bounded for any list.
 Defined results. Null url, or none with ``://``: host and path are empty, no
 rule fits, and the empty host is not listed: allow. Null page_id and repeated
 rows: judged like any other. Empty list or table: no filters, no rows. Extra
-columns are ignored.
+columns are ignored. More than ``MOST_LEVELS`` levels: an error, since only
+keys with equal hashes can need so many.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.bloom import FALSE_RATE, Filter, fill, unsigned
-from attesta.llm.common import shared_dir
+from attesta.llm.common import Scratch, shared_dir
 
 # The rules (verdict, host and path), and the hosts that are blocked where no rule fits.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -152,12 +153,16 @@ def _inside(levels: list[Filter], s: int, slices: int):
 
 
 def with_listed(rows: DataFrame, cascade: Cascade, host: str, out: str) -> DataFrame:
-    """Adds boolean ``out``: the host or a parent domain is listed."""
-    found = F.lit(False)
+    """Adds boolean ``out``: the host or a parent domain is listed. With several slices each is a pass of its own, written before the next."""
+    rows = rows.withColumn(out, F.lit(False))
+    several = len(cascade.slices) > 1
+    scratch = Scratch(rows.sparkSession, "url-slices") if several else None
     for s, levels in enumerate(cascade.slices):
         if levels:
-            found = found | _inside(levels, s, len(cascade.slices))(F.col(host))
-    return rows.withColumn(out, found)
+            rows = rows.withColumn(out, F.col(out) | _inside(levels, s, len(cascade.slices))(F.col(host)))
+            if several:
+                rows = scratch.keep(rows, f"slice-{s}")
+    return rows
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
