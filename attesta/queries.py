@@ -79,9 +79,14 @@ _CLAIMS = """claims AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One claim per (order, line, part, supplier): the strongest of rows that agree in all four; ``order_key`` orders them."""
+def claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    """One claim per (order, line, part, supplier): the strongest of rows that agree in all four; ``order_key`` orders them.
+
+    about: only claims with this name at either end, picked out before anything is grouped.
+    """
     rows = raw_claims(spark, sf_dir)
+    if about is not None:
+        rows = rows.where((F.col("subject") == about) | (F.col("object") == about))
     w = ["subject", "relation", "object", "source_ref", "evidence", "scope_conditions", "domain", "raw_relation"]
     key = F.substring("order_key", 1, 51)
     return rows.withColumn("order_key", key).groupBy(*w, "order_key").agg(F.max("confidence").alias("confidence"), F.min("created_at").alias("created_at"))
@@ -92,8 +97,8 @@ _DISTINCT = _CLAIMS + """, d AS (
   FROM claims GROUP BY ALL)"""
 
 
-def claims_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims(spark, sf_dir).withColumn("seq", F.concat_ws("-", "order_key", "relation")).drop("order_key")
+def claims_seq(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    return claims(spark, sf_dir, about).withColumn("seq", F.concat_ws("-", "order_key", "relation")).drop("order_key")
 
 
 #: The canonical form of the three relations: replaces is an alias of supersedes, superseded_by its inverse.
@@ -106,13 +111,13 @@ _ARROWS = _LEDGER + """, a AS (SELECT subject, relation, object, 1 - product(1 -
   coalesce(arg_max(scope_conditions, CASE WHEN scope_conditions <> '' THEN seq END), '') AS scope_conditions, count(*) AS n_rows, arg_max(source_ref, seq) AS source_ref FROM k GROUP BY ALL)"""
 
 
-def canonical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonicalize_triples(claims_seq(spark, sf_dir), _registry(spark)).drop("flipped", "relation_known")
+def canonical_claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    return canonical.canonicalize_triples(claims_seq(spark, sf_dir, about), _registry(spark)).drop("flipped", "relation_known")
 
 
-def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keep-first ledger."""
-    return ledger.dedupe(canonical_claims(spark, sf_dir)).withColumn("source_id", S.source_id("source_ref"))
+def stored_ledger(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    """The keep-first ledger, or its rows about one name: a canonical triple has the ends that its claims have."""
+    return ledger.dedupe(canonical_claims(spark, sf_dir, about)).withColumn("source_id", S.source_id("source_ref"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,9 +254,10 @@ def delta_changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(row_number() OVER (ORDER BY confidence DESC, neighbor, seed, relation) AS INTEGER) AS rank, seed, relation, neighbor, round(confidence + 3.3e-10, 6) AS confidence, 1.0::DOUBLE AS seed_score, scope_conditions FROM z WHERE m = 1 ORDER BY 1 LIMIT 5""")
 def fanout_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest directions around the first supplier."""
-    first = _table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_name").limit(1)
-    seeds = first.select(F.col("s_name").alias("name"), F.lit(1.0).alias("seed_score"))
-    return fanout.directions(seeds, ledger.arrows(stored_ledger(spark, sf_dir))).withColumn("confidence", _round("confidence"))
+    first = _table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_name").first()
+    name = first.s_name if first else ""
+    seeds = spark.range(1).select(F.lit(name).alias("name"), F.lit(1.0).alias("seed_score"))
+    return fanout.directions(seeds, ledger.arrows(stored_ledger(spark, sf_dir, name))).withColumn("confidence", _round("confidence"))
 
 
 @_query(_LEDGER + " SELECT subject, relation, object, source_ref, evidence, confidence FROM k WHERE split_part(source_ref, ':', 1) = 'doc-7'")
@@ -266,12 +272,12 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_ARROWS + f", {_ENTITIES}, n AS (SELECT relation, 'out' AS direction, object AS name FROM a WHERE subject = 'Brand#11' UNION SELECT relation, 'in', subject FROM a WHERE object = 'Brand#11') SELECT DISTINCT relation, direction, n.name, type FROM n JOIN e ON n.name = e.name")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.neighbours(ledger.arrows(stored_ledger(spark, sf_dir)), entities(spark, sf_dir), "Brand#11")
+    return walks.neighbours(ledger.arrows(stored_ledger(spark, sf_dir, "Brand#11")), entities(spark, sf_dir), "Brand#11")
 
 
 @_query(_LEDGER + f", {_STATES} SELECT DISTINCT * FROM (SELECT 'REPORTED' AS role, relation, source_ref, evidence, confidence FROM k WHERE subject = 'Brand#11' UNION ALL SELECT 'ABOUT', relation, source_ref, evidence, confidence FROM k WHERE object = 'Brand#11' UNION ALL SELECT 'HAS_STATE_EVENT', state_key, source_ref, evidence, confidence FROM st WHERE entity = 'Brand#11')")
 def entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.entity_events(stored_ledger(spark, sf_dir), measured(spark, sf_dir), "Brand#11")
+    return walks.entity_events(stored_ledger(spark, sf_dir, "Brand#11"), measured(spark, sf_dir), "Brand#11")
 
 
 @_query(f"WITH {_STATES} SELECT state_key, value, '' AS unit, as_of, CAST(confidence AS DOUBLE) AS confidence, source_ref FROM st WHERE entity = 'user-1'")
@@ -282,7 +288,7 @@ def entity_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ARROWS + """, r AS (SELECT subject, relation, object, string_agg(evidence, ' | ' ORDER BY seq, evidence) AS evidence FROM k GROUP BY ALL)
   SELECT a.subject, a.relation, a.object, round(confidence + 3.3e-10, 6) AS confidence, a.source_ref, r.evidence FROM a JOIN r ON a.subject = r.subject AND a.relation = r.relation AND a.object = r.object WHERE a.subject = 'Brand#11' OR a.object = 'Brand#11'""")
 def edges_for_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = stored_ledger(spark, sf_dir, "Brand#11")
     found = walks.edges_for_entity(ledger.arrows(rows), rows, "Brand#11")
     return found.select(*TRIPLE, _round("confidence").alias("confidence"), "source_ref", F.array_join("evidence", " | ").alias("evidence"))
 
@@ -295,7 +301,7 @@ def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ARROWS + """ SELECT DISTINCT object AS neighbor, relation FROM a WHERE subject = 'Brand#11' AND relation = 'SUPERSEDES' UNION SELECT DISTINCT subject, relation FROM a WHERE object = 'Brand#11' AND relation = 'SUPERSEDES'""")
 def structural_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("neighbor"), F.lit("SUPERSEDES").alias("relation"))
-    return walks.structural_corroboration(ledger.arrows(stored_ledger(spark, sf_dir)), "Brand#11", pairs)
+    return walks.structural_corroboration(ledger.arrows(stored_ledger(spark, sf_dir, "Brand#11")), "Brand#11", pairs)
 
 
 # --- states ---------------------------------------------------------------------------------------------------------
