@@ -8,11 +8,13 @@ names never reach a join.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +112,14 @@ def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], rows: int, o
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for their next task with all that the last one held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 #: A key is hot if it has more than this share of all rows; so fewer than 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 1000
 

@@ -42,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.bloom import having, membership
-from attesta.llm.common import Scratch, free_name, join_counted
+from attesta.llm.common import Scratch, free_name, give_back, join_counted
 
 LENGTH, GRAM = 400, 64
-HOT, BLOCK_BYTES = 4096, 4 << 20
+HOT, BLOCK_BYTES = 4096, 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -164,11 +164,13 @@ def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 for at in range(0, max(len(raw) - length + 1, 0), piece):
                     held.append((key, raw[at : at + piece + length - 1], at))
                     size += len(held[-1][1])
-                    if size >= 1 << 20:
+                    if size >= 1 << 18:
                         yield table(held)
                         held, size = [], 0
         if held:
             yield table(held)
+        held = []
+        give_back()
 
     return texts.select("text_id", "text").mapInArrow(run, STRETCH)
 
@@ -208,6 +210,8 @@ def _sorted_repeats(rows: DataFrame, length: int, block_bytes: int) -> DataFrame
                 last = anchor
         if held:
             yield solve(held)
+        held = []
+        give_back()
 
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, RUNS)
 
@@ -260,11 +264,12 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, g
                 for r in runs.as_py():
                     rows.append((r["anchor"], key, r["first"], r["settled"], r["hot"], raw[r["first"] : r["after"] + length - 1]))
                     size += len(rows[-1][-1])
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        give_back()
 
     asked = scratch.keep(open_.select("text_id").distinct(), "asked")
     once = having(texts, "text_id", asked).groupBy("text_id").agg(F.first("text").alias("text")).join(per_text, "text_id").select("text_id", "text", "runs")
