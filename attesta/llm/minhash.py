@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.bloom import having
-from attesta.llm.common import Scratch, join_counted
+from attesta.llm.common import Scratch, give_back, join_counted
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, BANDS = 6, 48
@@ -118,6 +118,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "set_id", "signature", "bands"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -131,6 +132,7 @@ def lowest(docs: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 made = [(xxhash.xxh3_128_digest(s.tobytes()), (s[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()) for s in (shingles(t.as_py(), k) for t in part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["doc_id", "set_id", "low"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, low binary")
 
@@ -177,6 +179,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, scratch:
                 sizes.append((common, len(own) + len(other) - common))
             columns = [pa.array([c for c, _ in sizes], pa.int64()), pa.array([w for _, w in sizes], pa.int64()), pa.array([100 * c >= threshold * w for c, w in sizes], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "common", "whole", "linked"])
+        give_back()
 
     tested = scratch.keep(right.hint("merge").join(left, ["a", "__salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, common long, whole long, linked boolean").distinct(), name)
     scratch.drop(f"texts-{name}")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch
+from attesta.llm.common import Scratch, give_back
 
 # Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_GROUPS = (
@@ -126,6 +126,8 @@ def select_features(rows: DataFrame, most: int, least: int) -> list[str]:
                     yield table(seen)
                     seen = {}
         yield table(seen)
+        seen = {}
+        give_back()
 
     counts = rows.select("text", "y").mapInArrow(run, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") + F.col("t") >= least)
     whole = rows.agg(F.sum(F.when(F.col("y") < 0.5, 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("y") >= 0.5, 1).otherwise(0)).alias("t")).first()
@@ -198,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
                         pairs += [(_sparse(own, index), _sparse(other, index)) for other in swapped(own)]
                 out.append((_sparse(words_of(text), index), [x for p in pairs for x in p]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "y", "own", "pairs"])
+        give_back()
 
     found = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, own array<int>, pairs array<array<int>>")
     found = sorted(found.collect(), key=lambda r: (r.doc_id, r.y, r.own))  # bounded by the sample and the features
@@ -218,6 +221,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         one = model.scorer()
         for texts in batches:
             yield pa.array([one(t.as_py()) for t in texts], pa.float64())
+        give_back()
 
     return docs.select(*keep, of(F.col("text").cast("string")).alias("__score"))
 
