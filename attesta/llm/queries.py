@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import huffman, line_rules, minhash, packing, sharding, spaced_seeds, suffix_array, toxicity, url_cascade, warc
+from attesta.llm import harmonic, huffman, line_rules, merkle, minhash, packing, sharding, spaced_seeds, suffix_array, toxicity, url_cascade, warc, whitening
 from attesta.llm.common import Scratch, read_table
 
 
@@ -80,8 +80,38 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(c).alias(name) for c, name in names.items()], F.col("__kept_text").alias("text"), F.length("__kept_text").cast("long").alias("n_chars"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh or so document comes back tampered with, and only its own proof fails."""
+    docs = read_table(spark, sf_dir, "documents")
+    doc_id, n_chars = F.col("doc_id").cast("long"), F.col("n_chars").cast("decimal(20,0)")
+    fields = lambda n: [doc_id, F.col("source"), F.col("lang"), n, F.col("text")]
+    hit = n_chars.isNotNull() & F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    keep = {"doc_id": doc_id, "received": F.when(hit, merkle.leaf_digest(*fields(n_chars + 1)))}
+    rows = merkle.manifest(docs, fields(n_chars), F.col("lang"), doc_id, keep, Scratch(spark, "op11"))
+    rows = merkle.refolded(rows.withColumn("received", F.coalesce("received", "__leaf")), "received", "folded_root")
+    return rows.select(
+        "doc_id", F.col("__leaf").alias("leaf"), F.col("__subroot").alias("subroot"), F.col("__root").alias("root"), merkle.proof_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("__root")).alias("verified"),
+    )
+
+
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = harmonic.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch=Scratch(spark, "op12"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), "embedding")
+    rows, basis = whitening.whiten(vectors, "embedding", ["vec_id"], scratch=Scratch(spark, "op13"))
+    error = whitening.identity_error(rows)
+    entries = F.posexplode(F.arrays_zip(F.col("__whitened").alias("w"), F.col("__explained").alias("e"))).alias("k", "c")
+    return rows.select("vec_id", F.col("__deviation").cast("long").alias("deviation"), entries).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(basis.n if basis else 0).cast("long").alias("n"), "deviation", F.col("c.w").alias("whitened"), F.col("c.e").alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade, op8_minhash_near_duplicates, op9_spaced_seed_decontamination, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_line_first_cleaning, op3_toxicity_counterfactual, op4_best_fit_packing, op5_token_id_files, op6_vector_bin_shards, op7_url_bloom_cascade, op8_minhash_near_duplicates, op9_spaced_seed_decontamination, op10_suffix_array_dedup, op11_merkle_manifest, op12_harmonic_packing, op13_embedding_whitening)}
 
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -143,6 +173,18 @@ WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
   x AS (SELECT doc_id, CASE WHEN n_removed IS NULL THEN decode(b) ELSE coalesce(kept, '') END AS text FROM t LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id))
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(hexed, '')) END) AS kept_sha256, text, length(text) AS n_chars
 FROM t JOIN x USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id)""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE f AS (SELECT *, coalesce('=' || lang, '-') AS t, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) AS crc FROM documents),
+  h AS (SELECT doc_id, t, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS plus, head, tail, n_chars FROM f),
+  l AS (SELECT doc_id, t, leaf, sha256(head || coalesce(strlen((n_chars + plus)::VARCHAR) || ':' || (n_chars + plus), '-') || tail) AS received, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM h),
+  nodes(t, lv, i, d, n) AS (SELECT t, 0, i, leaf, n FROM l UNION ALL SELECT t, lv + 1, i // 2, sha256(d || coalesce(nxt, '')), (n + 1) // 2 FROM (SELECT *, lead(d) OVER (PARTITION BY t ORDER BY i) AS nxt FROM nodes WHERE n > 1) WHERE i % 2 = 0),
+  subs AS (SELECT t, d, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+  tops(lv, i, d, n) AS (SELECT 0, i, d, n FROM subs UNION ALL SELECT lv + 1, i // 2, sha256(d || coalesce(nxt, '')), (n + 1) // 2 FROM (SELECT *, lead(d) OVER (ORDER BY i) AS nxt FROM tops WHERE n > 1) WHERE i % 2 = 0),
+  walk(doc_id, t, leaf, lv, i, n, acc, sibs) AS (SELECT doc_id, t, leaf, 0, i, n, received, '' FROM l UNION ALL
+    SELECT w.doc_id, w.t, w.leaf, w.lv + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.d || w.acc ELSE w.acc || coalesce(s.d, '') END), w.sibs || coalesce(s.d, '') FROM walk w LEFT JOIN nodes s ON s.t = w.t AND s.lv = w.lv AND s.i = xor(w.i, 1) WHERE w.n > 1),
+  up(doc_id, t, leaf, lv, i, n, acc, sibs) AS (SELECT w.doc_id, w.t, w.leaf, 0, s.i, s.n, w.acc, w.sibs FROM walk w JOIN subs s ON s.t = w.t WHERE w.n = 1 UNION ALL
+    SELECT w.doc_id, w.t, w.leaf, w.lv + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.d || w.acc ELSE w.acc || coalesce(s.d, '') END), w.sibs || coalesce(s.d, '') FROM up w LEFT JOIN tops s ON s.lv = w.lv AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subs.d AS subroot, (SELECT d FROM tops WHERE n = 1) AS root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = (SELECT d FROM tops WHERE n = 1) AS verified FROM up JOIN subs USING (t) WHERE up.n = 1""",
 }
 
 
