@@ -14,7 +14,10 @@ REPEAT_BYTES = 240
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores below the threshold. The model is trained on all labelled rows' sample of the documents table."""
+    """Documents whose whole text scores below the threshold, each row by its own text (null: as empty), whatever its doc_id.
+
+    The model is trained on a sample of the labelled rows of the documents table.
+    """
     model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -48,14 +51,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark. Rows without a doc_id stay."""
+    """Rows whose text holds no passage of the benchmark. Each row is judged by its own text, whatever doc_id it has or shares."""
     scratch = Scratch(spark, "stage-spaced-seeds")
-    leaks = scratch.keep(spaced_seeds.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name(docs.columns, "__row")
+    rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # written once, so numbers stay
+    found = spaced_seeds.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    leaks = scratch.keep(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return rows.join(leaks, rows[key] == leaks["__leak"], "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    """The pieces of all rows with their places in sequences of 1024 tokens; a null text is packed as empty, a null doc_id like any other."""
     scratch = Scratch(spark, "stage-packing")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch=scratch)
 
@@ -68,7 +74,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Tokenizing, training and hashing have no SQL form; tests hold each stage against a brute-force version.
+#: Tokenizing, training and hashing have no SQL form; tests hold the stages against planted cases and their operators against brute force.
 ORACLE_SQL = None
 
 
