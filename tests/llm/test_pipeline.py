@@ -63,6 +63,24 @@ def test_repeated_rows_and_copies_without_ids_are_reduced_to_one_whole_text(spar
     assert key((x.doc_id, x.text) for x in cut.collect()) == want
 
 
+def test_contamination_is_judged_by_row(spark, small):
+    sf, texts, _ = small
+    clean, other, leaked = texts[0], texts[1], texts[42]
+    rows = frame(spark, [clean, leaked, leaked, other, leaked, None, ""], [1, 1, None, 2, 2, None, 1])
+    kept = corpus_pipeline.drop_contaminated(spark, rows, sf)
+    assert kept.columns == rows.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, clean), (2, other), (None, None), (1, "")], key=repr)
+
+
+def test_toxicity_and_packing_take_rows_with_null_and_shared_ids(spark, small):
+    sf, texts, _ = small
+    rows = frame(spark, [texts[0], texts[-1], texts[-1], texts[0], None, texts[0] * 200], [1, 1, None, None, None, 1])
+    kept = corpus_pipeline.drop_toxic(spark, rows, sf)
+    assert sorted(((r.doc_id, len(r.text or "")) for r in kept.collect()), key=repr) == sorted([(1, len(texts[0])), (None, len(texts[0])), (None, 0), (1, 200 * len(texts[0]))], key=repr)
+    packed = corpus_pipeline.pack_sequences(spark, kept, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == 4 and {r.doc_id for r in packed} == {1, None}
+
+
 def test_run_gives_the_rows_of_the_last_stage(spark, small):
     sf, *_ = small
     rows = corpus_pipeline.run(spark, sf).collect()
@@ -79,7 +97,7 @@ def test_stages_take_empty_tables(spark, small):
 
 def test_every_operator_has_its_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
@@ -91,7 +109,9 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     if name.startswith("op9"):
         docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
         assert n == spaced_seeds.contaminated(docs, items).count()
-    elif name.startswith("op4"):
+    elif name.startswith("op13"):
+        assert n == 8 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif name.startswith(("op4", "op12")):
         assert n >= spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
         assert n == spark.read.parquet(f"{SF}/{table}.parquet").count()
