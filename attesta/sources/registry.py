@@ -23,50 +23,87 @@ LABEL = re.compile(r"[a-z][a-z0-9]*(?:_[a-z0-9]+)*")
 
 # The packaged vocabularies. label: (aliases, inverse).
 RELATIONS = {
-    "causes": ("caused leads_to results_in", "caused_by"), "caused_by": ("", ""),
-    "part_of": ("", "has_part"), "has_part": ("", ""),
-    "includes": ("include covers contains encompasses", "included_in"), "included_in": ("", ""),
-    "operates_in": ("based_in active_in", ""),
-    "precedes": ("came_before happened_before", "follows"), "follows": ("came_after followed", ""),
-    "triggers": ("triggered sparked prompted", "triggered_by"), "triggered_by": ("", ""),
-    "visited": ("visited_by met met_with", ""),
-    "funds": ("finances subsidized", "funded_by"), "funded_by": ("", ""),
-    "regulates": ("regulated controls restricts", "regulated_by"), "regulated_by": ("", ""),
-    "trades_with": ("traded_with exports_to imports_from", ""),
-    "declared": ("announced stated declared_that said vowed", ""),
-    "described_as": ("described characterized_as labeled called", ""),
-    "expects": ("expected anticipates forecasts projects", ""),
-    "predicts": ("predicted predicted_at prediction forecasted", "predicted_by"), "predicted_by": ("", ""),
-    "supports": ("backs corroborates", ""),
-    "contradicts": ("refutes", "contradicted_by"), "contradicted_by": ("", ""),
-    "exceeds": ("exceeded surpasses outpaces more_than", "exceeded_by"), "exceeded_by": ("", ""),
-    "constrains": ("constrained limits caps", "constrained_by"), "constrained_by": ("", ""),
-    "supersedes": ("replaces", "superseded_by"), "superseded_by": ("", ""),
-    "increases": ("raises", ""), "reduces": ("eases lowers", ""),
-    "depends_on": ("", ""),
+    "causes": (("caused", "leads_to", "results_in"), "caused_by"),
+    "caused_by": ((), ""),
+    "part_of": ((), "has_part"),
+    "has_part": ((), ""),
+    "includes": (("include", "covers", "contains", "encompasses"), "included_in"),
+    "included_in": ((), ""),
+    "operates_in": (("based_in", "active_in"), ""),
+    "precedes": (("came_before", "happened_before"), "follows"),
+    "follows": (("came_after", "followed"), ""),
+    "triggers": (("triggered", "sparked", "prompted"), "triggered_by"),
+    "triggered_by": ((), ""),
+    "visited": (("visited_by", "met", "met_with"), ""),
+    "funds": (("finances", "subsidized"), "funded_by"),
+    "funded_by": ((), ""),
+    "regulates": (("regulated", "controls", "restricts"), "regulated_by"),
+    "regulated_by": ((), ""),
+    "trades_with": (("traded_with", "exports_to", "imports_from"), ""),
+    "declared": (("announced", "stated", "declared_that", "said", "vowed"), ""),
+    "described_as": (("described", "characterized_as", "labeled", "called"), ""),
+    "expects": (("expected", "anticipates", "forecasts", "projects"), ""),
+    "predicts": (("predicted", "predicted_at", "prediction", "forecasted"), "predicted_by"),
+    "predicted_by": ((), ""),
+    "supports": (("backs", "corroborates"), ""),
+    "contradicts": (("refutes",), "contradicted_by"),
+    "contradicted_by": ((), ""),
+    "exceeds": (("exceeded", "surpasses", "outpaces", "more_than"), "exceeded_by"),
+    "exceeded_by": ((), ""),
+    "constrains": (("constrained", "limits", "caps"), "constrained_by"),
+    "constrained_by": ((), ""),
+    "supersedes": (("replaces",), "superseded_by"),
+    "superseded_by": ((), ""),
+    "increases": (("raises",), ""),
+    "reduces": (("eases", "lowers"), ""),
+    "depends_on": ((), ""),
 }
 #: "A reduces B" is the opposite of "A increases B", not "B increases A"; this pair is kept apart and only joined for parity.
 PARITY_INVERSES = {"increases": "reduces"}
 DOMAINS = {
-    "economics": "macroeconomics microeconomics", "finance": "markets investing", "psychology": "cognition behavior", "politics": "governance policy",
-    "geopolitics": "international_relations foreign_policy", "monetary_policy": "central_banking rates_policy", "technology": "engineering computing", "health": "medicine wellness",
+    "economics": ("macroeconomics", "microeconomics"),
+    "finance": ("markets", "investing"),
+    "psychology": ("cognition", "behavior"),
+    "politics": ("governance", "policy"),
+    "geopolitics": ("international_relations", "foreign_policy"),
+    "monetary_policy": ("central_banking", "rates_policy"),
+    "technology": ("engineering", "computing"),
+    "health": ("medicine", "wellness"),
 }
 ENTITY_TYPES = {
-    "person": "politician official leader individual chancellor president minister",
-    "organization": "geopolitical_entity institution company agency central_bank party government bloc",
-    "country": "nation nation_state state", "place": "location city region territory", "event": "election summit crisis meeting war announcement",
-    "policy": "tariff sanction regulation stimulus rule program", "agreement": "treaty deal pact accord contract", "product": "commodity good asset currency",
-    "technology": "platform ai_model system technique", "market": "sector asset_class exchange industry", "metric": "indicator index rate ratio",
-    "concept": "idea doctrine ideology narrative principle risk",
+    "person": ("politician", "official", "leader", "individual", "chancellor", "president", "minister"),
+    "organization": ("geopolitical_entity", "institution", "company", "agency", "central_bank", "party", "government", "bloc"),
+    "country": ("nation", "nation_state", "state"),
+    "place": ("location", "city", "region", "territory"),
+    "event": ("election", "summit", "crisis", "meeting", "war", "announcement"),
+    "policy": ("tariff", "sanction", "regulation", "stimulus", "rule", "program"),
+    "agreement": ("treaty", "deal", "pact", "accord", "contract"),
+    "product": ("commodity", "good", "asset", "currency"),
+    "technology": ("platform", "ai_model", "system", "technique"),
+    "market": ("sector", "asset_class", "exchange", "industry"),
+    "metric": ("indicator", "index", "rate", "ratio"),
+    "concept": ("idea", "doctrine", "ideology", "narrative", "principle", "risk"),
 }
 STATE_KEYS = {
-    "approval_rating": "popularity support_rating public_support", "vote_share": "election_result poll_share polling",
-    "policy_rate": "interest_rate benchmark_rate base_rate discount_rate", "short_term_borrowing": "borrowing debt_issuance financing_need",
-    "trade_volume": "trade exports imports trade_flow", "inflation_rate": "cpi consumer_prices price_growth", "gdp_growth": "growth_rate economic_growth gdp",
-    "unemployment_rate": "joblessness unemployment", "debt_to_gdp": "debt_ratio debt_burden", "budget_deficit": "fiscal_deficit deficit budget_balance",
-    "exchange_rate": "fx_rate currency_rate", "bond_yield": "yield treasury_yield rates", "military_spending": "defense_budget defense_spending",
-    "tariff_rate": "duty_rate customs_rate", "energy_price": "oil_price gas_price power_price", "market_cap": "market_value valuation",
-    "consumer_confidence": "sentiment confidence_index", "migration_volume": "migration immigration_flow", "population": "headcount population_size",
+    "approval_rating": ("popularity", "support_rating", "public_support"),
+    "vote_share": ("election_result", "poll_share", "polling"),
+    "policy_rate": ("interest_rate", "benchmark_rate", "base_rate", "discount_rate"),
+    "short_term_borrowing": ("borrowing", "debt_issuance", "financing_need"),
+    "trade_volume": ("trade", "exports", "imports", "trade_flow"),
+    "inflation_rate": ("cpi", "consumer_prices", "price_growth"),
+    "gdp_growth": ("growth_rate", "economic_growth", "gdp"),
+    "unemployment_rate": ("joblessness", "unemployment"),
+    "debt_to_gdp": ("debt_ratio", "debt_burden"),
+    "budget_deficit": ("fiscal_deficit", "deficit", "budget_balance"),
+    "exchange_rate": ("fx_rate", "currency_rate"),
+    "bond_yield": ("yield", "treasury_yield", "rates"),
+    "military_spending": ("defense_budget", "defense_spending"),
+    "tariff_rate": ("duty_rate", "customs_rate"),
+    "energy_price": ("oil_price", "gas_price", "power_price"),
+    "market_cap": ("market_value", "valuation"),
+    "consumer_confidence": ("sentiment", "confidence_index"),
+    "migration_volume": ("migration", "immigration_flow"),
+    "population": ("headcount", "population_size"),
 }
 
 
@@ -146,9 +183,9 @@ def packaged(kind: str, parity: bool = False) -> Registry:
     """The vocabulary of ``kind``: relation, domain, entity_type or state_key."""
     if kind == "relation":
         extra = PARITY_INVERSES if parity else {}
-        return Registry(1, {k: Entry(k, tuple(a.split()), i or extra.get(k, "")) for k, (a, i) in RELATIONS.items()})
+        return Registry(1, {k: Entry(k, a, i or extra.get(k, "")) for k, (a, i) in RELATIONS.items()})
     table = {"domain": DOMAINS, "entity_type": ENTITY_TYPES, "state_key": STATE_KEYS}[kind]
-    return Registry(1, {k: Entry(k, tuple(a.split())) for k, a in table.items()})
+    return Registry(1, {k: Entry(k, a) for k, a in table.items()})
 
 
 def _entries(section: Any, where: str, staged: bool) -> list[Entry]:
