@@ -170,8 +170,8 @@ def propose(spark: SparkSession, chunks: DataFrame, tables: dict[str, DataFrame]
     guarded = guards.classify(found.triples)
     clean, flagged = guarded.where("primary_class IS NULL"), guarded.where("primary_class IS NOT NULL")
     own = [*TRIPLES.fieldNames(), "source_id", "seq"]
-    triples, measured, rejected = clean.select(*own), found.states, found.rejected
-    if models.decide:
+    triples, measured, rejected = (clean if models.decide else guarded).select(*own), found.states, found.rejected
+    if models.decide:  # without a decision model nothing is reshaped, so flagged candidates go on as they are
         decided = once(dispatch.decide(dispatch.with_chunk(flagged, chunks), models.decide), "decisions")
         done = dispatch.execute(decided)
         last = F.lit(1 << 30)  # repaired candidates come after the extracted ones
