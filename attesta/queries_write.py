@@ -315,9 +315,21 @@ def strongest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, node = F.col("n_nationkey"), lambda x: F.concat(F.lit("n"), x.cast("string"))
     n = _table(spark, sf_dir, "nation")
     edges = n.select(node(k).alias("subject"), F.lit("NEXT").alias("relation"), node((k + 1) % 25).alias("object"), ((k % 7 + 2) / 10).alias("confidence")).unionByName(n.select(node(k).alias("subject"), F.lit("NEXT").alias("relation"), node((k + 2) % 25).alias("object"), F.lit(0.5).alias("confidence")))
-    path = fanout.follow_path(edges, "n0", 6)
-    least = fanout.path_confidence(path)
-    return spark.createDataFrame([(i + 1, p["subject"], p["object"], p["confidence"], least) for i, p in enumerate(path)], "hop int, subject string, object string, confidence double, path_confidence double")
+    start = spark.createDataFrame([("n0",)], "start string")
+    return fanout.strongest_paths(edges, 6, starts=start).select("hop", "subject", "object", "confidence", "path_confidence")
+
+
+@_query("""WITH RECURSIVE a AS (SELECT 'p' || page_id AS subject, 'p' || ((page_id * 7 + 1) % 997) AS object, (page_id % 7 + 2) / 10.0::DOUBLE AS confidence FROM pages UNION ALL SELECT 'p' || page_id, 'p' || ((page_id * 3 + 2) % 997), 0.5 FROM pages),
+  b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object) = 1),
+  w AS (SELECT subject AS start, 1 AS hop, subject, object, confidence, [subject] AS seen FROM b WHERE object <> subject UNION ALL
+    SELECT start, hop + 1, b.subject, b.object, b.confidence, list_append(seen, b.subject) FROM w JOIN b ON b.subject = w.object WHERE hop < 13 AND NOT list_contains(list_append(seen, b.subject), b.object))
+  SELECT start, hop, subject, object, confidence, min(confidence) OVER (PARTITION BY start) AS path_confidence FROM w""")
+def strongest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirteen hops from every page; a thousand pages are linked to by all others, and paths run into cycles."""
+    k, node = F.col("page_id"), lambda x: F.concat(F.lit("p"), x.cast("string"))
+    p = _table(spark, sf_dir, "pages")
+    edges = p.select(node(k).alias("subject"), F.lit("LINKS").alias("relation"), node((k * 7 + 1) % 997).alias("object"), ((k % 7 + 2) / 10).alias("confidence")).unionByName(p.select(node(k).alias("subject"), F.lit("LINKS").alias("relation"), node((k * 3 + 2) % 997).alias("object"), F.lit(0.5).alias("confidence")))
+    return fanout.strongest_paths(edges, 13).select("start", "hop", "subject", "object", "confidence", "path_confidence")
 
 
 @_query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 100 = 0)
