@@ -1,14 +1,18 @@
-"""Entity resolution: blocking joins in the JVM, and the order-dependent cascade per (session, type).
+"""Entity resolution: similarity joins in the JVM, and the order-dependent cascade per group of mentions that could decide on one another.
 
-Every lookup of the cascade is within one canonical type, so groups of
-(session, type) are independent and run in parallel; inside a group mentions
-are resolved in ``seq`` order, because each may extend what the next can match.
-A group is bounded by one ingest session's mentions of one type.
+A mention is resolved against stored entities of its type and against what its
+session made of earlier mentions of that type. Only an earlier mention that is
+equal, similar, contained or near by vector can matter, so the mentions of a
+(session, type) fall into the connected components of that relation, and each
+component is folded in ``seq`` order by itself. A component's mentions and the
+stored entities that could match one of them are what one task holds.
+
+The joins: names by the rarest positional q-grams (prefix filtering), token sets
+by their rarest token, vectors by type.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.scalars import best_ratio, cosine, fuzzy_ratio, name_tokens, normalize_name
+from attesta.operators.components import components, durable
 
 FUZZY, SEMANTIC, MARGIN, CORROBORATIONS = 0.90, 0.85, 0.05, 2
 RESULT = "session string, type string, seq long, mention string, outcome string, canonical string, layer string, new_alias string, matches array<struct<score:double,name:string,layer:string>>"
@@ -90,7 +95,7 @@ def resolve_one(mention: str, vector, session: list[Known], store: list[Known],
         return ("resolve", best.name, "session_semantic", show(found)) if best else ("queue", None, "session_semantic", show(found))
     exact = [k for k in store if key in k.names()]
     if exact:
-        shown = [(1.0, k.name) for k in exact]
+        shown = show([(1.0, k) for k in exact])
         return ("resolve", exact[0].name, "store_exact", shown) if len(exact) == 1 else ("queue", None, "store_exact", shown)
     if found := fuzzy(store):
         return ("resolve", found[0][1].name, "store_fuzzy", show(found)) if len(found) == 1 else ("queue", None, "store_fuzzy", show(found))
@@ -136,33 +141,62 @@ def resolve_group(mentions: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
 def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """RESULT for every mention (session, type, seq, mention, embedding) against ``entities`` (name, type, aliases, embedding, corroborations).
 
-    Of the stored entities only those that some layer could pick for a mention
-    of the group travel to it: those that share a token, or score FUZZY or SEMANTIC.
+    Null mentions count as empty names, rows that repeat are resolved one after another (in any order where their
+    seq is the same); without entities or mentions nothing fails.
     """
     entities = entities if "corroborations" in entities.columns else entities.withColumn("corroborations", F.lit(0))
+    columns = mentions.select("session", "type", F.col("seq").cast("long").alias("seq"), F.coalesce("mention", F.lit("")).alias("mention"), F.col("embedding").cast("array<double>").alias("embedding"))
+    own = durable(columns.withColumns({"__x": normalize_name("mention"), "__node": F.monotonically_increasing_id()}))
     entities = entities.toDF(*entities.columns)  # both sides may come from one table
-    store = candidates(mentions, entities)
-    store = store.toDF(*store.columns)
-    left = mentions.select("session", "type", F.col("seq").cast("long").alias("seq"), "mention", F.col("embedding").cast("array<double>").alias("embedding"))
+    roots = components(_decisive(own))
+    placed = own.join(roots.withColumnRenamed("member", "__node"), "__node", "left").withColumn("__root", F.coalesce("root", "__node"))
+    placed = durable(placed.select("__root", "__x", "session", "type", "seq", "mention", "embedding"))
+    store = candidates(placed, entities)
+    store = store.toDF(*store.columns)  # names of its own for the key that both sides share
 
     def run(m: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         return resolve_group(m, s) if len(m) else pd.DataFrame(columns=["session", "type", "seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches"])
 
-    return left.groupBy("session", "type").cogroup(store.groupBy("session", "type")).applyInPandas(run, RESULT)
+    return placed.drop("__x").groupBy("__root").cogroup(store.groupBy("__root")).applyInPandas(run, RESULT)
+
+
+def _decisive(own: DataFrame) -> DataFrame:
+    """a, b (__node): links whose components hold every two mentions of a session and type that could decide on one another.
+
+    Equal names are linked to the first of them, which stands for the name in all other links.
+    """
+    g = F.struct("session", "type")
+    names = durable(own.groupBy(g.alias("g"), F.col("__x").alias("x")).agg(F.min("__node").alias("first")))
+    equal = own.select(g.alias("g"), F.col("__x").alias("x"), F.col("__node").alias("a")).join(names, ["g", "x"]).select("a", F.col("first").alias("b"))
+    bare = names.select("g", "x")
+    tokens = bare.select("g", "x", _tokens_of("x").alias("tokens"))
+    by_name = near_names(bare, bare, FUZZY).where("x < y").select("g", "x", "y").unionByName(subset_pairs(tokens, tokens).select("g", "x", "y"))
+    a, b = names.withColumnRenamed("first", "a"), names.select("g", F.col("x").alias("y"), F.col("first").alias("b"))
+    by_name = by_name.join(a, ["g", "x"]).join(b, ["g", "y"]).select("a", "b")
+    held = own.where("embedding IS NOT NULL").select(F.to_json(g).alias("type"), "embedding", F.col("__node").alias("b"))
+    same = held.groupBy("type", "embedding").agg(F.min("b").alias("name"))  # equal vectors are linked to the first of them
+    by_vector = semantic_pairs(same.select("type", "embedding", F.col("name").alias("a")), same).select("a", F.col("name").alias("b"))
+    again = held.join(same, ["type", "embedding"]).select(F.col("b").alias("a"), F.col("name").alias("b"))
+    return equal.unionByName(by_name).unionByName(by_vector).unionByName(again)
 
 
 def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """session and the entities of the mention's type that share a token or a normalized name, are similar by name, or are the vector's neighbours."""
-    m = mentions.select("session", "type", F.explode(name_tokens("mention")).alias("__block")).distinct()
-    pooled = F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), name_tokens))
-    e = entities.select("name", "type", F.explode(F.array_distinct(pooled)).alias("__block"))
-    by_name = m.join(e, ["type", "__block"]).select("session", "type", "name")
-    named = mentions.select("session", "type", F.col("mention").alias("a_name")).distinct()
-    pairs = fuzzy_pairs(named.select("type", F.col("a_name").alias("name")).distinct(), entities)
-    by_ratio = named.join(pairs, ["type", "a_name"]).select("session", "type", F.col("b_name").alias("name"))
-    by_vector = semantic_pairs(mentions.select("session", "type", "embedding"), entities).select("session", "type", "name")
-    keys = by_name.unionByName(by_ratio).unionByName(by_vector).distinct()
-    return keys.join(entities.select("name", "type", "aliases", F.col("embedding").cast("array<double>").alias("embedding"), F.col("corroborations").cast("int").alias("corroborations")), ["type", "name"]).select("session", "type", "name", "aliases", "embedding", "corroborations")
+    """__root and the entities of its mentions' type that some layer could pick for one of them: equal or similar names or aliases, contained token sets, near vectors.
+
+    mentions: __root, __x (the normalized mention), type, embedding.
+    """
+    named = mentions.select("__root", F.col("type").alias("g"), F.col("__x").alias("x")).distinct()
+    bare = named.select("g", "x").distinct()
+    stored = entities.select(F.col("type").alias("g"), "name", F.explode(_names(entities)).alias("y")).distinct()
+    by_ratio = near_names(bare, stored.select("g", "y").distinct(), FUZZY).join(stored, ["g", "y"]).select("g", "x", "name")
+    mine, theirs = bare.select("g", "x", _tokens_of("x").alias("tokens")), entities.select(F.col("type").alias("g"), F.col("name").alias("x"), _pooled_tokens(entities).alias("tokens")).distinct()
+    inside = subset_pairs(mine, theirs).select("g", "x", F.col("y").alias("name"))
+    around = subset_pairs(theirs, mine).select("g", F.col("y").alias("x"), F.col("x").alias("name"))
+    by_name = named.join(by_ratio.unionByName(inside).unionByName(around).distinct(), ["g", "x"]).select("__root", F.col("g").alias("type"), "name")
+    by_vector = semantic_pairs(mentions.select("__root", "type", "embedding"), entities).select("__root", "type", "name")
+    keys = by_name.unionByName(by_vector).distinct()
+    columns = entities.select("name", "type", "aliases", F.col("embedding").cast("array<double>").alias("embedding"), F.col("corroborations").cast("int").alias("corroborations"))
+    return keys.join(columns, ["type", "name"]).select("__root", "name", "aliases", "embedding", "corroborations")
 
 
 def semantic_pairs(mentions: DataFrame, entities: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
@@ -172,61 +206,96 @@ def semantic_pairs(mentions: DataFrame, entities: DataFrame, threshold: float =
     return pairs.withColumn("score", cosine("embedding", "__stored")).where(F.col("score") >= threshold).drop("__stored")
 
 
-def containment_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_name, b_name, type): the tokens of one are a strict subset of the other's (aliases pooled in b).
+def _tokens_of(normalized: str):
+    return F.array_distinct(F.filter(F.split(normalized, " "), lambda t: t != ""))
+
+
+def _pooled_tokens(entities: DataFrame):
+    """The tokens of the name and of all aliases together."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(name_tokens("name"), F.array().cast("array<string>")), F.flatten(F.transform(F.array_compact(aliases), name_tokens))))
+
 
-    Candidate pairs share a token; the theta condition is checked on those only.
+def subset_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(g, x, y): the tokens of x of ``small`` are a strict, not empty, subset of those of y of ``large`` (both g, x, tokens; distinct).
+
+    A set that holds another holds the rarest of its tokens, so a set is looked
+    for under that one only, and a token that all names have brings nobody
+    together. Sets with a token that ``large`` doesn't have are out at once.
     """
-    left = a.select("type", F.col("name").alias("a_name"), name_tokens("name").alias("a_tokens"))
-    pooled = F.array_distinct(F.concat(name_tokens("name"), F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_tokens))))
-    right = b.select("type", F.col("name").alias("b_name"), pooled.alias("b_tokens"))
-    pairs = left.withColumn("t", F.explode("a_tokens")).join(right.withColumn("t", F.explode("b_tokens")), ["type", "t"]).drop("t").dropDuplicates(["type", "a_name", "b_name"])
-    inside = F.size(F.array_except("a_tokens", "b_tokens")) == 0
-    around = F.size(F.array_except("b_tokens", "a_tokens")) == 0
-    return pairs.where((inside | around) & ~(inside & around)).select("type", "a_name", "b_name")
+    index = large.select("g", F.col("x").alias("y"), F.col("tokens").alias("__all"), F.explode("tokens").alias("t"))
+    counts = index.groupBy("g", "t").agg(F.count("*").alias("n"))
+    own = small.select("g", "x", "tokens", F.explode("tokens").alias("t")).join(counts, ["g", "t"])
+    rarest = own.groupBy("g", "x", "tokens").agg(F.min_by("t", F.struct("n", "t")).alias("t"), F.count("*").alias("k")).where("k = size(tokens)").drop("k")
+    holds = (F.size("tokens") < F.size("__all")) & (F.size(F.array_except("tokens", "__all")) == 0)
+    return rarest.join(index, ["g", "t"]).where(holds).select("g", "x", "y")
+
+
+def containment_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_name, b_name, type): the tokens of one are a strict subset of the other's (aliases pooled in b)."""
+    left = a.select(F.col("type").alias("g"), F.col("name").alias("x"), name_tokens("name").alias("tokens")).distinct()
+    right = b.select(F.col("type").alias("g"), F.col("name").alias("x"), _pooled_tokens(b).alias("tokens")).distinct()
+    inside = subset_pairs(left, right).select(F.col("g").alias("type"), F.col("x").alias("a_name"), F.col("y").alias("b_name"))
+    around = subset_pairs(right, left).select(F.col("g").alias("type"), F.col("y").alias("a_name"), F.col("x").alias("b_name"))
+    return inside.unionByName(around).distinct()
+
+
+#: How often each character of a normalized name is told apart; 63 bits a number.
+_COUNTED = (("abcdefg", 9), ("hijklmn", 9), ("opqrstu", 9), ("vwxyz", 9), ("0123456789", 6))
+_LENGTHS = 1.1  # lengths are dealt into classes that grow by this factor
 
 
-def _budget(n: int, m: int, threshold: float) -> int:
-    """The most characters outside common blocks that names of these lengths may have at the threshold."""
-    most = int((1 - threshold) * (n + m) + 1e-9)
-    return most - (most - n - m) % 2  # what is outside has the parity of n + m
+def gram_length(threshold: float) -> int:
+    """The longest grams of which common blocks always leave one whole at the threshold (above 0): 3, 2 or 1."""
+    return next((q for q in (3, 2) if (2 * q - 1) * (1 - threshold) < 1), 1)
 
 
-def fuzzy_keys(name: str, threshold: float, stored: bool) -> list[str]:
-    """Keys of a normalized name; a mention and a stored name with a ratio of at least ``threshold`` (above 0) share one.
+def _letters(x: str, letters: str, most: int):
+    """Bits that tell how often letters occur: ``most`` a letter, as many of them set as it occurs."""
+    return F.expr(" | ".join(f"shiftleft(shiftleft(1L, least(length({x}) - length(replace({x}, '{c}', '')), {most})) - 1, {most * k})" for k, c in enumerate(letters)))
+
+
+def _grams(names: DataFrame, x: str, q: int) -> DataFrame:
+    """``names`` (g, x) with every gram and its place p; both ends are padded."""
+    padded = F.concat(F.lit("^" * (q - 1)), F.col(x), F.lit("$" * (q - 1)))
+    last = F.length(x) + q - 1
+    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: F.struct(F.substring(padded, p, F.lit(q)).alias("gram"), p.alias("p")))
+    return names.select("g", x, F.explode(each).alias("e")).select("g", x, "e.gram", "e.p")
+
+
+def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(g, x, y, ratio) of distinct normalized names of one group (``left``: g, x; ``right``: g, y or x): all with a Ratcliff-Obershelp ratio of at least ``threshold``.
 
     A ratio of r leaves at most (1 - r) of both lengths outside the common
-    blocks. Cut into one segment more than that, a stored name has a segment
-    which the other holds unbroken, shifted by no more than what was inserted or
-    left out. So its segments meet the substrings of mentions at those shifts,
-    for every length that can reach the threshold. Where a segment would be
-    empty, the two lengths alone are the key.
+    blocks, that is so many letters left out and put in between the two. Each
+    letter left out breaks at most q grams of a name, each one put in q - 1; so
+    of grams in one common order, rarest first, a name's first
+    ``q * (letters that may go) + 1`` meet those of the other, moved by no more than
+    was put in or left out. So many keys a name, in proportion to its length,
+    meet by gram and class of length. What meets is held against bounds on
+    places, lengths, letters and edits, and then scored whole.
     """
-    n = len(name)
-    low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
-    out = set()
-    for m in range(low, high + 1):
-        mine, other = (n, m) if stored else (m, n)  # lengths of the stored name and of the mention
-        d = _budget(n, m, threshold)
-        if d < 0:
-            continue
-        if d >= mine:
-            out.add(f"{mine}/{other}")
-            continue
-        left_out, inserted = (d - (other - mine)) // 2, (d + (other - mine)) // 2
-        for i in range(d + 1):
-            a, b = i * mine // (d + 1), (i + 1) * mine // (d + 1)
-            for at in (a,) if stored else range(max(0, a - left_out), min(other - (b - a), a + inserted) + 1):
-                out.add(f"{mine}/{other}/{i}/{name[at : at + b - a]}")
-    return sorted(out)
-
-
-def _fuzzy_keys(name, threshold: float, stored: bool):
-    @F.pandas_udf("array<string>")
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: fuzzy_keys(x, threshold, stored))
-
-    return run(name)
+    q, t = gram_length(threshold), threshold
+    # Every text is of its own normal form, so there are at most 39 ** 3 grams.
+    sides = {"x": left.select("g", "x"), "y": right.select("g", F.col(right.columns[1]).alias("y"))}
+    grams = {k: _grams(df, k, q) for k, df in sides.items()}
+    counts = grams["x"].select("gram").unionByName(grams["y"].select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    cls = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(_LENGTHS))).cast("int")
+    keyed = {}
+    for k, df in grams.items():
+        n = F.length(k)
+        least = F.ceil(n * (t / (2 - t)) - 1e-9)
+        picked = df.join(F.broadcast(counts), "gram").groupBy("g", k).agg(F.collect_list(F.struct("n", "gram", "p")).alias("all"))
+        picked = picked.withColumn("e", F.explode(F.slice(F.array_sort("all"), F.lit(1), (F.floor(q * n * ((2 - 2 * t) / (2 - t)) + 1e-9) + 1).cast("int"))))
+        wide = F.explode(F.sequence(cls(least), cls(F.floor(n * ((2 - t) / t) + 1e-9)))) if k == "x" else cls(n)
+        keyed[k] = picked.select("g", k, F.col("e.gram").alias("gram"), F.col("e.p").alias(f"p_{k}"), *[_letters(k, *c).alias(f"has{i}_{k}") for i, c in enumerate(_COUNTED)], wide.alias("class"))
+    n, m = F.length("x"), F.length("y")
+    most = (1 - t) * (n + m) + 1e-9
+    moved = F.col("p_y") - F.col("p_x")
+    letters = sum(F.bit_count(F.col(f"has{i}_x").bitwiseXOR(F.col(f"has{i}_y"))) for i in range(len(_COUNTED)))  # what goes or comes flips one bit at most
+    may = (F.abs(n - m) <= most) & (letters <= most) & (2 * moved <= most + m - n) & (-2 * moved <= most + n - m)
+    met = durable(keyed["x"].join(keyed["y"], ["g", "gram", "class"]).where(may).select("g", "x", "y").distinct())  # written, so that edits are counted once a pair
+    return met.where(F.levenshtein("x", "y") <= most).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
 
 
 def _names(entities: DataFrame):
@@ -236,19 +305,11 @@ def _names(entities: DataFrame):
 
 
 def fuzzy_pairs(a: DataFrame, b: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """(type, a_name, b_name, ratio): all pairs of one type, the best ratio of a's name to b's name and aliases.
-
-    Distinct normalized names are blocked without loss by ``fuzzy_keys`` and
-    scored whole by Ratcliff-Obershelp. The threshold is above 0.
-    """
-    left = a.where("name IS NOT NULL").select("type", F.col("name").alias("a_name"), normalize_name("name").alias("x"))
-    right = b.select("type", F.col("name").alias("b_name"), F.explode(_names(b)).alias("y"))
-    key = F.xxhash64("k")
-    x = left.select("type", "x").distinct().select("type", "x", F.explode(_fuzzy_keys(F.col("x"), threshold, False)).alias("k")).select("type", "x", key.alias("k"))
-    y = right.select("type", "y").distinct().select("type", "y", F.explode(_fuzzy_keys(F.col("y"), threshold, True)).alias("k")).select("type", "y", key.alias("k"))
-    near = F.levenshtein("x", "y") <= (1 - threshold) * (F.length("x") + F.length("y")) + 1e-9  # never more than what common blocks leave
-    scored = x.join(y, ["type", "k"]).select("type", "x", "y").distinct().where(near).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= threshold)
-    return scored.join(left, ["type", "x"]).join(right, ["type", "y"]).groupBy("type", "a_name", "b_name").agg(F.max("ratio").alias("ratio"))
+    """(type, a_name, b_name, ratio): all pairs of one type, the best ratio of a's name to b's name and aliases. The threshold is above 0."""
+    left = a.where("name IS NOT NULL").select(F.col("type").alias("g"), F.col("name").alias("a_name"), normalize_name("name").alias("x"))
+    right = b.select(F.col("type").alias("g"), F.col("name").alias("b_name"), F.explode(_names(b)).alias("y"))
+    scored = near_names(left.select("g", "x").distinct(), right.select("g", "y").distinct(), threshold)
+    return scored.join(left, ["g", "x"]).join(right, ["g", "y"]).groupBy(F.col("g").alias("type"), "a_name", "b_name").agg(F.max("ratio").alias("ratio"))
 
 
 def alias_deltas(resolutions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
@@ -452,20 +452,38 @@ def dispatch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.counters(decided, rows.where("primary_class IS NULL"))
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, site, type (the language) and name (the title) of every page that has a title."""
+    html = F.col("html")
+    named = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([^./]+\.[^./:?#]+)(?:[:/?#]|$)", 1).alias("site"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("type"), F.trim(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)).alias("name"))
+    return named.where("name <> ''")
+
+
 @_query()
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratcliff-Obershelp has no SQL form; tests hold it against brute force."""
-    part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("product").alias("type")).distinct()
-    return resolution.fuzzy_pairs(part.withColumn("name", F.concat("name", F.lit("s"))), part)
+    """Different titles of pages of one language with a ratio of 0.90; Ratcliff-Obershelp has no SQL form, tests hold it against brute force."""
+    names = titles(spark, sf_dir).select("name", "type").distinct()
+    return resolution.fuzzy_pairs(names, names).where("a_name < b_name")
+
+
+def title_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title as a mention, in the order of pages, with a session per site and the vector of the page's number where there is one."""
+    vectors_ = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return titles(spark, sf_dir).join(vectors_, "page_id", "left").select(F.col("site").alias("session"), "type", F.col("page_id").alias("seq"), F.col("name").alias("mention"), "embedding")
+
+
+def title_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first sentences of titles name, with the least title as an alias where there are several, the vector of the first page that has one, and how many pages there are."""
+    mentions = title_mentions(spark, sf_dir).withColumn("name", F.trim(F.substring_index("mention", ".", 1))).where("name <> ''")
+    first = F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("seq")))
+    return mentions.groupBy("name", "type").agg(F.when(F.count("*") > 1, F.array(F.min("mention"))).alias("aliases"), first.alias("embedding"), F.count("*").cast("int").alias("corroborations"))
 
 
 @_query()
 def resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent, so without SQL; tests hold it against the layers one by one."""
-    part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("product").alias("type")).distinct().withColumns({"aliases": F.array().cast("array<string>"), "embedding": F.lit(None).cast("array<double>")})
-    w = Window.partitionBy("session").orderBy("name")
-    mentions = part.select(F.lit("s1").alias("session"), "type", F.upper("name").alias("name"), "embedding").withColumn("seq", F.row_number().over(w)).withColumnRenamed("name", "mention")
-    return resolution.resolve(mentions, part).select("session", "type", "seq", "mention", "outcome", "canonical", "layer")
+    """Order-dependent, so without SQL; tests hold it against one fold over each session and type."""
+    found = resolution.resolve(title_mentions(spark, sf_dir), title_entities(spark, sf_dir))
+    return found.select("session", "type", "seq", "mention", "outcome", "canonical", "layer")
 
 
 def queries() -> dict[str, Query]:

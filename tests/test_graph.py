@@ -148,6 +148,56 @@ def test_fuzzy_pairs_miss_none(spark):
     assert {("Kohannesburg", "Johannesburg"), ("McDonalds", "MacDonalds")} <= found and ("New York New York", "New York") not in found
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_decide_as_one_fold_over_the_session(spark, seed):
+    """Random sessions with vectors, aliases, ties and repeated names, against the whole store in one fold."""
+    r = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "bank", "of", "north", "house", "omega"]
+    name = lambda: " ".join(r.sample(words, r.randint(1, 3)))
+
+    def spoiled():
+        n, at = name(), r.randrange(3)
+        return n if at else n.upper() + r.choice(["", "s", "!", " x"])
+
+    def vector():
+        k = r.randrange(6)
+        return None if r.random() < 0.4 else [float(k == i) + r.choice([0.0, 0.1, 0.3]) for i in range(6)]
+
+    store = [(n, t, [spoiled() for _ in range(r.randrange(3))] or None, vector(), r.randrange(4)) for n, t in sorted({(name(), r.choice("tu")) for _ in range(14)})]
+    mentions = [(r.choice("pq"), r.choice("tu"), i, spoiled(), vector()) for i in range(70)]
+    e = spark.createDataFrame(store, ENT)
+    m = spark.createDataFrame(mentions, MEN)
+    got = [r_.asDict(recursive=True) for r_ in resolution.resolve(m, e).collect()]
+    want = []
+    for (_, kind), own in m.toPandas().groupby(["session", "type"]):
+        pool = e.where(e.type == kind).toPandas()
+        want += resolution.resolve_group(own, pool).to_dict("records")
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len({x["layer"] for x in got}) >= 4
+
+
+def test_no_mentions_no_entities_and_null_names(spark):
+    assert resolve(spark, [], [("A", None, None, 0)]) == []
+    assert resolve(spark, [("A", None), (None, None), (None, None)], []) == [("create", "A", "create"), ("create", "", "create"), ("resolve", "", "session_exact")]
+
+
+def test_containment_pairs_equal_brute_force(spark):
+    r = random.Random(2)
+    words = [*"abcdefgh", "the"]
+    make = lambda n: sorted({" ".join(r.sample(words, r.randint(1, 5))) for _ in range(n)} | {"", "the", "the the", "zzz"})
+    left, right = make(60), [(n, "t", [r.choice(words) + " x"] if r.random() < 0.3 else None) for n in make(60)]
+    a = spark.createDataFrame([(n, "t") for n in left] + [("a", "other")], "name string, type string")
+    b = spark.createDataFrame(right, "name string, type string, aliases array<string>")
+    want = set()
+    for x in left:
+        for n, _, al in right:
+            p, q = set(x.split()), {w for v in (n, *(al or [])) for w in v.split()}
+            if p and q and (p < q or q < p):
+                want.add((x, n))
+    rows = resolution.containment_pairs(a, b).collect()
+    assert {(x.a_name, x.b_name) for x in rows} == want and len(rows) == len(want)
+
+
 def test_mentions_with_other_first_letters_are_resolved(spark):
     store = [("Johannesburg", [], None, 0), ("Golden Arches", ["MacDonalds"], None, 0)]
     assert resolve(spark, [("Kohannesburg", None), ("McDonalds", None)], store) == [("resolve", "Johannesburg", "store_fuzzy"), ("resolve", "Golden Arches", "store_fuzzy")]
@@ -259,6 +309,17 @@ def test_ingest_stores_vectors_of_entities_and_evidence(spark, tmp_path, monkeyp
     assert [(r.subject, r.evidence_embedding) for r in rows] == [("The Fed", [0.5, 0.5]), ("The Fed", None)]
 
 
+def test_flagged_candidates_go_on_without_a_decision_model(spark, tmp_path):
+    def extract(chunk):
+        base = {"subject_type": "organization", "relation": "supports", "object": "Paris", "object_type": "place", "confidence": 0.5, "evidence": "seen", "scope_conditions": "always", "source_ref": chunk["source_ref"], "domain": "finance"}
+        return [("propose_triple", base | {"subject": s}) for s in ("Ann", "$5 trillion")]
+
+    chunks = chunking.chunk_markdown(spark.createDataFrame([("d.md", "# A\nx")], "source_id string, text string"))
+    tables = {"entities": spark.createDataFrame([], ENTITIES), "arrows": spark.createDataFrame([], ARROWS)}
+    delta = ingest.propose(spark, chunks, tables, registry.packaged_table(spark), ingest.Models(extract), str(tmp_path))
+    assert {r.subject for r in delta.new_edges.collect()} == {"Ann", "$5 trillion"} and delta.rejected.count() == 0
+
+
 def test_scan(spark):
     chunks = chunking.chunk_markdown(spark.createDataFrame([("d.md", "# A\nx\n# B\ny\n# C\nz")], "source_id string, text string"))
     found = ingest.scan(chunks, lambda text: {"verbs": ["Leads To", "orbits", "HEDGES"], "entities": [{"name": "Fed", "type": "central_bank"}]}, 2)

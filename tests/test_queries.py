@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from attesta import queries as graph
 
-SF = "/root/testdata/sf0.001"
+SF, BIGGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -33,6 +33,18 @@ def test_entry(spark):
 def test_fuzzy_pairs_equal_brute_force(spark):
     from attesta.operators.resolution import best_ratio, norm
 
-    parts = sorted({r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()})
-    want = {(a + "s", b) for a in parts for b in parts if best_ratio(norm(a + "s"), [norm(b)]) >= 0.90}
-    assert {(r.a_name, r.b_name) for r in graph.fuzzy_pairs(spark, SF).collect()} == want
+    rows = {(r.type, r.name) for r in graph.titles(spark, BIGGER).collect()}
+    want = {(t, a, b) for t, a in rows for u, b in rows if t == u and a < b and best_ratio(norm(a), [norm(b)]) >= 0.90}
+    assert {(r.type, r.a_name, r.b_name) for r in graph.fuzzy_pairs(spark, BIGGER).collect()} == want and want
+
+
+def test_resolution_cascade_equals_one_fold_over_each_session_and_type(spark):
+    from attesta.operators.resolution import resolve_group
+
+    mentions, entities = graph.title_mentions(spark, BIGGER).toPandas(), graph.title_entities(spark, BIGGER).toPandas()
+    want = []
+    for (_, kind), own in mentions.groupby(["session", "type"]):
+        want += resolve_group(own, entities[entities.type == kind].drop(columns="type"))[["session", "type", "seq", "mention", "outcome", "canonical", "layer"]].itertuples(index=False, name=None)
+    got = [tuple(r) for r in graph.resolution_cascade(spark, BIGGER).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len({layer for *_, layer in got}) >= 3
