@@ -51,27 +51,30 @@ def filled(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     """PIECES: pieces of bins that a task filled have their place, leftovers a null sequence_id and a rank among those of the task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_bpe(vocabulary), end_id.to_bytes(encoder_width, "little")
+        encoder, end = word_bpe(vocabulary), end_id.to_bytes(2, "little")  # two bytes an id, until they are given out
         task = TaskContext.get().partitionId()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("task", pa.int64()), ("rank", pa.int64())])
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "task", "rank"]
         held: dict[int, list[tuple]] = {}
         ready: list[tuple] = []
         bins = size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ready, size
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready, strict=True), schema, strict=True)], schema=schema)
+            columns = dict(zip(names, zip(*ready, strict=True), strict=True))
+            wide = np.frombuffer(b"".join(columns["ids"]), "<u2").astype("<u4")
+            ends = np.append(0, np.cumsum(columns["length"])).astype(np.int32) * 4
+            ids = pa.Array.from_buffers(pa.binary(), len(ready), [None, pa.py_buffer(ends), pa.py_buffer(wide)])
+            out = pa.RecordBatch.from_arrays([ids if c == "ids" else pa.array(columns[c], pa.int64()) for c in names], names=names)
             ready, size = [], 0
             return out
 
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.batches(texts), strict=True):
-                wide = np.frombuffer(ids + end, f"<u{encoder_width}").astype("<u4").tobytes()
-                n = len(wide) // 4
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.column(batch.column(1)), strict=True):
+                ids += end
+                n = len(ids) // 2
                 for start, length in cuts(n, capacity):
                     bin_ = held.setdefault(length, [])
-                    bin_.append((doc_id, start, length, wide[4 * start : 4 * (start + length)], n))
+                    bin_.append((doc_id, start, length, ids[2 * start : 2 * (start + length)], n))
                     if len(bin_) * length == capacity:
                         number = (task << 33) + bins
                         ready += [(*piece, number, k * length, task, None) for k, piece in enumerate(bin_)]
@@ -85,7 +88,6 @@ def filled(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
         held.clear()
         give_back()
 
-    encoder_width = 2  # bytes of an id in what word_bpe returns
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 

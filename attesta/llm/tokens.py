@@ -206,6 +206,16 @@ class PieceEncoder:
                 held, size = [], 0
         yield from self.encode_all(held)
 
+    def column(self, texts: pa.Array, most: int = 1 << 21) -> Iterator[bytes]:
+        """As ``encode_all`` for a vocabulary that drops white space, over about ``most`` bytes at a time; texts needn't become Python strings."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield from self._split(texts.slice(at, after - at))
+            at = after
+
 
 def _kept_encoder(path: str, width: int, keeps_space: bool) -> PieceEncoder:
     """One encoder a vocabulary for the life of a Python worker; functions may reach it by value, so it hangs on a module of its own."""
