@@ -330,16 +330,18 @@ def deduplicate(docs: DataFrame, keep: list[str], length: int = LENGTH, with_tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, runs, rows in zip(batch.column(t), batch.column(r), batch.column(n), strict=True):
-                raw = text.as_py().encode()
-                whole = rows.is_valid and not runs.is_valid
-                parts = [b"", b""] if whole else remaining(raw, [(x["first"], x["after"]) for x in runs.as_py() or ()], length)
-                left = b"".join(parts)
-                out.append((len(raw), len(raw) - len(left), len(parts) - 1, hashlib.sha256(left).hexdigest(), left, "".join([p.decode("utf-8", "ignore") for p in parts])))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()][: 4 + 2 * with_text]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
+            for at in range(0, batch.num_rows, 256):  # a batch's texts are held a few times over
+                part, out = batch.slice(at, 256), []
+                for text, runs, rows in zip(part.column(t), part.column(r), part.column(n), strict=True):
+                    raw = text.as_py().encode()
+                    whole = rows.is_valid and not runs.is_valid
+                    parts = [b"", b""] if whole else remaining(raw, [(x["first"], x["after"]) for x in runs.as_py() or ()], length)
+                    left = b"".join(parts)
+                    out.append((len(raw), len(raw) - len(left), len(parts) - 1, hashlib.sha256(left).hexdigest(), left, "".join([p.decode("utf-8", "ignore") for p in parts])))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()][: 4 + 2 * with_text]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)] if out else [pa.array([], t) for t in types]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=schema.names)
+        give_back()
 
     size, raw = F.octet_length(t).cast("long"), F.encode(t, "utf-8")
     columns = [size.alias("__n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("__n_removed", "__n_spans")), F.sha2(raw, 256).alias("__sha256")]
