@@ -268,15 +268,16 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
 
     A ratio of r leaves at most (1 - r) of both lengths outside the common
     blocks, that is so many letters left out and put in between the two. Each
-    letter left out breaks at most q grams of a name, each one put in q - 1; so
-    of grams in one common order, rarest first, a name's first
-    ``q * (letters that may go) + 1`` meet those of the other, moved by no more than
-    was put in or left out. So many keys a name, in proportion to its length,
-    meet by gram and class of length. What meets is held against bounds on
-    places, lengths, letters and edits, and then scored whole.
+    letter left out breaks at most q grams of a name of n letters, each one put in
+    q - 1; that is most where letters are only left out, q n (2 - 2r) / (2 - r). With
+    the grams of all names in one order, rarest first, one more than so many of a
+    name's first meet as many of the other's, moved by no more than was put in or
+    left out. These keys, in proportion to a name's length, meet by gram and class
+    of length. What meets is held against bounds on places, lengths, letters and
+    edits, and then scored whole.
     """
     q, t = gram_length(threshold), threshold
-    # Every text is of its own normal form, so there are at most 39 ** 3 grams.
+    # Normalized names have 37 characters, with the paddings 39: there are at most 39 ** 3 grams, so their counts may be broadcast.
     sides = {"x": left.select("g", "x"), "y": right.select("g", F.col(right.columns[1]).alias("y"))}
     grams = {k: _grams(df, k, q) for k, df in sides.items()}
     counts = grams["x"].select("gram").unionByName(grams["y"].select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
@@ -286,16 +287,19 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         n = F.length(k)
         least = F.ceil(n * (t / (2 - t)) - 1e-9)
         picked = df.join(F.broadcast(counts), "gram").groupBy("g", k).agg(F.collect_list(F.struct("n", "gram", "p")).alias("all"))
-        picked = picked.withColumn("e", F.explode(F.slice(F.array_sort("all"), F.lit(1), (F.floor(q * n * ((2 - 2 * t) / (2 - t)) + 1e-9) + 1).cast("int"))))
-        wide = F.explode(F.sequence(cls(least), cls(F.floor(n * ((2 - t) / t) + 1e-9)))) if k == "x" else cls(n)
-        keyed[k] = picked.select("g", k, F.col("e.gram").alias("gram"), F.col("e.p").alias(f"p_{k}"), *[_letters(k, *c).alias(f"has{i}_{k}") for i, c in enumerate(_COUNTED)], wide.alias("class"))
-    n, m = F.length("x"), F.length("y")
+        # What is counted of a name is counted once, before its keys fan out.
+        own = picked.select("g", k, n.alias(f"n_{k}"), *[_letters(k, *c).alias(f"has{i}_{k}") for i, c in enumerate(_COUNTED)], F.slice(F.array_sort("all"), F.lit(1), (F.floor(q * n * ((2 - 2 * t) / (2 - t)) + 1e-9) + 1).cast("int")).alias("first"))
+        classes = F.sequence(cls(least), cls(F.floor(n * ((2 - t) / t) + 1e-9))) if k == "x" else F.array(cls(n))
+        own = own.withColumn("classes", classes).withColumn("e", F.explode("first")).withColumns({"gram": F.col("e.gram"), f"p_{k}": F.col("e.p")})
+        keyed[k] = own.withColumn("class", F.explode("classes")).drop("e", "first", "classes")
+    n, m = F.col("n_x"), F.col("n_y")
     most = (1 - t) * (n + m) + 1e-9
     moved = F.col("p_y") - F.col("p_x")
     letters = sum(F.bit_count(F.col(f"has{i}_x").bitwiseXOR(F.col(f"has{i}_y"))) for i in range(len(_COUNTED)))  # what goes or comes flips one bit at most
-    may = (F.abs(n - m) <= most) & (letters <= most) & (2 * moved <= most + m - n) & (-2 * moved <= most + n - m)
+    may = (2 * moved <= most + m - n) & (-2 * moved <= most + n - m) & (F.abs(n - m) <= most) & (letters <= most)
     met = durable(keyed["x"].join(keyed["y"], ["g", "gram", "class"]).where(may).select("g", "x", "y").distinct())  # written, so that edits are counted once a pair
-    return met.where(F.levenshtein("x", "y") <= most).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
+    edits = (1 - t) * (F.length("x") + F.length("y")) + 1e-9
+    return met.where(F.levenshtein("x", "y") <= edits).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
 
 
 def _names(entities: DataFrame):
