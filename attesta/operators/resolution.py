@@ -8,7 +8,7 @@ component is folded in ``seq`` order by itself. A component's mentions and the
 stored entities that could match one of them are what one task holds.
 
 The joins: names by the rarest positional q-grams (prefix filtering), token sets
-by their rarest token, vectors by type.
+by their rarest token, vectors in blocks of near ones.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.scalars import best_ratio, cosine, fuzzy_ratio, name_tokens, normalize_name
 from attesta.operators.components import components, durable
+from attesta.operators.vectors import near_links, near_vectors
 
 FUZZY, SEMANTIC, MARGIN, CORROBORATIONS = 0.90, 0.85, 0.05, 2
 RESULT = "session string, type string, seq long, mention string, outcome string, canonical string, layer string, new_alias string, matches array<struct<score:double,name:string,layer:string>>"
@@ -49,12 +50,80 @@ class Known:
     def __init__(self, name: str, aliases: list[str], vector, corroborations: int = 0):
         self.name, self.aliases, self.vector, self.corroborations = name, list(aliases), vector, corroborations
         self.fuzzy_names = [norm(name), *map(norm, aliases)]
-
-    def names(self) -> set[str]:
-        return {norm(self.name), *map(norm, self.aliases)}
-
-    def tokens(self) -> frozenset[str]:
-        return _tokens([self.name, *self.aliases])
+        self.names, self.tokens = frozenset(self.fuzzy_names), _tokens([name, *aliases])
+
+
+class _Rows:
+    """A matrix that grows by rows."""
+
+    def __init__(self, width: int = 0):
+        self._data, self._n = np.zeros((16, width)), 0
+
+    def add(self, row: np.ndarray) -> None:
+        rows, width = self._data.shape
+        if self._n == rows or len(row) > width:
+            grown = np.zeros((max(rows, 2 * self._n), max(width, len(row))))
+            grown[:rows, :width] = self._data
+            self._data = grown
+        self._data[self._n, : len(row)] = row
+        self._n += 1
+
+    def rows(self) -> np.ndarray:
+        return self._data[: self._n]
+
+
+def _letters_of(name: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(name.encode("ascii"), np.uint8), minlength=128)[:128]
+
+
+class Pool:
+    """Identities in their order. Names and vectors are held against bounds all at once; only what these leave is scored."""
+
+    def __init__(self, items: list[Known] = ()):
+        self.items: list[Known] = []
+        self.exact: dict[str, list[Known]] = {}
+        self._letters, self._lengths, self._named = _Rows(128), _Rows(1), []
+        self._units, self._with_vector = _Rows(), []
+        for k in items:
+            self.add(k)
+
+    def add(self, known: Known) -> None:
+        at = len(self.items)
+        self.items.append(known)
+        for name in known.names:
+            self.exact.setdefault(name, []).append(known)
+            self._letters.add(_letters_of(name))
+            self._lengths.add(np.array([len(name)]))
+            self._named.append(at)
+        if known.vector is not None:
+            self._units.add(_unit(known.vector))
+            self._with_vector.append(at)
+
+    def similar(self, key: str) -> list[tuple[float, Known]]:
+        """Every identity with a name or alias whose ratio is at least FUZZY: the letters that two names share bound it."""
+        if not self.items:
+            return []
+        shared = np.minimum(self._letters.rows(), _letters_of(key)).sum(axis=1)
+        may = np.flatnonzero(2 * shared >= (FUZZY - 1e-9) * (self._lengths.rows()[:, 0] + len(key)))
+        owners = sorted({self._named[i] for i in may})
+        return [(r, k) for k in (self.items[i] for i in owners) if (r := best_ratio(key, k.fuzzy_names)) >= FUZZY]
+
+    def near(self, vector) -> list[tuple[float, Known]]:
+        if vector is None or not self._with_vector:
+            return []
+        units, own = self._units.rows(), _unit(vector)
+        n = min(units.shape[1], len(own))
+        may = np.flatnonzero(units[:, :n] @ own[:n] >= SEMANTIC - 1e-9)
+        return [(c, k) for k in (self.items[self._with_vector[i]] for i in may) if (c := _cos(vector, k.vector)) >= SEMANTIC]
+
+    def contained(self, own: frozenset[str]) -> list[Known]:
+        return [k for k in self.items if own and k.tokens and (own < k.tokens or k.tokens < own)]
+
+
+def _unit(vector) -> np.ndarray:
+    v = np.asarray(vector, float)
+    n = float(np.linalg.norm(v))
+    return v / n if 0 < n < float("inf") else np.zeros(len(v))
 
 
 def _margin(scored: list[tuple[float, Known]]) -> Known | None:
@@ -64,7 +133,7 @@ def _margin(scored: list[tuple[float, Known]]) -> Known | None:
     return None
 
 
-def resolve_one(mention: str, vector, session: list[Known], store: list[Known], recorded: dict[str, Known] | None = None) -> tuple[str, str | None, str, list[tuple[float, str]]]:
+def resolve_one(mention: str, vector, session: Pool, store: Pool, recorded: dict[str, Known] | None = None) -> tuple[str, str | None, str, list[tuple[float, str]]]:
     """(outcome, canonical, layer, matches): the first decisive layer wins; queue where it is ambiguous.
 
     ``session`` holds the entities that the session created; ``recorded`` the
@@ -74,39 +143,29 @@ def resolve_one(mention: str, vector, session: list[Known], store: list[Known],
     key = norm(mention)
     own = _tokens([mention])
 
-    def fuzzy(pool: list[Known]) -> list[tuple[float, Known]]:
-        return [(r, k) for k in pool if (r := best_ratio(key, k.fuzzy_names)) >= FUZZY]
-
-    def semantic(pool: list[Known]) -> list[tuple[float, Known]]:
-        return [(c, k) for k in pool if vector is not None and k.vector is not None and (c := _cos(vector, k.vector)) >= SEMANTIC]
-
-    def contained(pool: list[Known]) -> list[Known]:
-        return [k for k in pool if (t := k.tokens()) != own and own and t and (own < t or t < own)]
-
     def show(scored: list[tuple[float, Known]]) -> list[tuple[float, str]]:
         return sorted(((s, k.name) for s, k in scored), key=lambda x: (-x[0], x[1]))
 
-    if hit := next((k for k in session if key in k.names()), None) or (recorded or {}).get(key):
+    if hit := next(iter(session.exact.get(key, ())), None) or (recorded or {}).get(key):
         return "resolve", hit.name, "session_exact", [(1.0, hit.name)]
-    if found := fuzzy(session):
+    if found := session.similar(key):
         return ("resolve", found[0][1].name, "session_fuzzy", show(found)) if len(found) == 1 else ("queue", None, "session_fuzzy", show(found))
-    if found := semantic(session):
+    if found := session.near(vector):
         best = _margin(found)
         return ("resolve", best.name, "session_semantic", show(found)) if best else ("queue", None, "session_semantic", show(found))
-    exact = [k for k in store if key in k.names()]
-    if exact:
+    if exact := store.exact.get(key):
         shown = show([(1.0, k) for k in exact])
         return ("resolve", exact[0].name, "store_exact", shown) if len(exact) == 1 else ("queue", None, "store_exact", shown)
-    if found := fuzzy(store):
+    if found := store.similar(key):
         return ("resolve", found[0][1].name, "store_fuzzy", show(found)) if len(found) == 1 else ("queue", None, "store_fuzzy", show(found))
     for pool, layer in ((store, "store_containment"), (session, "session_containment")):
-        if near := contained(pool):
-            sure = semantic(near)
+        if near := pool.contained(own):
             scored = [(_cos(vector, k.vector) if vector is not None and k.vector is not None else 0.0, k) for k in near]
+            sure = [(s, k) for s, k in scored if s >= SEMANTIC]
             if len(sure) == 1:
                 return "resolve", sure[0][1].name, layer, show(scored)
             return "queue", None, layer, show(scored)
-    if found := semantic(store):
+    if found := store.near(vector):
         best = _margin(found)
         if best is None:
             backed = [k for _, k in found if k.corroborations >= CORROBORATIONS]
@@ -120,18 +179,23 @@ _ALIASING = ("session_fuzzy", "session_semantic", "store_fuzzy", "store_containm
 
 
 def resolve_group(mentions: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
-    pool = [Known(r.name_, [] if r.aliases is None else list(r.aliases), r.embedding, int(r.corroborations or 0)) for r in store.rename(columns={"name": "name_"}).itertuples()]
-    session: list[Known] = []
+    pool = Pool([Known(r.name_, [] if r.aliases is None else list(r.aliases), r.embedding, int(r.corroborations or 0)) for r in store.rename(columns={"name": "name_"}).itertuples()])
+    session = Pool()
+    by_name: dict[str, Known] = {}
+    for k in pool.items:
+        by_name.setdefault(k.name, k)
+    created: dict[str, Known] = {}
     recorded: dict[str, Known] = {}
     out = []
     for m in mentions.sort_values("seq").itertuples():
         outcome, canonical, layer, matches = resolve_one(m.mention, m.embedding, session, pool, recorded)
         alias = None
         if outcome == "create":
-            session.append(Known(m.mention, [], m.embedding))
+            created.setdefault(m.mention, Known(m.mention, [], m.embedding))
+            session.add(created[m.mention])
         elif outcome == "resolve":
-            known = next((k for k in session if k.name == canonical), None) or next(k for k in pool if k.name == canonical)
-            if layer in _ALIASING and norm(m.mention) not in known.names():
+            known = created.get(canonical) or by_name[canonical]
+            if layer in _ALIASING and norm(m.mention) not in known.names:
                 recorded[norm(m.mention)] = known
                 alias = m.mention
         out.append((m.session, m.type, m.seq, m.mention, outcome, canonical, layer, alias, [{"score": s, "name": n, "layer": layer} for s, n in matches]))
@@ -174,8 +238,8 @@ def _decisive(own: DataFrame) -> DataFrame:
     a, b = names.withColumnRenamed("first", "a"), names.select("g", F.col("x").alias("y"), F.col("first").alias("b"))
     by_name = by_name.join(a, ["g", "x"]).join(b, ["g", "y"]).select("a", "b")
     held = own.where("embedding IS NOT NULL").select(F.to_json(g).alias("type"), "embedding", F.col("__node").alias("b"))
-    same = held.groupBy("type", "embedding").agg(F.min("b").alias("name"))  # equal vectors are linked to the first of them
-    by_vector = semantic_pairs(same.select("type", "embedding", F.col("name").alias("a")), same).select("a", F.col("name").alias("b"))
+    same = durable(held.groupBy("type", "embedding").agg(F.min("b").alias("name")))  # equal vectors are linked to the first of them
+    by_vector = near_links(same.select(F.col("type").alias("g"), F.col("name").alias("id"), F.col("embedding").alias("v")), SEMANTIC).select(F.col("x").alias("a"), F.col("y").alias("b"))
     again = held.join(same, ["type", "embedding"]).select(F.col("b").alias("a"), F.col("name").alias("b"))
     return equal.unionByName(by_name).unionByName(by_vector).unionByName(again)
 
@@ -193,17 +257,33 @@ def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     inside = subset_pairs(mine, theirs).select("g", "x", F.col("y").alias("name"))
     around = subset_pairs(theirs, mine).select("g", F.col("y").alias("x"), F.col("x").alias("name"))
     by_name = named.join(by_ratio.unionByName(inside).unionByName(around).distinct(), ["g", "x"]).select("__root", F.col("g").alias("type"), "name")
-    by_vector = semantic_pairs(mentions.select("__root", "type", "embedding"), entities).select("__root", "type", "name")
+    asked = mentions.where("embedding IS NOT NULL").select(F.col("type").alias("g"), F.col("__root").alias("id"), F.col("embedding").alias("v")).distinct()
+    held = entities.where("embedding IS NOT NULL").select("type", "name", F.col("embedding").cast("array<double>").alias("v"))
+    each = _numbered(held)
+    by_vector = near_vectors(asked, each, SEMANTIC).distinct().join(each.select("g", "v", F.col("id").alias("y")), "y").join(held.withColumnRenamed("type", "g"), ["g", "v"]).select(F.col("x").alias("__root"), F.col("g").alias("type"), "name")
     keys = by_name.unionByName(by_vector).distinct()
     columns = entities.select("name", "type", "aliases", F.col("embedding").cast("array<double>").alias("embedding"), F.col("corroborations").cast("int").alias("corroborations"))
     return keys.join(columns, ["type", "name"]).select("__root", "name", "aliases", "embedding", "corroborations")
 
 
+def _numbered(vectors: DataFrame) -> DataFrame:
+    """g, id, v: a number for each different vector of a type (``vectors``: type, v)."""
+    return durable(vectors.select(F.col("type").alias("g"), "v").where("g IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
 def semantic_pairs(mentions: DataFrame, entities: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
-    """Pairs of one type with a cosine of at least ``threshold``: an equality join on the type, scored in the JVM."""
-    own = entities.where("embedding IS NOT NULL").select(F.col("type"), F.col("name"), F.col("embedding").alias("__stored"))
-    pairs = mentions.where("embedding IS NOT NULL").join(own, "type")
-    return pairs.withColumn("score", cosine("embedding", "__stored")).where(F.col("score") >= threshold).drop("__stored")
+    """Pairs of one type with a cosine of at least ``threshold`` (above 0): columns of ``mentions``, name, score.
+
+    Different vectors meet in blocks of near ones (``operators.vectors``) and are
+    scored; rows with equal vectors join what was found for one of them.
+    """
+    asked = mentions.where("embedding IS NOT NULL").withColumn("__v", F.col("embedding").cast("array<double>"))
+    own = entities.where("embedding IS NOT NULL").select("type", "name", F.col("embedding").cast("array<double>").alias("__w"))
+    left, right = _numbered(asked.select("type", F.col("__v").alias("v"))), _numbered(own.select("type", F.col("__w").alias("v")))
+    near = near_vectors(left, right, threshold)
+    near = near.join(left.select(F.col("g").alias("type"), F.col("id").alias("x"), F.col("v").alias("__v")), "x").join(right.select(F.col("id").alias("y"), F.col("v").alias("__w")), "y")
+    scored = near.select("type", "__v", "__w", cosine("__v", "__w").alias("score")).where(F.col("score") >= threshold)
+    return asked.join(scored, ["type", "__v"]).join(own, ["type", "__w"]).select(*mentions.columns, "name", "score")
 
 
 def _tokens_of(normalized: str):

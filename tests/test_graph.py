@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,81 @@ def test_containment_pairs_equal_brute_force(spark):
     assert {(x.a_name, x.b_name) for x in rows} == want and len(rows) == len(want)
 
 
+def test_near_vectors_equal_brute_force(spark, monkeypatch):
+    from attesta.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 40)  # many blocks
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((6, 12))
+    rows = [("t" if i % 3 else "u", i, list(map(float, centres[i % 6] + r.standard_normal(12) * (0.1 if i % 2 else 0.5)))) for i in range(300)]
+    rows += [("t", 300 + i, [0.25] * 12) for i in range(3)] + [("t", 310, rows[1][2][:9]), ("t", 311, [0.0] * 12), ("t", 312, []), ("t", 313, None), ("t", 314, [float("nan")] * 12), ("t", 315, [1.0, None, 1.0]), (None, 316, [0.25] * 12), ("t", 317, [1e200] * 12), ("u", 318, [1e-200] * 12)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>")
+
+    def unit(v):
+        v = np.array([np.nan if x is None else x for x in v or []], float)
+        v = np.pad(v, (0, 12 - len(v)))
+        if not np.isfinite(v).all() or not v.any():
+            return np.zeros(12)
+        v = v / np.abs(v).max()
+        return v / np.linalg.norm(v)
+
+    units = {i: unit(v) for _, i, v in rows}
+    want = {(a, b) for g, a, _ in rows for h, b, _ in rows if g == h and g is not None and units[a] @ units[b] >= 0.85}
+    got = [tuple(x) for x in vectors.near_vectors(df, df, 0.85).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+
+    def roots(links):
+        root = {i: i for _, i, _ in rows}
+        for _ in root:
+            before = dict(root)
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+        return root
+
+    links = [tuple(x) for x in vectors.near_links(df, 0.85).collect()]
+    assert roots(links) == roots(want) and len(links) < len(want) / 2
+    blocks = vectors._blocks(df)
+    met = vectors._meetings(blocks, blocks.toDF(*blocks.columns), 0.85).count()
+    n = blocks.where("centre IS NOT NULL").groupBy("g").count().selectExpr("sum(count * count)").first()[0]
+    assert 0 < met <= n
+    assert vectors.near_vectors(df.limit(0), df, 0.85).count() == 0 and vectors.near_links(df.limit(0), 0.85).count() == 0
+
+
+def test_blocks_of_far_clusters_do_not_meet(spark):
+    from attesta.operators import vectors
+
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((8, 32))
+    rows = [("t", i, list(map(float, centres[i % 8] + 0.02 * r.standard_normal(32)))) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>")
+    blocks = vectors._blocks(df)
+    each = blocks.groupBy("block").agg(F.count("*").alias("n")).collect()
+    met = {tuple(x) for x in vectors._meetings(blocks, blocks.toDF(*blocks.columns), 0.85).collect()}
+    size = {b.block: b.n for b in each}
+    assert sum(size[i] * size[j] for i, j in met) <= 800 * 800
+    assert {frozenset(x) for x in vectors.near_vectors(df, df, 0.85).collect()} == {frozenset((a, b)) for _, a, _ in rows for _, b, _ in rows if a % 8 == b % 8}
+
+
+def test_semantic_pairs_join_repeats_and_ignore_odd_vectors(spark):
+    m = spark.createDataFrame([(1, "t", [1.0, 0.0]), (2, "t", [1.0, 0.0]), (3, "t", None), (4, "u", [1.0, 0.0]), (5, "t", [float("nan"), 1.0])], "k long, type string, embedding array<float>")
+    e = spark.createDataFrame([("a", "t", [1.0, 0.1]), ("b", "t", [1.0, 0.1]), ("c", "t", [0.0, 1.0]), ("d", None, [1.0, 0.0])], "name string, type string, embedding array<double>")
+    assert sorted((r.k, r.name, round(r.score, 4)) for r in resolution.semantic_pairs(m, e).collect()) == [(1, "a", 0.995), (1, "b", 0.995), (2, "a", 0.995), (2, "b", 0.995)]
+
+
+def test_pools_equal_plain_scores():
+    r = random.Random(5)
+    words = ["bank", "of", "the", "north", "nort", "banks", "3m", "", "alpha"]
+    make = lambda: " ".join(r.choices(words, k=r.randint(0, 4)))
+    known = [resolution.Known(make(), [make() for _ in range(r.randint(0, 2))], [r.random() for _ in range(r.choice((2, 3)))] if r.random() < 0.7 else None) for _ in range(80)]
+    pool = resolution.Pool(known)
+    for _ in range(60):
+        key, vector = resolution.norm(make()), [r.random() - 0.2 for _ in range(r.choice((2, 3)))]
+        assert pool.similar(key) == [(x, k) for k in known if (x := resolution.best_ratio(key, k.fuzzy_names)) >= resolution.FUZZY]
+        assert pool.near(vector) == [(x, k) for k in known if k.vector is not None and (x := resolution._cos(vector, k.vector)) >= resolution.SEMANTIC]
+
+
 def test_mentions_with_other_first_letters_are_resolved(spark):
     store = [("Johannesburg", [], None, 0), ("Golden Arches", ["MacDonalds"], None, 0)]
     assert resolve(spark, [("Kohannesburg", None), ("McDonalds", None)], store) == [("resolve", "Johannesburg", "store_fuzzy"), ("resolve", "Golden Arches", "store_fuzzy")]
