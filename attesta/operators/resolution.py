@@ -362,24 +362,27 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     grams = {k: _grams(df, k, q) for k, df in sides.items()}
     counts = grams["x"].select("gram").unionByName(grams["y"].select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     cls = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(_LENGTHS))).cast("int")
-    keyed = {}
+    own, keyed = {}, {}
     for k, df in grams.items():
         n = F.length(k)
-        least = F.ceil(n * (t / (2 - t)) - 1e-9)
         picked = df.join(F.broadcast(counts), "gram").groupBy("g", k).agg(F.collect_list(F.struct("n", "gram", "p")).alias("all"))
-        # What is counted of a name is counted once, before its keys fan out.
-        own = picked.select("g", k, n.alias(f"n_{k}"), *[_letters(k, *c).alias(f"has{i}_{k}") for i, c in enumerate(_COUNTED)], F.slice(F.array_sort("all"), F.lit(1), (F.floor(q * n * ((2 - 2 * t) / (2 - t)) + 1e-9) + 1).cast("int")).alias("first"))
+        # What is counted of a name is counted once, before its keys fan out; keys carry its number.
+        first = F.slice(F.array_sort("all"), F.lit(1), (F.floor(q * n * ((2 - 2 * t) / (2 - t)) + 1e-9) + 1).cast("int"))
+        counted = [_letters(k, *c).alias(f"has{i}_{k}") for i, c in enumerate(_COUNTED)]
+        own[k] = durable(picked.select(F.col("g").alias(f"g_{k}"), k, n.alias(f"n_{k}"), *counted, F.transform(first, lambda e: F.struct(e["gram"].alias("gram"), e["p"].alias("p"))).alias("first"), F.monotonically_increasing_id().alias(f"id_{k}")))
+        least = F.ceil(n * (t / (2 - t)) - 1e-9)
         classes = F.sequence(cls(least), cls(F.floor(n * ((2 - t) / t) + 1e-9))) if k == "x" else F.array(cls(n))
-        own = own.withColumn("classes", classes).withColumn("e", F.explode("first")).withColumns({"gram": F.col("e.gram"), f"p_{k}": F.col("e.p")})
-        keyed[k] = own.withColumn("class", F.explode("classes")).drop("e", "first", "classes")
+        each = own[k].withColumn("classes", classes).withColumn("e", F.explode("first")).withColumn("class", F.explode("classes"))
+        keyed[k] = each.select(F.xxhash64(f"g_{k}", "e.gram", "class").alias("key"), f"id_{k}", f"n_{k}", *[f"has{i}_{k}" for i in range(len(_COUNTED))], F.col("e.p").alias(f"p_{k}"))
     n, m = F.col("n_x"), F.col("n_y")
     most = (1 - t) * (n + m) + 1e-9
     moved = F.col("p_y") - F.col("p_x")
     letters = sum(F.bit_count(F.col(f"has{i}_x").bitwiseXOR(F.col(f"has{i}_y"))) for i in range(len(_COUNTED)))  # what goes or comes flips one bit at most
     may = (2 * moved <= most + m - n) & (-2 * moved <= most + n - m) & (F.abs(n - m) <= most) & (letters <= most)
-    met = durable(keyed["x"].join(keyed["y"], ["g", "gram", "class"]).where(may).select("g", "x", "y").distinct())  # written, so that edits are counted once a pair
+    met = durable(keyed["x"].join(keyed["y"], "key").where(may).select("id_x", "id_y").distinct())  # written, so that edits are counted once a pair
     edits = (1 - t) * (F.length("x") + F.length("y")) + 1e-9
-    return met.where(F.levenshtein("x", "y") <= edits).withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
+    named = met.join(own["x"].select("id_x", F.col("g_x").alias("g"), "x"), "id_x").join(own["y"].select("id_y", "g_y", "y"), "id_y").where("g = g_y")  # keys are hashes: groups are told here
+    return named.where(F.levenshtein("x", "y") <= edits).select("g", "x", "y").withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
 
 
 def _names(entities: DataFrame):
