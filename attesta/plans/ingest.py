@@ -249,6 +249,26 @@ def _with_vectors(delta: Delta, rows: DataFrame, wanted: Column, name: str) -> D
     return rows.sparkSession.read.schema(out.schema).parquet(f"{delta.work}/{name}")
 
 
+def _with_state_entities(delta: Delta, entities: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The states under the names that their entities resolve to, and the entities to create (None without states).
+
+    States come after the triples: their entities resolve, in a session per source, against ``entities``, which
+    holds what the triples made. An ambiguous one stands for itself.
+    """
+    if delta.states.isEmpty():
+        return delta.states, None
+    vector = resolution.embedding_udf(delta.embed)("entity") if delta.embed else F.lit(None).cast("array<double>")
+    typed = with_canonical(delta.states, registry, "entity_type", "entity_type")
+    mentions = typed.select(F.col("source_id").alias("session"), F.col("entity_type").alias("type"), "seq", F.col("entity").alias("mention"), vector.alias("embedding"))
+    mentions.write.mode("overwrite").parquet(f"{delta.work}/state-mentions")
+    mentions = delta.states.sparkSession.read.schema(mentions.schema).parquet(f"{delta.work}/state-mentions")
+    resolution.resolve(mentions, entities).write.mode("overwrite").parquet(f"{delta.work}/state-resolutions")
+    resolved = delta.states.sparkSession.read.schema(resolution.RESULT).parquet(f"{delta.work}/state-resolutions")
+    names = resolved.select(F.col("session").alias("__s"), F.col("seq").alias("__q"), F.coalesce("canonical", "mention").alias("__n"))
+    rows = delta.states.join(names, F.col("source_id").eqNullSafe(F.col("__s")) & (F.col("seq") == F.col("__q")), "left")
+    return rows.withColumn("entity", F.coalesce("__n", "entity")).drop("__s", "__q", "__n"), created_entities(resolved, mentions)
+
+
 def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: str = "keep-first") -> dict[str, int]:
     """One snapshot of everything the delta touches; returns counts of what it did."""
     stored = store.table("ledger")
@@ -260,12 +280,13 @@ def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: s
     arrows = ledger.merge_arrows(store.table("arrows"), ledger.planned_arrows(stored, plan), now)
     measured = store.table("state_events")
     top_state = measured.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    numbered = delta.states.withColumn("seq", F.lit(top_state) + F.row_number().over(Window.orderBy("source_id", "seq")))
-    states_after, _ = states.upsert_states(measured, _with_vectors(delta, numbered, F.lit(True), "measured-rows"), registry, now)
-    people = with_canonical(delta.states.select(F.col("entity").alias("name"), F.col("entity_type").alias("type")), registry, "entity_type", "type").select("name", "type").distinct()
-    people = people.withColumns({"aliases": F.array().cast("array<string>"), "embedding": F.lit(None).cast("array<double>")})
     aliases = delta.aliases.withColumn("embedding", F.lit(None).cast("array<double>"))
-    entities = resolution.upsert_entities(store.table("entities"), delta.entities.unionByName(people).unionByName(aliases), now)
+    entities = resolution.upsert_entities(store.table("entities"), delta.entities.unionByName(aliases), now)
+    measured_rows, people = _with_state_entities(delta, entities, registry)
+    numbered = measured_rows.withColumn("seq", F.lit(top_state) + F.row_number().over(Window.orderBy("source_id", "seq")))
+    states_after, _ = states.upsert_states(measured, _with_vectors(delta, numbered, F.lit(True), "measured-rows"), registry, now)
+    if people is not None:
+        entities = resolution.upsert_entities(entities, people, now)
     found = after.where("coalesce(source_ref, '') <> ''").groupBy(F.col("source_id").alias("id")).agg(F.min("created_at").alias("first_seen")).where("id IS NOT NULL")
     sources = store.table("sources").unionByName(found.join(store.table("sources").select("id"), "id", "left_anti"))
     counts = {r.action: r.n for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}

@@ -396,6 +396,23 @@ def test_flagged_candidates_go_on_without_a_decision_model(spark, tmp_path):
     assert {r.subject for r in delta.new_edges.collect()} == {"Ann", "$5 trillion"} and delta.rejected.count() == 0
 
 
+def test_states_land_on_the_entities_of_triples(spark, tmp_path, now):
+    def extract(chunk):
+        base = {"confidence": 0.5, "evidence": "seen", "scope_conditions": "always", "source_ref": chunk["source_ref"]}
+        state = base | {"entity_type": "politician", "state_key": "popularity", "unit": "%", "as_of": "2024"}
+        triple = base | {"subject": "Ann Smith", "subject_type": "politician", "relation": "supports", "object": "Paris", "object_type": "place", "domain": "finance"}
+        return [("propose_triple", triple), ("propose_state", state | {"entity": " ANN SMITH! ", "value": "42"}), ("propose_state", state | {"entity": "Zoe", "value": "7"})]
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.apply_schema()
+    chunks = chunking.chunk_markdown(spark.createDataFrame([("d.md", "# A\nx")], "source_id string, text string"))
+    reg = registry.packaged_table(spark)
+    delta = ingest.propose(spark, chunks, {n: store.table(n) for n in ("entities", "arrows", "ledger")}, reg, ingest.Models(extract), str(tmp_path / "work"))
+    ingest.commit(store, delta, reg, now)
+    assert {(r.entity, r.value) for r in store.table("state_events").collect()} == {("Ann Smith", "42"), ("Zoe", "7")}
+    assert sorted(r.name for r in store.table("entities").collect()) == ["Ann Smith", "Paris", "Zoe"]
+
+
 def test_scan(spark):
     chunks = chunking.chunk_markdown(spark.createDataFrame([("d.md", "# A\nx\n# B\ny\n# C\nz")], "source_id string, text string"))
     found = ingest.scan(chunks, lambda text: {"verbs": ["Leads To", "orbits", "HEDGES"], "entities": [{"name": "Fed", "type": "central_bank"}]}, 2)
