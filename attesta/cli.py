@@ -53,6 +53,7 @@ class Seams:
     embed: resolution.Embedder | None = None
     extract: ingest.Extract | None = None
     inventory: ingest.Inventory | None = None
+    cluster: ingest.Cluster | None = None
     decide: Callable | None = None
     classify: Callable | None = None
     search: factcheck.Search | None = None
@@ -225,7 +226,9 @@ def _ingest(args, spark, store, seams, settings, now) -> int:
     tables = {n: store.table(n) for n in ("entities", "arrows", "ledger")}
     gates = (None, None) if args.no_novelty_filter else (seams.decide, seams.classify)
     reg = _registry_table(spark, settings)
-    delta = ingest.propose(spark, chunks, tables, reg, ingest.Models(seams.extract, gates[0], gates[1], seams.embed), settings.work)
+    delta = ingest.propose(spark, chunks, tables, reg, ingest.Models(seams.extract, gates[0], gates[1], seams.embed, seams.inventory, seams.cluster), settings.work)
+    if delta.staged is not None and (verbs := [r.verb for r in delta.staged.collect()]):  # as many as a person is to look through
+        print("staged verbs: " + ", ".join(registry.stage(registry.ensure_working(settings.registry, "relation"), verbs)))
     print(ingest.statistics(delta).first().asDict())
     answer = "approve" if args.yes else (seams.ask("approve or reject? ") if seams.ask else "reject")  # closed input never approves
     print(ingest.review_and_commit(store, delta, answer, reg, now, mode))

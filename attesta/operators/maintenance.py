@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions.scalars import differs, join_evidence, source_id
 from attesta.operators.canonical import canonicalize_triples
 from attesta.operators.ledger import complement
+from attesta.operators.numbering import numbered
 from attesta.operators.search import without_embedding
 from attesta.schemas import IDENTITY, TRIPLE
 
@@ -34,8 +35,8 @@ def migrate_ledger(arrows: DataFrame, ledger: DataFrame, now: Column) -> tuple[D
         "source_ref": F.coalesce("source_ref", F.lit("")), "source_id": F.nullif(F.regexp_extract(F.coalesce("source_ref", F.lit("")), r"^([A-Za-z0-9][A-Za-z0-9._-]*):", 1), F.lit("")),
         "evidence_embedding": F.lit(None).cast("array<double>"), "created_at": now, "updated_at": now,
     }
-    # Numbers follow the stored ones; arrows are few against rows and their order is that of the triple.
-    rows = new.withColumns(fields).crossJoin(F.broadcast(top)).withColumn("seq", F.col("__top") + F.row_number().over(Window.orderBy(*TRIPLE)))
+    # Numbers follow the stored ones, in order of the triples.
+    rows = numbered(new.withColumns(fields), list(TRIPLE)).crossJoin(F.broadcast(top)).withColumn("seq", F.col("__top") + F.col("seq"))
     after = ledger.unionByName(rows.select(*ledger.columns))
     agg = after.groupBy(*TRIPLE).agg(complement().alias("__confidence"))
     joined = arrows.join(agg, list(TRIPLE), "left")

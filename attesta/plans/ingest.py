@@ -16,68 +16,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import normalize_verb
 from attesta.operators import contracts, dispatch, factcheck, guards, ledger, novelty, resolution, states
 from attesta.operators.canonical import canonicalize_triples, with_canonical
+from attesta.operators.numbering import numbered
+from attesta.plans.scan import Cluster, Inventory, anchor_entities, anchor_verbs, render_roster, scan, scan_pass, verb_menu  # noqa: F401  parts of the write path
 from attesta.schemas import TRIPLE, TRIPLES
 from attesta.schemas import STATES as STATE_SCHEMA
-from attesta.sources.chunking import batch_text
-from attesta.operators.walks import batches
 from attesta.store import Store
 
-#: chunk {chunk_id, text, source_ref, section_path} -> [(tool, arguments)], tools propose_triple and propose_state.
+#: chunk {chunk_id, text, source_ref, section_path, and after a scan verb_menu, entity_roster} -> [(tool, arguments)], tools propose_triple and propose_state.
 Extract = Callable[[dict], list[tuple[str, dict]]]
-#: batch text -> {"verbs": [...], "entities": [{"name", "type"}]}
-Inventory = Callable[[str], dict]
 TOOLS = ("propose_triple", "propose_state")
 
 
 def prompt(chunk: dict, roster: str = "", verbs: str = "") -> str:
-    path = " > ".join(chunk.get("section_path") or [])
-    parts = [f"source_ref: {chunk['source_ref']}", f"section: {path}" if path else "", f"known entities: {roster}" if roster else "", f"relations: {verbs}" if verbs else "", chunk["text"]]
-    return "\n".join(p for p in parts if p)
-
-
-def scan(chunks: DataFrame, inventory: Inventory, size: int = 4) -> DataFrame:
-    """source_id, batch, verbs, entities by one model call per batch of chunks."""
-    texts = batch_text(batches(chunks, size))
-
-    @F.pandas_udf("verbs array<string>, entities array<struct<name:string,type:string>>")
-    def ask(text: pd.Series) -> pd.DataFrame:
-        found = [inventory(t) for t in text]
-        return pd.DataFrame({"verbs": [f.get("verbs", []) for f in found], "entities": [f.get("entities", []) for f in found]})
-
-    return texts.withColumn("__i", ask.asNondeterministic()("text")).select("source_id", "batch", "__i.verbs", "__i.entities")
+    """What extraction is asked about a chunk, with the roster and menu of its source's scan unless others are given."""
 
+    def hint(name: str, sep: str) -> str:
+        found = chunk.get(name)
+        return sep.join(found) if found is not None else ""
 
-def anchor_verbs(inventory: DataFrame, registry: DataFrame, live: DataFrame) -> DataFrame:
-    """verb, anchor, origin: the registry first, then relations of the graph, else unmatched."""
-    verbs = inventory.select(F.explode("verbs").alias("v")).select(normalize_verb("v").alias("verb")).where("verb <> 'unknown'").distinct()
-    known = registry.where("kind = 'relation'").select(F.col("label").alias("verb"), "canonical")
-    used = live.select(F.lower("relation").alias("verb"), F.lower("relation").alias("__live")).distinct()
-    joined = verbs.join(known, "verb", "left").join(used, "verb", "left")
-    origin = F.when(F.col("canonical").isNotNull(), "registry").when(F.col("__live").isNotNull(), "graph").otherwise("unmatched")
-    return joined.select("verb", F.coalesce("canonical", "__live").alias("anchor"), origin.alias("origin"))
-
-
-def verb_menu(anchored: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
-    """The distinct verbs that extraction is offered: anchors and, for the unmatched, one cluster name each (verb, cluster)."""
-    menu = anchored.where("anchor IS NOT NULL").select(F.col("anchor").alias("verb"))
-    if clustered is not None:
-        menu = menu.unionByName(clustered.select(F.col("cluster").alias("verb")))
-    return menu.distinct().orderBy("verb")
-
-
-def anchor_entities(inventory: DataFrame, entities: DataFrame, registry: DataFrame, embed: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(roster with one row per canonical entity, alias deltas): mentions go through the resolver, nothing is written."""
-    found = inventory.select("source_id", "batch", F.posexplode("entities").alias("pos", "e")).select("source_id", "batch", "pos", F.trim("e.name").alias("mention"), F.col("e.type").alias("type")).where("mention <> ''")
-    typed = with_canonical(found, registry, "entity_type", "type")
-    w = Window.partitionBy("source_id").orderBy("batch", "pos")
-    vector = embed if embed is not None else F.lit(None).cast("array<double>")
-    mentions = typed.withColumn("seq", F.row_number().over(w).cast("long")).select(F.col("source_id").alias("session"), "type", "seq", "mention", vector.alias("embedding"))
-    resolved = resolution.resolve(mentions, entities)
-    roster = resolved.select(F.coalesce("canonical", "mention").alias("name"), "type", "outcome").groupBy("name", "type").agg(F.min("outcome").alias("outcome")).orderBy("name", "type")
-    return roster, resolution.alias_deltas(resolved)
+    path = " > ".join(chunk.get("section_path") if chunk.get("section_path") is not None else [])
+    roster, verbs = roster or hint("entity_roster", "; "), verbs or hint("verb_menu", ", ")
+    parts = [f"source_ref: {chunk['source_ref']}", f"section: {path}" if path else "", f"known entities: {roster}" if roster else "", f"relations: {verbs}" if verbs else "", chunk["text"]]
+    return "\n".join(p for p in parts if p)
 
 
 def extract(chunks: DataFrame, model: Extract) -> DataFrame:
@@ -94,7 +56,8 @@ def extract(chunks: DataFrame, model: Extract) -> DataFrame:
                     out.append((c["chunk_id"], c["source_id"], c["ordinal"], pos, tool, body))
             yield pd.DataFrame(out, columns=["chunk_id", "source_id", "ordinal", "pos", "tool", "arguments"])
 
-    return chunks.select("source_id", "ordinal", "chunk_id", "text", "section_path", "source_ref").mapInPandas(run, "chunk_id string, source_id string, ordinal int, pos int, tool string, arguments string")
+    hints = [c for c in ("verb_menu", "entity_roster") if c in chunks.columns]
+    return chunks.select("source_id", "ordinal", "chunk_id", "text", "section_path", "source_ref", *hints).mapInPandas(run, "chunk_id string, source_id string, ordinal int, pos int, tool string, arguments string")
 
 
 @dataclass
@@ -128,6 +91,8 @@ class Models:
     decide: dispatch.Decide | None = None
     classify: novelty.Classifier | None = None
     embed: resolution.Embedder | None = None
+    inventory: Inventory | None = None
+    cluster: Cluster | None = None
 
 
 @dataclass
@@ -145,6 +110,9 @@ class Delta:
     stats: dict[str, int] = field(default_factory=dict)
     embed: resolution.Embedder | None = None
     work: str = ""
+    #: What the scan pass offered and the verbs that it found new; None without one.
+    hints: DataFrame | None = None
+    staged: DataFrame | None = None
 
 
 def _candidates_with_names(triples: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -165,7 +133,13 @@ def propose(spark: SparkSession, chunks: DataFrame, tables: dict[str, DataFrame]
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     chunks = once(chunks, "chunks")
-    calls = once(extract(chunks, models.extract), "calls")
+    offered, hints, staged = chunks, None, None
+    if models.inventory:
+        embed = resolution.embedding_udf(models.embed)("mention") if models.embed else None
+        scanned = scan_pass(chunks, tables["entities"], tables["arrows"], registry, models.inventory, once, models.cluster, embed)
+        hints, staged = scanned.hints, scanned.staged
+        offered = once(chunks.join(hints.select("source_id", "verb_menu", render_roster("entity_roster").alias("entity_roster")), "source_id", "left"), "offered")
+    calls = once(extract(offered, models.extract), "calls")
     found = validate(calls, chunks)
     guarded = guards.classify(found.triples)
     clean, flagged = guarded.where("primary_class IS NULL"), guarded.where("primary_class IS NOT NULL")
@@ -206,7 +180,7 @@ def propose(spark: SparkSession, chunks: DataFrame, tables: dict[str, DataFrame]
     candidates = once(domains.drop("domain_known", "relation_known", "flipped"), "candidates")
     edges = candidates.withColumn("evidence", F.array("evidence"))
     new, changed = ledger.assemble_delta(edges, tables["arrows"])
-    return Delta(new, changed, created_entities(resolved, mentions), candidates, measured, rejected, resolution.alias_deltas(resolved), resolution.ambiguities(resolved), embed=models.embed, work=work)
+    return Delta(new, changed, created_entities(resolved, mentions), candidates, measured, rejected, resolution.alias_deltas(resolved), resolution.ambiguities(resolved), embed=models.embed, work=work, hints=hints, staged=staged)
 
 
 def created_entities(resolved: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -273,8 +247,7 @@ def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: s
     """One snapshot of everything the delta touches; returns counts of what it did."""
     stored = store.table("ledger")
     top = stored.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    order = Window.orderBy("source_id", "seq")  # one ingest's candidates
-    rows = delta.candidates.withColumn("seq", F.lit(top) + F.row_number().over(order))
+    rows = numbered(delta.candidates, ["source_id", "seq"]).withColumn("seq", F.lit(top) + F.col("seq"))
     plan = _with_vectors(delta, ledger.plan_writes(stored, rows, mode), F.col("action") != "skip", "planned-rows")
     after = ledger.apply_plan(stored, plan, now)
     arrows = ledger.merge_arrows(store.table("arrows"), ledger.planned_arrows(stored, plan), now)
@@ -283,8 +256,8 @@ def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: s
     aliases = delta.aliases.withColumn("embedding", F.lit(None).cast("array<double>"))
     entities = resolution.upsert_entities(store.table("entities"), delta.entities.unionByName(aliases), now)
     measured_rows, people = _with_state_entities(delta, entities, registry)
-    numbered = measured_rows.withColumn("seq", F.lit(top_state) + F.row_number().over(Window.orderBy("source_id", "seq")))
-    states_after, _ = states.upsert_states(measured, _with_vectors(delta, numbered, F.lit(True), "measured-rows"), registry, now)
+    in_order = numbered(measured_rows, ["source_id", "seq"]).withColumn("seq", F.lit(top_state) + F.col("seq"))
+    states_after, _ = states.upsert_states(measured, _with_vectors(delta, in_order, F.lit(True), "measured-rows"), registry, now)
     if people is not None:
         entities = resolution.upsert_entities(entities, people, now)
     found = after.where("coalesce(source_ref, '') <> ''").groupBy(F.col("source_id").alias("id")).agg(F.min("created_at").alias("first_seen")).where("id IS NOT NULL")

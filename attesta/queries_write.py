@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from attesta import queries as Q
 from attesta.functions import scalars as S
-from attesta.operators import canonical, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
+from attesta.operators import canonical, components, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
 from attesta.plans import fanout, ingest
+from attesta.plans.scan import render_roster, scan_pass
 from attesta.queries import _query, _registry, _round, _table
 from attesta.schemas import ARROWS, LEDGER, STATE_EVENTS, TRIPLE
 from attesta.sources import chunking
@@ -454,3 +455,40 @@ def unknown_state_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit(" "), "c_mktsegment").alias("domain"))
     return canonical.with_canonical(rows, _registry(spark), "domain", "domain").select("domain", F.col("domain_known").alias("known")).distinct()
+
+
+# --- scan pass ------------------------------------------------------------------------------------------------------
+
+
+def _inventory(text: str) -> dict:
+    """Stand-in model: a verb for every word in -tion (by its length a known one, one of the graph, or the word), a name for every capital word."""
+    import hashlib
+    import re
+
+    words = re.findall(r"[a-z]+tion", text)
+    names = re.findall(r"[A-Z][a-z]{4,}", text)
+    return {"verbs": [("Leads To", "HEDGES", w)[len(w) % 3] for w in words], "entities": [{"name": hashlib.md5(w.encode()).hexdigest(), "type": "company"} for w in names]}
+
+
+def _cluster(verbs: list[str], entities: list[dict]) -> dict:
+    """Stand-in model: verbs by their first two letters, names in capitals."""
+    groups = sorted({v[:2] for v in verbs})
+    return {"verbs": [{"canonical": f"{g} Kind", "aliases": [v for v in verbs if v.startswith(g)]} for g in groups], "entities": [{"canonical": e["name"].upper(), "entity_type": "product", "aliases": [e["name"]]} for e in entities]}
+
+
+@_query("""WITH v AS (SELECT conv_id, unnest(regexp_extract_all(text, '[a-z]+tion')) AS w FROM conversations), n AS (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS w FROM conversations),
+  m AS (SELECT DISTINCT conv_id, CASE length(w) % 3 WHEN 0 THEN 'causes' WHEN 1 THEN 'hedges' ELSE w[1:2] || '_kind' END AS verb FROM v), menu AS (SELECT conv_id, string_agg(verb, ',' ORDER BY verb) AS verb_menu FROM m GROUP BY ALL),
+  k AS (SELECT conv_id, w, md5(w) AS h, count(*) AS n, length(w) % 2 = 0 AS stored FROM n GROUP BY ALL), r AS (SELECT conv_id, CASE WHEN stored THEN h || ' (organization; aka: ' || w || ')' WHEN n > 1 THEN h || ' (organization)' ELSE upper(h) || ' (product; aka: ' || h || ')' END AS e FROM k),
+  roster AS (SELECT conv_id, string_agg(e, '; ' ORDER BY e) AS entity_roster FROM r GROUP BY ALL),
+  asked AS (SELECT DISTINCT conv_id FROM (SELECT conv_id FROM v WHERE length(w) % 3 = 2 UNION ALL SELECT conv_id FROM k WHERE NOT stored)), c AS (SELECT conv_id, CAST(ceil(count(*) / 4) AS INTEGER) AS scan_calls FROM conversations GROUP BY ALL)
+  SELECT c.conv_id, coalesce(verb_menu, '') AS verb_menu, coalesce(entity_roster, '') AS entity_roster, scan_calls, CASE WHEN asked.conv_id IS NULL THEN 0 ELSE 1 END AS cluster_calls FROM c LEFT JOIN menu USING (conv_id) LEFT JOIN roster USING (conv_id) LEFT JOIN asked USING (conv_id)""")
+def scan_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The menu and roster of every conversation, with the model calls they took. Entities hold the capital words of even length."""
+    turns = _table(spark, sf_dir, "conversations")
+    chunks = turns.select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("chunk-"), F.col("turn").cast("string")).alias("chunk_id"), "text", F.array().cast("array<string>").alias("section_path"))
+    words = turns.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), 0)).alias("w")).distinct().where("length(w) % 2 = 0")
+    known = components.durable(words.select(F.md5("w").alias("name"), F.lit("organization").alias("type"), F.array("w").alias("aliases"), F.lit(None).cast("array<double>").alias("embedding")))
+    live = spark.createDataFrame([("HEDGES",)], "relation string")
+    found = scan_pass(chunks, known, live, _registry(spark), _inventory, lambda df, name: components.durable(df), _cluster)
+    joined = lambda c, sep: F.array_join(F.array_sort(c), sep)
+    return found.hints.select(F.col("source_id").cast("long").alias("conv_id"), joined(F.col("verb_menu"), ",").alias("verb_menu"), joined(render_roster("entity_roster"), "; ").alias("entity_roster"), "scan_calls", "cluster_calls")
