@@ -61,7 +61,7 @@ class Seams:
     model: str = "injected"
     provider: str = "injected"
     pages: chunking.Pages | None = None
-    ask: Callable[[str], str] | None = None
+    ask: Callable[[str], str | None] | None = None
 
 
 class Failed(Exception):
@@ -230,7 +230,9 @@ def _ingest(args, spark, store, seams, settings, now) -> int:
     if delta.staged is not None and (verbs := [r.verb for r in delta.staged.collect()]):  # as many as a person is to look through
         print("staged verbs: " + ", ".join(registry.stage(registry.ensure_working(settings.registry, "relation"), verbs)))
     print(ingest.statistics(delta).first().asDict())
-    answer = "approve" if args.yes else (seams.ask("approve or reject? ") if seams.ask else "reject")  # closed input never approves
+    answer = "approve"
+    if not args.yes:  # closed input never approves
+        answer, delta = ingest.review(delta, seams.ask or (lambda _: None))
     print(ingest.review_and_commit(store, delta, answer, reg, now, mode))
     if answer != "approve":
         append_rejected(ingest.rejection_records(delta), settings.rejected)

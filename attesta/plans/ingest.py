@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.scalars import source_id
 from attesta.operators import contracts, dispatch, factcheck, guards, ledger, novelty, resolution, states
 from attesta.operators.canonical import canonicalize_triples, with_canonical
 from attesta.operators.numbering import numbered
@@ -206,6 +207,32 @@ def edit_confidence(delta: Delta, triple: tuple[str, str, str], confidence: floa
     return delta
 
 
+def first_new_edge(delta: Delta) -> tuple[str, str, str] | None:
+    """The triple of the earliest candidate that makes a new edge."""
+    row = delta.candidates.join(delta.new_edges.select(*TRIPLE), list(TRIPLE), "left_semi").orderBy("source_id", "seq").select(*TRIPLE).first()
+    return None if row is None else tuple(row)
+
+
+def review(delta: Delta, ask: Callable[[str], str | None]) -> tuple[str, Delta]:
+    """(approve or reject, the delta as edited): asks until it is decided; closed input (None, or an end of file) rejects."""
+    try:
+        while (answer := ask("approve, reject or edit the first new edge's confidence? ")) is not None:
+            answer = answer.strip().lower()
+            if answer in ("a", "approve"):
+                return "approve", delta
+            if answer in ("r", "reject"):
+                return "reject", delta
+            if answer in ("e", "edit") and (edge := first_new_edge(delta)):
+                value = ask(f"new confidence of {' '.join(edge)} (0.0 to 1.0): ")
+                try:
+                    delta = edit_confidence(delta, edge, float(value))
+                except (TypeError, ValueError):
+                    continue  # no number, or outside the range: ask again
+    except EOFError:
+        pass
+    return "reject", delta
+
+
 def rejection_records(delta: Delta, reason: str = "rejected in review") -> DataFrame:
     """Every candidate of a rejected delta as a record."""
     body = F.to_json(F.struct(*[c for c in delta.candidates.columns]))
@@ -223,6 +250,13 @@ def _with_vectors(delta: Delta, rows: DataFrame, wanted: Column, name: str) -> D
     return rows.sparkSession.read.schema(out.schema).parquet(f"{delta.work}/{name}")
 
 
+def _with_sources(rows: DataFrame) -> DataFrame:
+    """``rows`` with the source of each reference; one outside the grammar is an error, so that nothing of the delta is written."""
+    own = F.when(F.coalesce("source_ref", F.lit("")) != "", source_id("source_ref"))
+    checked = rows.where(F.coalesce(own, F.lit("")) >= "")  # a filter, which also rows that keep no source_id go through
+    return checked.withColumn("source_id", F.coalesce(own, F.col("source_id")))
+
+
 def _with_state_entities(delta: Delta, entities: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The states under the names that their entities resolve to, and the entities to create (None without states).
 
@@ -247,7 +281,7 @@ def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: s
     """One snapshot of everything the delta touches; returns counts of what it did."""
     stored = store.table("ledger")
     top = stored.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    rows = numbered(delta.candidates, ["source_id", "seq"]).withColumn("seq", F.lit(top) + F.col("seq"))
+    rows = numbered(_with_sources(delta.candidates), ["source_id", "seq"]).withColumn("seq", F.lit(top) + F.col("seq"))
     plan = _with_vectors(delta, ledger.plan_writes(stored, rows, mode), F.col("action") != "skip", "planned-rows")
     after = ledger.apply_plan(stored, plan, now)
     arrows = ledger.merge_arrows(store.table("arrows"), ledger.planned_arrows(stored, plan), now)
@@ -256,7 +290,7 @@ def commit(store: Store, delta: Delta, registry: DataFrame, now: Column, mode: s
     aliases = delta.aliases.withColumn("embedding", F.lit(None).cast("array<double>"))
     entities = resolution.upsert_entities(store.table("entities"), delta.entities.unionByName(aliases), now)
     measured_rows, people = _with_state_entities(delta, entities, registry)
-    in_order = numbered(measured_rows, ["source_id", "seq"]).withColumn("seq", F.lit(top_state) + F.col("seq"))
+    in_order = numbered(_with_sources(measured_rows), ["source_id", "seq"]).withColumn("seq", F.lit(top_state) + F.col("seq"))
     states_after, _ = states.upsert_states(measured, _with_vectors(delta, in_order, F.lit(True), "measured-rows"), registry, now)
     if people is not None:
         entities = resolution.upsert_entities(entities, people, now)
@@ -283,7 +317,10 @@ def statistics(delta: Delta) -> DataFrame:
     out = one(delta.candidates, "candidates")
     for name in ("new_edges", "changed_edges", "entities", "states", "rejected", "ambiguous"):
         out = out.crossJoin(one(getattr(delta, name), name))  # single rows
-    return out
+    calls = (F.lit(0).alias("scan_calls"), F.lit(0).alias("cluster_calls"))
+    if delta.hints is None:
+        return out.select("*", *calls)
+    return out.crossJoin(delta.hints.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scan_calls", "cluster_calls")]))
 
 
 def advisory(store_before: DataFrame, delta: Delta) -> str | None:
