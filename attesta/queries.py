@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
-from attesta.operators import canonical, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
+from attesta.operators import canonical, cells, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
 from attesta.plans import fanout
 from attesta.schemas import TRIPLE
 from attesta.sources import chunking, registry
@@ -334,6 +334,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "type", F.round("score", 6).alias("score"))
 
 
+@_query(f"WITH {_VECTORS}, p AS (SELECT * FROM v ORDER BY s DESC, name, type LIMIT 100) SELECT name, type, round(s, 6) AS score FROM p WHERE s >= 0.1 ORDER BY s DESC, name LIMIT 5")
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same five by the inverted file."""
+    index = cells.build(vectors(spark, sf_dir), "embedding")
+    found = cells.nearest(index, _query_vector(spark, sf_dir), 5, ["name", "type"]).where(F.col("score") >= 0.1)
+    return found.select("name", "type", F.round("score", 6).alias("score"))
+
+
 @_query(f"WITH {_VECTORS} SELECT name, type, round(s, 6) AS score FROM v WHERE type = 't3' ORDER BY s DESC, name LIMIT 10")
 def vector_type_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_by_type(vectors(spark, sf_dir), _query_vector(spark, sf_dir), "t3").withColumn("score", F.round("score", 6))
