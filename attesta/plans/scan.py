@@ -57,19 +57,25 @@ def scan(chunks: DataFrame, inventory: Inventory, size: int = 4) -> DataFrame:
     return texts.withColumn("__i", ask.asNondeterministic()("text")).select("source_id", "batch", "__i.verbs", "__i.entities")
 
 
-def source_verbs(inventory: DataFrame, registry: DataFrame, live: DataFrame) -> DataFrame:
-    """source_id, raw, verb, anchor, origin for every spelling of a source: the registry first, then relations of the graph, else unmatched."""
-    verbs = inventory.select("source_id", F.explode("verbs").alias("raw")).withColumn("verb", normalize_verb("raw")).where("verb <> 'unknown'").distinct()
+def _anchored(verbs: DataFrame, registry: DataFrame, live: DataFrame) -> DataFrame:
+    """``verbs`` (verb and any other columns) with anchor and origin: the registry first, then relations of the graph, else unmatched."""
     known = registry.where("kind = 'relation'").select(F.col("label").alias("verb"), "canonical")
     used = live.select(normalize_verb("relation").alias("verb"), normalize_verb("relation").alias("__live")).distinct()
     joined = verbs.join(known, "verb", "left").join(used, "verb", "left")
     origin = F.when(F.col("canonical").isNotNull(), "registry").when(F.col("__live").isNotNull(), "graph").otherwise("unmatched")
-    return joined.select("source_id", "raw", "verb", F.coalesce("canonical", "__live").alias("anchor"), origin.alias("origin"))
+    return joined.select(*verbs.columns, F.coalesce("canonical", "__live").alias("anchor"), origin.alias("origin"))
+
+
+def source_verbs(inventory: DataFrame, registry: DataFrame, live: DataFrame) -> DataFrame:
+    """source_id, raw, verb, anchor, origin for every spelling of a source."""
+    verbs = inventory.select("source_id", F.explode("verbs").alias("raw")).select("source_id", "raw", normalize_verb("raw").alias("verb")).where("verb <> 'unknown'").distinct()
+    return _anchored(verbs, registry, live)
 
 
 def anchor_verbs(inventory: DataFrame, registry: DataFrame, live: DataFrame) -> DataFrame:
-    """verb, anchor, origin over all sources."""
-    return source_verbs(inventory, registry, live).select("verb", "anchor", "origin").distinct()
+    """verb, anchor, origin over all rows of an inventory (verbs), whatever their source."""
+    verbs = inventory.select(F.explode("verbs").alias("raw")).select(normalize_verb("raw").alias("verb")).where("verb <> 'unknown'").distinct()
+    return _anchored(verbs, registry, live)
 
 
 def verb_menu(anchored: DataFrame, clustered: DataFrame | None = None) -> DataFrame:

@@ -57,6 +57,12 @@ def test_scan_pass(spark, once):
     assert calls.value == 1
 
 
+def test_verbs_anchor_without_a_source(spark):
+    inventory = spark.createDataFrame([(["Leads To", "leads_to", None],), (["HEDGES", "orbits", "--"],)], "verbs array<string>")
+    found = ingest.anchor_verbs(inventory, registry.packaged_table(spark), spark.createDataFrame([("hedges",)], "relation string"))
+    assert sorted(map(tuple, found.collect())) == [("hedges", "hedges", "graph"), ("leads_to", "causes", "registry"), ("orbits", None, "unmatched")]
+
+
 def test_an_ingest_whose_scan_fails_writes_nothing_and_extracts_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.apply_schema()
