@@ -1,11 +1,14 @@
 """Entity resolution: similarity joins in the JVM, and the order-dependent cascade per group of mentions that could decide on one another.
 
 A mention is resolved against stored entities of its type and against what its
-session made of earlier mentions of that type. Only an earlier mention that is
-equal, similar, contained or near by vector can matter, so the mentions of a
-(session, type) fall into the connected components of that relation, and each
-component is folded in ``seq`` order by itself. A component's mentions and the
-stored entities that could match one of them are what one task holds.
+session made of earlier mentions of that type. A (session, type) of up to
+``WHOLE`` mentions is folded in ``seq`` order as it is. In a larger one only an
+earlier mention that is equal, or that may have been created and is similar,
+contained or near by vector, can matter: its mentions fall into the connected
+components of that relation, and each component is folded by itself. A mention
+with a store match by name creates nothing, so it needs no search by vector. A
+group's mentions and the stored entities that could match one of them are what
+one call holds.
 
 The joins: names by the rarest positional q-grams (prefix filtering), token sets
 by their rarest token, vectors in blocks of near ones.
@@ -26,6 +29,8 @@ from attesta.operators.components import components, durable
 from attesta.operators.vectors import near_links, near_vectors
 
 FUZZY, SEMANTIC, MARGIN, CORROBORATIONS = 0.90, 0.85, 0.05, 2
+WHOLE = 500  # mentions of a session and type that are folded without a search for their components
+LOT = 500  # mentions that one call folds, about: whole groups and components
 RESULT = "session string, type string, seq long, mention string, outcome string, canonical string, layer string, new_alias string, matches array<struct<score:double,name:string,layer:string>>"
 
 
@@ -84,6 +89,7 @@ class Pool:
         self.exact: dict[str, list[Known]] = {}
         self._letters, self._lengths, self._named = _Rows(128), _Rows(1), []
         self._units, self._with_vector = _Rows(), []
+        self._by_token: dict[str, list[int]] = {}
         for k in items:
             self.add(k)
 
@@ -95,6 +101,8 @@ class Pool:
             self._letters.add(_letters_of(name))
             self._lengths.add(np.array([len(name)]))
             self._named.append(at)
+        for token in known.tokens:
+            self._by_token.setdefault(token, []).append(at)
         if known.vector is not None:
             self._units.add(_unit(known.vector))
             self._with_vector.append(at)
@@ -117,7 +125,9 @@ class Pool:
         return [(c, k) for k in (self.items[self._with_vector[i]] for i in may) if (c := _cos(vector, k.vector)) >= SEMANTIC]
 
     def contained(self, own: frozenset[str]) -> list[Known]:
-        return [k for k in self.items if own and k.tokens and (own < k.tokens or k.tokens < own)]
+        """One of two sets holds the other, so they share a token."""
+        may = sorted({i for t in own for i in self._by_token.get(t, ())})
+        return [k for k in (self.items[i] for i in may) if own < k.tokens or k.tokens < own]
 
 
 def _unit(vector) -> np.ndarray:
@@ -202,68 +212,117 @@ def resolve_group(mentions: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["session", "type", "seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches"])
 
 
-def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve(mentions: DataFrame, entities: DataFrame, whole: int = WHOLE) -> DataFrame:
     """RESULT for every mention (session, type, seq, mention, embedding) against ``entities`` (name, type, aliases, embedding, corroborations).
 
     Null mentions count as empty names, rows that repeat are resolved one after another (in any order where their
-    seq is the same); without entities or mentions nothing fails.
+    seq is the same); without entities or mentions nothing fails. ``whole`` changes the work, not the result.
     """
     entities = entities if "corroborations" in entities.columns else entities.withColumn("corroborations", F.lit(0))
     columns = mentions.select("session", "type", F.col("seq").cast("long").alias("seq"), F.coalesce("mention", F.lit("")).alias("mention"), F.col("embedding").cast("array<double>").alias("embedding"))
     own = durable(columns.withColumns({"__x": normalize_name("mention"), "__node": F.monotonically_increasing_id()}))
     entities = entities.toDF(*entities.columns)  # both sides may come from one table
-    roots = components(_decisive(own))
-    placed = own.join(roots.withColumnRenamed("member", "__node"), "__node", "left").withColumn("__root", F.coalesce("root", "__node"))
+    matches, unmatched = store_matches(own, entities)
+    sizes = durable(own.groupBy("session", "type").agg(F.count("*").alias("n"), F.min("__node").alias("first")))
+    group = own["session"].eqNullSafe(sizes["session"]) & own["type"].eqNullSafe(sizes["type"])
+    sized = own.join(sizes, group).select(own["*"], "n", "first")
+    placed = sized.where(F.col("n") <= whole).withColumn("__root", F.col("first"))
+    if not sizes.where(F.col("n") > whole).isEmpty():
+        large = durable(sized.where(F.col("n") > whole))
+        roots = components(_decisive(large, unmatched))
+        placed = placed.unionByName(large.join(roots.withColumnRenamed("member", "__node"), "__node", "left").withColumn("__root", F.coalesce("root", "__node")).drop("root"))
     placed = durable(placed.select("__root", "__x", "session", "type", "seq", "mention", "embedding"))
-    store = candidates(placed, entities)
-    store = store.toDF(*store.columns)  # names of its own for the key that both sides share
+    store = candidates(placed, entities, matches, unmatched)
+    lots = sizes.agg(F.sum("n")).first()[0] or 0
+    lot = F.pmod(F.xxhash64("__root"), F.lit(lots // LOT + 1)).alias("__lot")
+    store = store.toDF(*store.columns).select(lot, "*")  # names of its own for the key that both sides share
+    columns = ["session", "type", "seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches"]
 
     def run(m: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return resolve_group(m, s) if len(m) else pd.DataFrame(columns=["session", "type", "seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches"])
+        known = {root: rows for root, rows in s.groupby("__root", sort=False)}
+        found = [resolve_group(rows, known.get(root, s[:0])) for root, rows in m.groupby("__root", sort=False)]
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
 
-    return placed.drop("__x").groupBy("__root").cogroup(store.groupBy("__root")).applyInPandas(run, RESULT)
+    return placed.drop("__x").select(lot, "*").groupBy("__lot").cogroup(store.groupBy("__lot")).applyInPandas(run, RESULT)
 
 
-def _decisive(own: DataFrame) -> DataFrame:
+def _decisive(own: DataFrame, unmatched: DataFrame) -> DataFrame:
     """a, b (__node): links whose components hold every two mentions of a session and type that could decide on one another.
 
-    Equal names are linked to the first of them, which stands for the name in all other links.
+    Only a name without a store match by name (``unmatched``: g the type, x) may be created, and only what is created
+    is met by similarity, containment or vector. Equal names are linked to the first of them, which stands for the name
+    in all other links.
     """
     g = F.struct("session", "type")
     names = durable(own.groupBy(g.alias("g"), F.col("__x").alias("x")).agg(F.min("__node").alias("first")))
     equal = own.select(g.alias("g"), F.col("__x").alias("x"), F.col("__node").alias("a")).join(names, ["g", "x"]).select("a", F.col("first").alias("b"))
-    bare = names.select("g", "x")
-    tokens = bare.select("g", "x", _tokens_of("x").alias("tokens"))
-    by_name = near_names(bare, bare, FUZZY).where("x < y").select("g", "x", "y").unionByName(subset_pairs(tokens, tokens).select("g", "x", "y"))
+    free = unmatched.toDF("free_g", "free_x")
+    may = durable(names.join(free, names["g.type"].eqNullSafe(free["free_g"]) & (names["x"] == free["free_x"]), "left_semi"))
+    if may.isEmpty():
+        return equal
+    bare, new = names.select("g", "x"), may.select("g", "x")
+    tokens = new.select("g", "x", _tokens_of("x").alias("tokens"))
+    # What is contained is looked for where the store has no match by name, so both sides are such.
+    by_name = near_names(new, bare, FUZZY).where("x <> y").select("g", "x", "y").unionByName(subset_pairs(tokens, tokens.toDF(*tokens.columns)).select("g", "x", "y"))
     a, b = names.withColumnRenamed("first", "a"), names.select("g", F.col("x").alias("y"), F.col("first").alias("b"))
     by_name = by_name.join(a, ["g", "x"]).join(b, ["g", "y"]).select("a", "b")
-    held = own.where("embedding IS NOT NULL").select(F.to_json(g).alias("type"), "embedding", F.col("__node").alias("b"))
+    held = own.where("embedding IS NOT NULL").select(g.alias("s"), F.to_json(g).alias("type"), "embedding", F.col("__x").alias("x"), F.col("__node").alias("b"))
     same = durable(held.groupBy("type", "embedding").agg(F.min("b").alias("name")))  # equal vectors are linked to the first of them
-    by_vector = near_links(same.select(F.col("type").alias("g"), F.col("name").alias("id"), F.col("embedding").alias("v")), SEMANTIC).select(F.col("x").alias("a"), F.col("y").alias("b"))
     again = held.join(same, ["type", "embedding"]).select(F.col("b").alias("a"), F.col("name").alias("b"))
+    made = held.join(new.select(F.col("g").alias("s"), "x"), ["s", "x"], "left_semi").select("type", "embedding").distinct()
+    side = lambda df: df.select(F.col("type").alias("g"), F.col("name").alias("id"), F.col("embedding").alias("v"))
+    by_vector = near_links(side(same), SEMANTIC, side(same.join(made, ["type", "embedding"], "left_semi"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return equal.unionByName(by_name).unionByName(by_vector).unionByName(again)
 
 
-def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """__root and the entities of its mentions' type that some layer could pick for one of them: equal or similar names or aliases, contained token sets, near vectors.
+def store_matches(mentions: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, x, name: the entities of a type that the first store layer by name with any match has for a normalized mention; g, x: mentions without any).
+
+    The layers are asked in their order, equal names or aliases, similar ones, contained token sets, each for what
+    those before have left: a layer with a match decides, whatever later ones would have.
+    """
+    bare = durable(mentions.select(F.col("type").alias("g"), F.col("__x").alias("x")).distinct())
+    stored = durable(entities.select(F.col("type").alias("g"), "name", F.explode(_names(entities)).alias("y")).distinct())
+    found, left = [], bare
+
+    def ask(layer) -> None:
+        nonlocal left
+        if not left.isEmpty():
+            found.append(durable(layer(left).select("g", "x", "name").distinct()))
+            left = durable(left.join(found[-1].select("g", "x").distinct(), ["g", "x"], "left_anti"))
+
+    ask(lambda rest: rest.join(stored.withColumnRenamed("y", "x"), ["g", "x"]))
+    ask(lambda rest: near_names(rest, stored.select("g", "y").distinct(), FUZZY).join(stored, ["g", "y"]))
+    theirs = entities.select(F.col("type").alias("g"), F.col("name").alias("x"), _pooled_tokens(entities).alias("tokens")).distinct()
+
+    def contained(rest: DataFrame) -> DataFrame:
+        mine = rest.select("g", "x", _tokens_of("x").alias("tokens"))
+        inside = subset_pairs(mine, theirs).select("g", "x", F.col("y").alias("name"))
+        return inside.unionByName(subset_pairs(theirs, mine).select("g", F.col("y").alias("x"), F.col("x").alias("name")))
+
+    ask(contained)
+    matches = found[0] if found else bare.select("g", "x", F.col("x").alias("name"))  # no mentions, no matches
+    for more in found[1:]:
+        matches = matches.unionByName(more)
+    return matches, left
+
+
+def candidates(mentions: DataFrame, entities: DataFrame, matches: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """__root and the entities of its mentions' type that some layer could pick for one of them: ``matches`` by name, near vectors for names without any.
 
     mentions: __root, __x (the normalized mention), type, embedding.
     """
     named = mentions.select("__root", F.col("type").alias("g"), F.col("__x").alias("x")).distinct()
-    bare = named.select("g", "x").distinct()
-    stored = entities.select(F.col("type").alias("g"), "name", F.explode(_names(entities)).alias("y")).distinct()
-    by_ratio = near_names(bare, stored.select("g", "y").distinct(), FUZZY).join(stored, ["g", "y"]).select("g", "x", "name")
-    mine, theirs = bare.select("g", "x", _tokens_of("x").alias("tokens")), entities.select(F.col("type").alias("g"), F.col("name").alias("x"), _pooled_tokens(entities).alias("tokens")).distinct()
-    inside = subset_pairs(mine, theirs).select("g", "x", F.col("y").alias("name"))
-    around = subset_pairs(theirs, mine).select("g", F.col("y").alias("x"), F.col("x").alias("name"))
-    by_name = named.join(by_ratio.unionByName(inside).unionByName(around).distinct(), ["g", "x"]).select("__root", F.col("g").alias("type"), "name")
-    asked = mentions.where("embedding IS NOT NULL").select(F.col("type").alias("g"), F.col("__root").alias("id"), F.col("embedding").alias("v")).distinct()
-    held = entities.where("embedding IS NOT NULL").select("type", "name", F.col("embedding").cast("array<double>").alias("v"))
-    each = _numbered(held)
-    by_vector = near_vectors(asked, each, SEMANTIC).distinct().join(each.select("g", "v", F.col("id").alias("y")), "y").join(held.withColumnRenamed("type", "g"), ["g", "v"]).select(F.col("x").alias("__root"), F.col("g").alias("type"), "name")
-    keys = by_name.unionByName(by_vector).distinct()
+    keys = named.join(matches, ["g", "x"]).select("__root", F.col("g").alias("type"), "name")
+    asked = mentions.where("embedding IS NOT NULL").select(F.col("type").alias("g"), F.col("__x").alias("x"), F.col("__root").alias("id"), F.col("embedding").alias("v")).join(unmatched, ["g", "x"], "left_semi").select("g", "id", "v").distinct()
+    asked = durable(asked)
+    if not asked.isEmpty():
+        held = entities.where("embedding IS NOT NULL").select("type", "name", F.col("embedding").cast("array<double>").alias("v"))
+        each = _numbered(held)
+        by_vector = near_vectors(asked, each, SEMANTIC).distinct().join(each.select("g", "v", F.col("id").alias("y")), "y").join(held.withColumnRenamed("type", "g"), ["g", "v"]).select(F.col("x").alias("__root"), F.col("g").alias("type"), "name")
+        keys = keys.unionByName(by_vector)
     columns = entities.select("name", "type", "aliases", F.col("embedding").cast("array<double>").alias("embedding"), F.col("corroborations").cast("int").alias("corroborations"))
-    return keys.join(columns, ["type", "name"]).select("__root", "name", "aliases", "embedding", "corroborations")
+    return keys.distinct().join(columns, ["type", "name"]).select("__root", "name", "aliases", "embedding", "corroborations")
 
 
 def _numbered(vectors: DataFrame) -> DataFrame:

@@ -135,11 +135,17 @@ def near_vectors(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     return _meet(left, right, _meetings(left, right, threshold), found)
 
 
-def near_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """x, y: links with the same connected components as all pairs of ``near_vectors(rows, rows)``; two blocks give fewer links than they have rows."""
+def near_links(rows: DataFrame, threshold: float, some: DataFrame | None = None) -> DataFrame:
+    """x, y: links with the same connected components as all pairs of ``near_vectors(rows, rows)``; two blocks give fewer links than they have rows.
+
+    some: only pairs with one of these (some of ``rows``) count.
+    """
 
     def found(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _forest(_matrix(a, b, threshold), a.id.to_numpy(), b.id.to_numpy())
 
     rows = _blocks(rows)
+    if some is not None:
+        some = _blocks(some)
+        return _meet(some, rows, _meetings(some, rows, threshold), found)
     return _meet(rows, rows.toDF(*rows.columns), _meetings(rows, rows.toDF(*rows.columns), threshold).where("i <= j"), found)

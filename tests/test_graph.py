@@ -177,6 +177,35 @@ def test_components_decide_as_one_fold_over_the_session(spark, seed):
     assert len({x["layer"] for x in got}) >= 4
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_large_sessions_fall_into_components_and_decide_as_one_fold(spark, seed):
+    """As above, but no session is folded whole, and half of the mentions have a store match by name, so they need no vector search."""
+    r = random.Random(100 + seed)
+    words = ["alpha", "beta", "gamma", "delta", "bank", "of", "north", "house", "omega"]
+    name = lambda k: " ".join(r.sample(words, k))
+    vector = lambda: None if r.random() < 0.3 else [float(r.randrange(6) == i) + r.choice([0.0, 0.1]) for i in range(6)]
+    store = [(n, "t", None, vector(), r.randrange(4)) for n in sorted({name(2) for _ in range(8)})]
+    mentions = [("p", r.choice(["t", None]), i, r.choice([store[i % len(store)][0], name(1) + "zq", name(1) + "z" * r.randrange(9, 11), name(3), "zq" + name(1)]), vector()) for i in range(60)]
+    e, m = spark.createDataFrame(store, ENT), spark.createDataFrame(mentions, MEN)
+    want = []
+    for kind, own in m.toPandas().groupby("type", dropna=False):
+        want += resolution.resolve_group(own, e.where(e.type == (kind if isinstance(kind, str) else "none")).toPandas()).to_dict("records")
+    tell = lambda rows: sorted(repr([x[c] for c in ("seq", "mention", "outcome", "canonical", "layer", "new_alias", "matches")]) for x in rows)
+    for whole in (0, resolution.WHOLE):
+        assert tell(x.asDict(recursive=True) for x in resolution.resolve(m, e, whole).collect()) == tell(want)
+
+
+def test_a_session_of_known_names_is_not_searched_for_components(spark, monkeypatch):
+    """Small sessions are folded whole, names that the store has are not compared with others."""
+
+    def never(*_, **__):
+        raise AssertionError("searched")
+
+    for f in ("near_names", "near_links", "near_vectors", "subset_pairs", "components"):
+        monkeypatch.setattr(resolution, f, never)
+    assert resolve(spark, [("Alpha", [1.0]), ("ALPHA", [1.0])], [("Alpha", None, [1.0], 0)]) == [("resolve", "Alpha", "store_exact")] * 2
+
+
 def test_no_mentions_no_entities_and_null_names(spark):
     assert resolve(spark, [], [("A", None, None, 0)]) == []
     assert resolve(spark, [("A", None), (None, None), (None, None)], []) == [("create", "A", "create"), ("create", "", "create"), ("resolve", "", "session_exact")]
