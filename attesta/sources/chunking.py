@@ -57,6 +57,11 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row: as a variable it isn't copied to every place that reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chunk_markdown(docs: DataFrame) -> DataFrame:
     """A chunk per heading (with its body), and one for text before the first.
 
@@ -64,19 +69,23 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
     the path before it, however deep those were. The work on a document's lines
     stays in its row and grows with their number: nothing is shuffled.
     """
-    lines = docs.select("source_id", F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("lines"))
-    marks = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title")))
-    found = lines.withColumn("heads", F.filter(marks, lambda h: h["level"] > 0))
+
+    def heads(lines: Column) -> Column:
+        marks = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title")))
+        return F.filter(marks, lambda h: h["level"] > 0)
 
     def path(acc: Column, h: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.concat(F.slice(last, F.lit(1), F.least(h["level"] - 1, F.size(last))), F.array(h["title"]))))
+        return _let(F.element_at(acc, -1), lambda last: F.concat(acc, F.array(F.concat(F.slice(last, F.lit(1), F.least(h["level"] - 1, F.size(last))), F.array(h["title"])))))
 
     root = F.from_json(F.lit("[[]]"), "array<array<string>>")
-    starts = found.select("source_id", "lines", F.aggregate("heads", root, path).alias("paths"), F.concat(F.array(F.lit(0)), F.transform("heads", lambda h: h["at"]), F.array(F.size("lines"))).alias("cuts"))
-    rows = starts.select("source_id", "paths", F.transform(F.sequence(F.lit(0), F.size("paths") - 1), lambda k: F.array_join(F.slice("lines", F.col("cuts")[k] + 1, F.col("cuts")[k + 1] - F.col("cuts")[k]), "\n")).alias("texts"))
-    chunks = rows.select("source_id", F.filter(F.transform("texts", lambda x, k: F.struct(_bare(x).alias("text"), F.col("paths")[k].alias("path"))), lambda c: c["text"] != "").alias("c"))
-    each = chunks.select("source_id", F.posexplode("c").alias("pos", "c"))
+
+    def parts(lines: Column, found: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(0)), F.transform(found, lambda h: h["at"]), F.array(F.size(lines)))
+        return _let(cuts, lambda c: F.transform(F.aggregate(found, root, path), lambda p, k: F.struct(_bare(F.array_join(F.slice(lines, c[k] + 1, c[k + 1] - c[k]), "\n")).alias("text"), p.alias("path"))))
+
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")
+    chunks = F.filter(_let(lines, lambda x: _let(heads(x), lambda h: parts(x, h))), lambda c: c["text"] != "")
+    each = docs.select("source_id", F.posexplode(chunks).alias("pos", "c"))
     return _with_refs(each.select("source_id", (F.col("pos") + 1).cast("int").alias("ordinal"), "c.text", F.col("c.path").alias("section_path"), F.array().cast("array<int>").alias("pages")))
 
 

@@ -107,3 +107,10 @@ def test_contracts(spark):
     assert valid.count() == 1
     reason = rejected.first().reason
     assert all(x in reason for x in ("subject must", "scope_conditions must", "subject_type must", "confidence must", "domain must"))
+
+
+def test_a_document_is_split_once_whatever_its_chunks_read(spark):
+    docs = spark.range(1).select(F.col("id").cast("string").alias("source_id"), F.concat_ws("\n", F.col("id").cast("string"), F.lit("# B"), F.lit("x"), F.lit("### C")).alias("text"))
+    found = chunking.chunk_markdown(docs)
+    assert [(r.text, r.section_path) for r in found.orderBy("ordinal").collect()] == [("0", []), ("# B\nx", ["B"]), ("### C", ["B", "C"])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
