@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
 from attesta.operators import canonical, cells, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
+from attesta.operators.components import durable
 from attesta.plans import fanout
 from attesta.schemas import TRIPLE
 from attesta.sources import chunking, registry
@@ -48,25 +49,21 @@ def _round(column: str) -> Column:
 _RELATION = {"A": "replaces", "N": "supports", "R": "superseded_by"}
 
 
-def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as claims; (order, line) isn't unique, so the number hashes the whole row's place in a total order."""
+_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def claims_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest confidence and first date of order lines that agree in their keys, relation and domain.
+
+    Grouped where the join with orders has dealt the lines, before anything is spelled out: the rest of a claim follows from these columns.
+    """
     line, order = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part, supplier, customer = _table(spark, sf_dir, "part").select("p_partkey", "p_brand"), _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    rows = (
-        line.join(order, line["l_orderkey"] == order["o_orderkey"]).join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
-        .join(customer, order["o_custkey"] == customer["c_custkey"])
-    )
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("domain"))
+    domains = order.join(customer, order["o_custkey"] == customer["c_custkey"]).select("o_orderkey", "domain").distinct()
     relation = F.create_map(*[F.lit(x) for kv in _RELATION.items() for x in kv])[F.col("l_returnflag")]
-    key = [F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    return rows.select(
-        F.col("s_name").alias("subject"), relation.alias("relation"), F.col("p_brand").alias("object"),
-        F.concat(F.lit("doc-"), (F.col("l_orderkey") % 200).cast("string"), F.lit(":x")).alias("source_ref"),
-        F.round(0.05 + 5 * F.col("l_discount").cast("double"), 6).alias("confidence"),
-        F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("evidence"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).otherwise(F.lit("")).alias("scope_conditions"),
-        F.lower("c_mktsegment").alias("domain"), relation.alias("raw_relation"), F.col("l_shipdate").cast("timestamp").alias("created_at"),
-        F.concat_ws("-", *key, F.col("l_extendedprice").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string"), F.col("l_shipdate").cast("date").cast("string")).alias("order_key"),
-    )
+    lines = line.select(*_KEYS, relation.alias("relation"), F.round(0.05 + 5 * F.col("l_discount").cast("double"), 6).alias("confidence"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
+    dealt = lines.join(domains.hint("merge"), lines["l_orderkey"] == domains["o_orderkey"])
+    return dealt.groupBy(*_KEYS, "relation", "domain").agg(F.max("confidence").alias("confidence"), F.min("created_at").alias("created_at"))
 
 
 _CLAIMS = """claims AS (
@@ -82,14 +79,19 @@ _CLAIMS = """claims AS (
 def claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
     """One claim per (order, line, part, supplier): the strongest of rows that agree in all four; ``order_key`` orders them.
 
-    about: only claims with this name at either end, picked out before anything is grouped.
+    about: only claims with this name at either end.
     """
-    rows = raw_claims(spark, sf_dir)
+    part, supplier = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("object")).distinct(), _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("subject")).distinct()
+    keyed = claims_by_key(spark, sf_dir)
+    rows = keyed.join(supplier, keyed["l_suppkey"] == supplier["s_suppkey"]).join(part, keyed["l_partkey"] == part["p_partkey"])
     if about is not None:
         rows = rows.where((F.col("subject") == about) | (F.col("object") == about))
-    w = ["subject", "relation", "object", "source_ref", "evidence", "scope_conditions", "domain", "raw_relation"]
-    key = F.substring("order_key", 1, 51)
-    return rows.withColumn("order_key", key).groupBy(*w, "order_key").agg(F.max("confidence").alias("confidence"), F.min("created_at").alias("created_at"))
+    return rows.select(
+        "subject", "relation", "object", F.concat(F.lit("doc-"), (F.col("l_orderkey") % 200).cast("string"), F.lit(":x")).alias("source_ref"),
+        F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("evidence"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).otherwise(F.lit("")).alias("scope_conditions"),
+        "domain", F.col("relation").alias("raw_relation"), F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in _KEYS]).alias("order_key"), "confidence", "created_at",
+    )
 
 
 _DISTINCT = _CLAIMS + """, d AS (
@@ -120,6 +122,11 @@ def stored_ledger(spark: SparkSession, sf_dir: str, about: str | None = None) ->
     return ledger.dedupe(canonical_claims(spark, sf_dir, about)).withColumn("source_id", S.source_id("source_ref"))
 
 
+def _written_ledger(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The ledger, with what arrows take of it and ``more``, written once for queries that read it more than once."""
+    return durable(stored_ledger(spark, sf_dir).select(*TRIPLE, "source_ref", "confidence", "scope_conditions", "created_at", "seq", *more))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("organization").alias("type"))
     p = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("product").alias("type")).distinct()
@@ -187,7 +194,7 @@ def _plan_sql(mode: str) -> str:
 
 
 def _plan(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    rows = canonical_claims(spark, sf_dir)
+    rows = durable(canonical_claims(spark, sf_dir).select(*TRIPLE, "source_ref", "evidence", "domain", "seq"))  # used twice
     old, new = ledger.dedupe(rows.where("domain = 'building'")), rows.where("domain <> 'building'")
     return ledger.plan_writes(old, new, mode).select(*TRIPLE, "source_ref", "evidence", "action")
 
@@ -225,13 +232,13 @@ def normalize_relations_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_ARROWS + " , cut AS (SELECT * FROM k WHERE NOT (domain = 'machinery')) SELECT subject, relation, object, round(confidence + 3.3e-10, 6) AS confidence FROM a WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.subject = a.subject AND cut.relation = a.relation AND cut.object = a.object)")
 def backfill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = _written_ledger(spark, sf_dir, "domain")
     return maintenance.backfill_candidates(ledger.arrows(rows), rows.where("NOT (domain = 'machinery')")).select(*TRIPLE, _round("confidence").alias("confidence"))
 
 
 @_query(_ARROWS + " SELECT subject, relation, object, source_ref FROM a WHERE EXISTS (SELECT 1 FROM k WHERE domain = 'machinery' AND k.subject = a.subject AND k.relation = a.relation AND k.object = a.object)")
 def strip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = _written_ledger(spark, sf_dir, "domain")
     own = ledger.arrows(rows).withColumn("evidence", F.lit(None).cast("array<string>"))
     return maintenance.strip_candidates(own, rows.where("domain = 'machinery'")).select(*TRIPLE, "source_ref")
 
@@ -239,7 +246,7 @@ def strip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ARROWS + """, b AS (SELECT subject, relation, object, 1 - product(1 - confidence) AS previous FROM k WHERE domain = 'building' GROUP BY ALL)
   SELECT a.subject, a.relation, a.object, round(a.confidence + 3.3e-10, 6) AS confidence, round(b.previous + 3.3e-10, 6) AS previous_confidence FROM a JOIN b ON a.subject = b.subject AND a.relation = b.relation AND a.object = b.object""")
 def delta_changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = _written_ledger(spark, sf_dir, "domain", "evidence")
     edges = rows.withColumn("evidence", F.array("evidence"))
     _, changed = ledger.assemble_delta(edges, ledger.arrows(rows.where("domain = 'building'")))
     return changed.select(*TRIPLE, _round("confidence").alias("confidence"), _round("previous_confidence").alias("previous_confidence"))
@@ -364,14 +371,14 @@ def factcheck_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_LEDGER + """, w AS (SELECT * FROM k WHERE source_ref IN ('doc-1:x', 'doc-2:x')), o AS (SELECT * FROM k WHERE source_ref NOT IN ('doc-1:x', 'doc-2:x')), h AS (SELECT DISTINCT domain FROM o WHERE domain IN (SELECT domain FROM w))
   SELECT domain, count(*) AS n_rows FROM k WHERE domain IN (SELECT domain FROM h) GROUP BY domain""")
 def factcheck_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = _written_ledger(spark, sf_dir, "domain")
     mine = F.col("source_ref").isin("doc-1:x", "doc-2:x")
     return factcheck.candidates_for_write(rows.where(mine), rows.where(~mine)).groupBy("domain").agg(F.count("*").alias("n_rows"))
 
 
 @_query(_LEDGER + " SELECT subject, relation, object, source_ref, 'supported' AS verdict FROM k WHERE domain = 'furniture' AND split_part(source_ref, ':', 1) = 'doc-7'")
 def verdict_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_ledger(spark, sf_dir)
+    rows = _written_ledger(spark, sf_dir, "domain", "source_id")
     receipts = rows.where("domain = 'furniture'").select(*TRIPLE, "source_ref", F.lit("supported").alias("verdict"), F.lit("2024-01-01").alias("created_at"), F.concat_ws("/", *TRIPLE, "source_ref").alias("id"))
     return walks.verdicts_for_source(rows, receipts, "doc-7").select(*TRIPLE, "source_ref", "verdict")
 
@@ -446,7 +453,7 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DISTINCT}, q AS (SELECT subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object AS claim FROM d) SELECT count(*) AS candidates, count(DISTINCT claim) AS unique_claims, count(*) FILTER (WHERE strlen(claim) % 2 = 0) AS kept, count(*) FILTER (WHERE strlen(claim) % 2 = 1) AS dropped FROM q")
 def novelty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = novelty.with_claims(claims_seq(spark, sf_dir))
+    rows = durable(novelty.with_claims(claims_seq(spark, sf_dir)).select("claim", "seq"))  # used twice
     verdicts = novelty.unique_claims(rows).select("claim", F.when(F.octet_length("claim") % 2 == 0, "novel").otherwise("known").alias("choice"))
     return novelty.gate_counts(rows, verdicts)
 
