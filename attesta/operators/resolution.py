@@ -438,9 +438,10 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     moved = F.col("p_y") - F.col("p_x")
     letters = sum(F.bit_count(F.col(f"has{i}_x").bitwiseXOR(F.col(f"has{i}_y"))) for i in range(len(_COUNTED)))  # what goes or comes flips one bit at most
     may = (2 * moved <= most + m - n) & (-2 * moved <= most + n - m) & (F.abs(n - m) <= most) & (letters <= most)
-    met = durable(keyed["x"].join(keyed["y"], "key").where(may).select("id_x", "id_y").distinct())  # written, so that edits are counted once a pair
+    # The tables of names are compressed on disk and may look small enough to broadcast: they are dealt instead, whatever their size.
+    met = durable(keyed["x"].hint("merge").join(keyed["y"].hint("merge"), "key").where(may).select("id_x", "id_y").distinct())  # written, so that edits are counted once a pair
     edits = (1 - t) * (F.length("x") + F.length("y")) + 1e-9
-    named = met.join(own["x"].select("id_x", F.col("g_x").alias("g"), "x"), "id_x").join(own["y"].select("id_y", "g_y", "y"), "id_y").where("g = g_y")  # keys are hashes: groups are told here
+    named = met.join(own["x"].select("id_x", F.col("g_x").alias("g"), "x").hint("merge"), "id_x").join(own["y"].select("id_y", "g_y", "y").hint("merge"), "id_y").where("g = g_y")  # keys are hashes: groups are told here
     return named.where(F.levenshtein("x", "y") <= edits).select("g", "x", "y").withColumn("ratio", fuzzy_ratio("x", "y")).where(F.col("ratio") >= t)
 
 
