@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.scalars import claim, state_claim
@@ -24,6 +24,11 @@ def unique_claims(df: DataFrame) -> DataFrame:
     return df.groupBy("claim").agg(F.min("seq").alias("seq"))
 
 
+def counted_claims(df: DataFrame) -> DataFrame:
+    """Each claim once, with the number ``n`` of its candidates."""
+    return df.groupBy("claim").agg(F.count("*").alias("n"))
+
+
 def classify(claims: DataFrame, classifier: Classifier) -> DataFrame:
     """claim, choice, probabilities. Write the result once: a model must not be asked again by a retry."""
 
@@ -43,9 +48,15 @@ def gate(df: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def gate_counts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row: candidates, unique claims, kept and dropped candidates."""
-    joined = df.join(verdicts.select("claim", "choice"), "claim")
-    return joined.agg(F.count("*").alias("candidates"), F.count_distinct("claim").alias("unique_claims"), F.count_if(F.col("choice") == "novel").alias("kept"), F.count_if(F.col("choice") != "novel").alias("dropped"))
+    """One row: candidates, unique claims, kept and dropped candidates. ``df``: candidates, or claims counted already."""
+    counted = df if "n" in df.columns else counted_claims(df)
+    joined = counted.join(verdicts.select("claim", "choice"), "claim")
+
+    def total(rows: Column | None = None) -> Column:
+        return F.coalesce(F.sum("n" if rows is None else F.when(rows, F.col("n"))), F.lit(0))
+
+    novel = F.col("choice") == "novel"
+    return joined.agg(total().alias("candidates"), F.count_distinct("claim").alias("unique_claims"), total(novel).alias("kept"), total(~novel).alias("dropped"))
 
 
 def mean_probabilities(verdicts: DataFrame) -> DataFrame:

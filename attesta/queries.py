@@ -453,8 +453,8 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DISTINCT}, q AS (SELECT subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object AS claim FROM d) SELECT count(*) AS candidates, count(DISTINCT claim) AS unique_claims, count(*) FILTER (WHERE strlen(claim) % 2 = 0) AS kept, count(*) FILTER (WHERE strlen(claim) % 2 = 1) AS dropped FROM q")
 def novelty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(novelty.with_claims(claims_seq(spark, sf_dir)).select("claim", "seq"))  # used twice
-    verdicts = novelty.unique_claims(rows).select("claim", F.when(F.octet_length("claim") % 2 == 0, "novel").otherwise("known").alias("choice"))
+    rows = durable(novelty.counted_claims(novelty.with_claims(claims_seq(spark, sf_dir))))  # used twice
+    verdicts = rows.select("claim", F.when(F.octet_length("claim") % 2 == 0, "novel").otherwise("known").alias("choice"))
     return novelty.gate_counts(rows, verdicts)
 
 

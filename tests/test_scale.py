@@ -28,3 +28,10 @@ def test_rows_of_checked_domains_are_not_dealt_by_domain(spark, monkeypatch):
     assert "hashpartitioning(domain" not in plan(factcheck.candidates_for_write(*mine)) and [len(x) for x in few] == [40, 40]
     monkeypatch.setattr(factcheck, "FEW_DOMAINS", 0)
     assert [sorted(map(tuple, df.collect())) for df in (factcheck.candidates_for_write(*mine), factcheck.domain_candidates(rows))] == few
+
+
+def test_novelty_counts_deal_counted_claims(spark):
+    found = plan(graph.novelty_counts(spark, SF))
+    assert "FileScan parquet [claim" in found and "seq" not in found.split("FileScan")[1].split("]")[0]
+    for line in found.splitlines():
+        assert "partial_count(1)" not in line or "claim" not in line.split("keys=")[-1].split("]")[0], line
