@@ -34,15 +34,16 @@ def complement_of(values: Column | str) -> Column:
 
 
 def arrows(ledger: DataFrame) -> DataFrame:
-    """One row per triple: confidence over all its rows, the newest non-empty scope, evidence and the newest reference."""
+    """One row per triple: confidence over all its rows, the newest non-empty scope and the newest reference; without the fields whose columns the ledger lacks."""
     scope = F.max_by("scope_conditions", F.when(F.coalesce(F.trim("scope_conditions"), F.lit("")) != "", F.col("seq")))
-    return ledger.groupBy(*TRIPLE).agg(
-        complement().alias("confidence"),
-        F.coalesce(scope, F.lit("")).alias("scope_conditions"),
-        F.count("*").alias("n_rows"),
-        F.max_by("source_ref", "seq").alias("source_ref"),
-        F.min("created_at").alias("created_at"),
-    )
+    fields = {
+        ("confidence",): complement().alias("confidence"),
+        ("scope_conditions", "seq"): F.coalesce(scope, F.lit("")).alias("scope_conditions"),
+        (): F.count("*").alias("n_rows"),
+        ("source_ref", "seq"): F.max_by("source_ref", "seq").alias("source_ref"),
+        ("created_at",): F.min("created_at").alias("created_at"),
+    }
+    return ledger.groupBy(*TRIPLE).agg(*[value for needs, value in fields.items() if set(needs) <= set(ledger.columns)])
 
 
 def ordered_evidence(value: str = "evidence", order: str = "seq") -> Column:

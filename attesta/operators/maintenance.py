@@ -15,7 +15,7 @@ from attesta.schemas import IDENTITY, TRIPLE
 
 def backfill_candidates(arrows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Arrows without a ledger row of the same relation; one without a confidence is an error."""
-    rows = ledger.select(F.col("subject"), F.upper("relation").alias("relation"), F.col("object"))
+    rows = ledger.select(F.col("subject"), F.upper("relation").alias("relation"), F.col("object")).distinct()
     found = arrows.join(rows, list(TRIPLE), "left_anti")
     return found.withColumn("confidence", F.when(F.col("confidence").isNotNull(), F.col("confidence")).otherwise(F.raise_error(F.concat(F.lit("arrow without confidence: "), F.concat_ws(" ", *TRIPLE))).cast("double")))
 
@@ -23,7 +23,7 @@ def backfill_candidates(arrows: DataFrame, ledger: DataFrame) -> DataFrame:
 def strip_candidates(arrows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Arrows that have rows and still carry evidence or a reference of their own."""
     legacy = arrows.where(F.col("evidence").isNotNull() | F.col("source_ref").isNotNull())
-    return legacy.join(ledger.select(*TRIPLE), list(TRIPLE), "left_semi")
+    return legacy.join(ledger.select(*TRIPLE).distinct(), list(TRIPLE), "left_semi")
 
 
 def migrate_ledger(arrows: DataFrame, ledger: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,14 +54,26 @@ def migrate_ledger(arrows: DataFrame, ledger: DataFrame, now: Column) -> tuple[D
     return after, next_arrows, report
 
 
+#: The triple that a row is stored under, beside its canonical one.
+STORED = ("__subject", "__relation", "__object")
+
+
 def plan_normalization(ledger: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows with their canonical triple and ``action``: keep, rewrite or collapse.
 
     A row that is canonical already keeps its identity; else the first
     rewritten row claims it, and the others collapse into it.
     """
-    parts = {"subject": "__subject", "relation": "__relation", "object": "__object"}
-    canonical = canonicalize_triples(ledger.withColumns({v: F.col(k) for k, v in parts.items()}), registry)
+    return plan_canonical(with_canonical(ledger, registry))
+
+
+def with_canonical(ledger: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows under their canonical triple, with the stored one in STORED."""
+    return canonicalize_triples(ledger.withColumns({old: F.col(c) for old, c in zip(STORED, TRIPLE, strict=True)}), registry)
+
+
+def plan_canonical(canonical: DataFrame) -> DataFrame:
+    """As ``plan_normalization``, of rows from ``with_canonical``."""
     same = (F.col("__subject") == F.col("subject")) & (F.col("__relation") == F.col("relation")) & (F.col("__object") == F.col("object"))
     rows = canonical.withColumn("__kept", same)
     w = Window.partitionBy(*IDENTITY).orderBy(F.desc("__kept"), "seq")

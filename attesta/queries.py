@@ -16,7 +16,7 @@ from attesta.functions import scalars as S
 from attesta.operators import canonical, cells, contracts, dispatch, factcheck, guards, ledger, maintenance, novelty, resolution, search, states, walks
 from attesta.operators.components import durable
 from attesta.plans import fanout
-from attesta.schemas import TRIPLE
+from attesta.schemas import IDENTITY, TRIPLE
 from attesta.sources import chunking, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,7 @@ def claims_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     line, order = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("domain"))
-    domains = order.join(customer, order["o_custkey"] == customer["c_custkey"]).select("o_orderkey", "domain").distinct()
+    domains = order.join(customer, order["o_custkey"] == customer["c_custkey"]).select("o_orderkey", "domain").repartition("o_orderkey").distinct()
     relation = F.create_map(*[F.lit(x) for kv in _RELATION.items() for x in kv])[F.col("l_returnflag")]
     lines = line.select(*_KEYS, relation.alias("relation"), F.round(0.05 + 5 * F.col("l_discount").cast("double"), 6).alias("confidence"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
     dealt = lines.join(domains.hint("merge"), lines["l_orderkey"] == domains["o_orderkey"])
@@ -76,22 +76,35 @@ _CLAIMS = """claims AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
-    """One claim per (order, line, part, supplier): the strongest of rows that agree in all four; ``order_key`` orders them.
+def _source_ref() -> Column:
+    return F.concat(F.lit("doc-"), (F.col("l_orderkey") % 200).cast("string"), F.lit(":x"))
+
+
+def bare_claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    """One claim per (order, line, part, supplier, relation): the strongest of rows that agree; what follows from the keys isn't spelled out.
 
     about: only claims with this name at either end.
     """
     part, supplier = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("object")).distinct(), _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("subject")).distinct()
     keyed = claims_by_key(spark, sf_dir)
-    rows = keyed.join(supplier, keyed["l_suppkey"] == supplier["s_suppkey"]).join(part, keyed["l_partkey"] == part["p_partkey"])
+    rows = keyed.join(part, keyed["l_partkey"] == part["p_partkey"]).join(supplier, keyed["l_suppkey"] == supplier["s_suppkey"])
     if about is not None:
         rows = rows.where((F.col("subject") == about) | (F.col("object") == about))
-    return rows.select(
-        "subject", "relation", "object", F.concat(F.lit("doc-"), (F.col("l_orderkey") % 200).cast("string"), F.lit(":x")).alias("source_ref"),
-        F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("evidence"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).otherwise(F.lit("")).alias("scope_conditions"),
-        "domain", F.col("relation").alias("raw_relation"), F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in _KEYS]).alias("order_key"), "confidence", "created_at",
-    )
+    return rows.select("subject", "relation", "object", "domain", F.col("relation").alias("raw_relation"), *_KEYS, "confidence", "created_at")
+
+
+def spelled(rows: DataFrame) -> DataFrame:
+    """Bare claims with what follows from their keys; ``seq`` orders them by keys, then by the relation that was written.
+
+    A reference that is there already stays the column that it is, so that rows dealt by it needn't be dealt again.
+    """
+    spelled_out = {
+        "source_ref": F.col("source_ref") if "source_ref" in rows.columns else _source_ref(),
+        "evidence": F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")),
+        "scope_conditions": F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).otherwise(F.lit("")),
+        "seq": F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in _KEYS], "raw_relation"),
+    }
+    return rows.withColumns(spelled_out).drop(*_KEYS)
 
 
 _DISTINCT = _CLAIMS + """, d AS (
@@ -99,8 +112,8 @@ _DISTINCT = _CLAIMS + """, d AS (
   FROM claims GROUP BY ALL)"""
 
 
-def claims_seq(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
-    return claims(spark, sf_dir, about).withColumn("seq", F.concat_ws("-", "order_key", "relation")).drop("order_key")
+def claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    return spelled(bare_claims(spark, sf_dir, about))
 
 
 #: The canonical form of the three relations: replaces is an alias of supersedes, superseded_by its inverse.
@@ -113,18 +126,27 @@ _ARROWS = _LEDGER + """, a AS (SELECT subject, relation, object, 1 - product(1 -
   coalesce(arg_max(scope_conditions, CASE WHEN scope_conditions <> '' THEN seq END), '') AS scope_conditions, count(*) AS n_rows, arg_max(source_ref, seq) AS source_ref FROM k GROUP BY ALL)"""
 
 
+def _bare_canonical(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    return canonical.canonicalize_triples(bare_claims(spark, sf_dir, about), _registry(spark)).drop("flipped", "relation_known")
+
+
 def canonical_claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
-    return canonical.canonicalize_triples(claims_seq(spark, sf_dir, about), _registry(spark)).drop("flipped", "relation_known")
+    return spelled(_bare_canonical(spark, sf_dir, about))
+
+
+def _dealt_claims(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
+    """Canonical claims dealt by triple before they are spelled out: identities and arrows are worked out where their rows lie."""
+    return spelled(_bare_canonical(spark, sf_dir, about).repartition(*TRIPLE))
 
 
 def stored_ledger(spark: SparkSession, sf_dir: str, about: str | None = None) -> DataFrame:
     """The keep-first ledger, or its rows about one name: a canonical triple has the ends that its claims have."""
-    return ledger.dedupe(canonical_claims(spark, sf_dir, about)).withColumn("source_id", S.source_id("source_ref"))
+    return ledger.dedupe(_dealt_claims(spark, sf_dir, about)).withColumn("source_id", S.source_id("source_ref"))
 
 
-def _written_ledger(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """The ledger, with what arrows take of it and ``more``, written once for queries that read it more than once."""
-    return durable(stored_ledger(spark, sf_dir).select(*TRIPLE, "source_ref", "confidence", "scope_conditions", "created_at", "seq", *more))
+def _written_ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Triples and ``columns`` of the ledger, written once for queries that read it more than once."""
+    return durable(stored_ledger(spark, sf_dir).select(*TRIPLE, *columns))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +202,7 @@ def ledger_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DISTINCT}, {_CANON} SELECT subject, relation, object, source_ref, confidence, evidence FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, object, source_ref ORDER BY seq DESC) AS rn FROM c) WHERE rn = 1")
 def ledger_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.dedupe(canonical_claims(spark, sf_dir), last=True).select(*TRIPLE, "source_ref", "confidence", "evidence")
+    return ledger.dedupe(_dealt_claims(spark, sf_dir), last=True).select(*TRIPLE, "source_ref", "confidence", "evidence")
 
 
 def _plan_sql(mode: str) -> str:
@@ -194,9 +216,9 @@ def _plan_sql(mode: str) -> str:
 
 
 def _plan(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    rows = durable(canonical_claims(spark, sf_dir).select(*TRIPLE, "source_ref", "evidence", "domain", "seq"))  # used twice
-    old, new = ledger.dedupe(rows.where("domain = 'building'")), rows.where("domain <> 'building'")
-    return ledger.plan_writes(old, new, mode).select(*TRIPLE, "source_ref", "evidence", "action")
+    rows = durable(_bare_canonical(spark, sf_dir).select(*TRIPLE, _source_ref().alias("source_ref"), "domain", "raw_relation", *_KEYS))  # used twice
+    old, new = rows.where("domain = 'building'").select(*IDENTITY), rows.where("domain <> 'building'").repartition(*IDENTITY)
+    return ledger.plan_writes(old, spelled(new), mode).select(*TRIPLE, "source_ref", "evidence", "action")
 
 
 @_query(_plan_sql("keep-first"))
@@ -226,19 +248,20 @@ def unknown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   w AS (SELECT *, r = old AND s = subject AND o = object AS kept FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY s, r, o, source_ref ORDER BY kept DESC, seq) AS rn FROM w)
   SELECT s AS subject, r AS relation, o AS object, source_ref, evidence, CASE WHEN rn > 1 THEN 'collapse' WHEN kept THEN 'keep' ELSE 'rewrite' END AS action FROM n""")
 def normalize_relations_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = claims_seq(spark, sf_dir).withColumn("relation", F.upper("relation"))
-    return maintenance.plan_normalization(ledger.dedupe(rows), _registry(spark)).select(*TRIPLE, "source_ref", "evidence", "action")
+    named = maintenance.with_canonical(bare_claims(spark, sf_dir).withColumn("relation", F.upper("relation")), _registry(spark))
+    rows = spelled(named.repartition(*TRIPLE))  # rows of one stored identity have one canonical triple, so both are told apart where they lie
+    return maintenance.plan_canonical(ledger.dedupe(rows, (*maintenance.STORED, *IDENTITY))).select(*TRIPLE, "source_ref", "evidence", "action")
 
 
 @_query(_ARROWS + " , cut AS (SELECT * FROM k WHERE NOT (domain = 'machinery')) SELECT subject, relation, object, round(confidence + 3.3e-10, 6) AS confidence FROM a WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.subject = a.subject AND cut.relation = a.relation AND cut.object = a.object)")
 def backfill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written_ledger(spark, sf_dir, "domain")
+    rows = _written_ledger(spark, sf_dir, "confidence", "domain")
     return maintenance.backfill_candidates(ledger.arrows(rows), rows.where("NOT (domain = 'machinery')")).select(*TRIPLE, _round("confidence").alias("confidence"))
 
 
 @_query(_ARROWS + " SELECT subject, relation, object, source_ref FROM a WHERE EXISTS (SELECT 1 FROM k WHERE domain = 'machinery' AND k.subject = a.subject AND k.relation = a.relation AND k.object = a.object)")
 def strip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written_ledger(spark, sf_dir, "domain")
+    rows = _written_ledger(spark, sf_dir, "source_ref", "confidence", "domain", "seq")
     own = ledger.arrows(rows).withColumn("evidence", F.lit(None).cast("array<string>"))
     return maintenance.strip_candidates(own, rows.where("domain = 'machinery'")).select(*TRIPLE, "source_ref")
 
@@ -246,7 +269,7 @@ def strip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ARROWS + """, b AS (SELECT subject, relation, object, 1 - product(1 - confidence) AS previous FROM k WHERE domain = 'building' GROUP BY ALL)
   SELECT a.subject, a.relation, a.object, round(a.confidence + 3.3e-10, 6) AS confidence, round(b.previous + 3.3e-10, 6) AS previous_confidence FROM a JOIN b ON a.subject = b.subject AND a.relation = b.relation AND a.object = b.object""")
 def delta_changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written_ledger(spark, sf_dir, "domain", "evidence")
+    rows = _written_ledger(spark, sf_dir, "source_ref", "confidence", "scope_conditions", "domain", "seq", "evidence")
     edges = rows.withColumn("evidence", F.array("evidence"))
     _, changed = ledger.assemble_delta(edges, ledger.arrows(rows.where("domain = 'building'")))
     return changed.select(*TRIPLE, _round("confidence").alias("confidence"), _round("previous_confidence").alias("previous_confidence"))
@@ -371,14 +394,14 @@ def factcheck_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_LEDGER + """, w AS (SELECT * FROM k WHERE source_ref IN ('doc-1:x', 'doc-2:x')), o AS (SELECT * FROM k WHERE source_ref NOT IN ('doc-1:x', 'doc-2:x')), h AS (SELECT DISTINCT domain FROM o WHERE domain IN (SELECT domain FROM w))
   SELECT domain, count(*) AS n_rows FROM k WHERE domain IN (SELECT domain FROM h) GROUP BY domain""")
 def factcheck_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written_ledger(spark, sf_dir, "domain")
+    rows = _written_ledger(spark, sf_dir, "source_ref", "confidence", "scope_conditions", "created_at", "seq", "domain")
     mine = F.col("source_ref").isin("doc-1:x", "doc-2:x")
     return factcheck.candidates_for_write(rows.where(mine), rows.where(~mine)).groupBy("domain").agg(F.count("*").alias("n_rows"))
 
 
 @_query(_LEDGER + " SELECT subject, relation, object, source_ref, 'supported' AS verdict FROM k WHERE domain = 'furniture' AND split_part(source_ref, ':', 1) = 'doc-7'")
 def verdict_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written_ledger(spark, sf_dir, "domain", "source_id")
+    rows = _written_ledger(spark, sf_dir, "source_ref", "confidence", "scope_conditions", "created_at", "seq", "domain", "source_id")
     receipts = rows.where("domain = 'furniture'").select(*TRIPLE, "source_ref", F.lit("supported").alias("verdict"), F.lit("2024-01-01").alias("created_at"), F.concat_ws("/", *TRIPLE, "source_ref").alias("id"))
     return walks.verdicts_for_source(rows, receipts, "doc-7").select(*TRIPLE, "source_ref", "verdict")
 
@@ -453,7 +476,7 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DISTINCT}, q AS (SELECT subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object AS claim FROM d) SELECT count(*) AS candidates, count(DISTINCT claim) AS unique_claims, count(*) FILTER (WHERE strlen(claim) % 2 = 0) AS kept, count(*) FILTER (WHERE strlen(claim) % 2 = 1) AS dropped FROM q")
 def novelty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(novelty.counted_claims(novelty.with_claims(claims_seq(spark, sf_dir))))  # used twice
+    rows = durable(novelty.counted_claims(novelty.with_claims(claims(spark, sf_dir))))  # used twice
     verdicts = rows.select("claim", F.when(F.octet_length("claim") % 2 == 0, "novel").otherwise("known").alias("choice"))
     return novelty.gate_counts(rows, verdicts)
 
